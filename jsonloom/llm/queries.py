@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from jsonloom.llm import packing, sharding, simhash, tokencount
+import corpus_pipeline
+from jsonloom.llm import fmindex, langid, license, linedup, minhash, packing, quality, sharding, simhash, tokencount
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op2_language_id": langid.op2_language_id,
     "op3_token_counts": tokencount.op3_token_counts,
+    "op4_fingerprints": minhash.op4_fingerprints,
+    "op5_decontamination": fmindex.op5_decontamination,
+    "op6_quality": quality.op6_quality,
     "op7_packing": packing.op7_packing,
+    "op8_license_scan": license.op8_license_scan,
+    "op9_line_dedup": linedup.op9_line_dedup,
     "op10_sharding": sharding.op10_sharding,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLE: dict[str, str] = {}

@@ -25,6 +25,7 @@ from jsonloom.llm.common import batches, column, components, documents, small_ba
 #: Fixed value: generator polynomial of the binary Golay code, x^11+x^10+x^6+x^5+x^4+x^2+1.
 GOLAY = 0b110001110101
 BLOCK, RADIUS, SEED = 23, 3, 42
+BROADCAST_IDS = 1_000_000
 
 
 def shingles(words: list[bytes], n: int) -> list[bytes]:
@@ -134,23 +135,27 @@ def links(distinct: DataFrame, bits: int = 2) -> DataFrame:
     return homes.join(guests, "anchor").where((F.col("a") != F.col("b")) & (off <= bits)).select("a", "b").distinct()
 
 
-def similar(links_: DataFrame, docs: DataFrame, n: int, least: float) -> DataFrame:
+def similar(pairs: DataFrame, standing: DataFrame, docs: DataFrame, n: int, least: float) -> DataFrame:
     """Of links between fingerprints, those whose documents' shingle sets have at least this Jaccard similarity.
 
-    One document stands for each fingerprint. Only fingerprints that have a link bring their text."""
-    fps = docs.select(F.col("fp").alias("a"), "text").join(links_.select("a").distinct(), "a").groupBy("a").agg(F.min(F.col("text").cast("binary")).alias("body"))
-    fps = stored(fps)
+    standing: fp and the doc_id (column least) that stands for it. Only linked fingerprints' texts are fetched, by a broadcast
+    of their doc_ids up to BROADCAST_IDS, by a shuffle beyond."""
+    wanted = stored(standing.join(pairs.select(F.col("a").alias("fp")).distinct(), "fp").select("fp", F.col("least").alias("doc_id")))
+    small = wanted.count() <= BROADCAST_IDS
+    found = docs.select("doc_id", F.col("text").cast("binary").alias("body")).join(F.broadcast(wanted) if small else wanted, "doc_id")
+    found = stored(found.groupBy("fp").agg(F.min("body").alias("body")))
 
-    def verify(found):
-        for b in found:
+    def verify(rows):
+        for b in rows:
             keep = []
             for x, y in zip(column(b, "x"), column(b, "y")):
                 x, y = (set(shingles((z or b"").lower().split(), n)) for z in (x, y))
                 keep.append(len(x & y) >= least * len(x | y))
-            yield pa.table(b).select(["a", "b"]).filter(pa.array(keep)).combine_chunks().to_batches()[0] if any(keep) else b.select(["a", "b"]).slice(0, 0)
+            keep = pa.array(keep, pa.bool_())
+            yield pa.record_batch([b.column("a").filter(keep), b.column("b").filter(keep)], ["a", "b"])
 
-    both = links_.where("a < b").join(fps.withColumnRenamed("body", "x"), "a").join(fps.select(F.col("a").alias("b"), F.col("body").alias("y")), "b")
-    kept = both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
+    both = pairs.where("a < b").join(found.toDF("a", "x"), "a").join(found.toDF("b", "y"), "b")
+    kept = stored(both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"))
     return kept.union(kept.select("b", "a"))
 
 
@@ -162,12 +167,8 @@ def clusters(docs: DataFrame, n: int = 3, bits: int = 2, verify: float | None =
     table gives an empty one. verify: also ask linked fingerprints' texts for this Jaccard similarity of their shingles."""
     fps = stored(fingerprints(docs, n))
     distinct = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    pairs = links(distinct.select("fp"), bits)
-    if verify is not None:
-        keyed = docs.select("doc_id", "text").join(fps.join(distinct, "fp").where(F.col("doc_id") == F.col("least")).select("doc_id", "fp").distinct(), "doc_id")
-        pairs = similar(stored(pairs), keyed, n, verify)
-    pairs = stored(pairs)
-    roots = components(pairs)
+    pairs = stored(links(distinct.select("fp"), bits))
+    roots = components(pairs if verify is None else similar(pairs, distinct, docs, n, verify))
     linked = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     of_fp = linked.join(ids, "root").select("fp", "component_id")
