@@ -13,6 +13,8 @@ ranges' token counts, so each range is packed on its own.
 from __future__ import annotations
 
 import hashlib
+import os
+import re
 import zlib
 from functools import lru_cache
 
@@ -26,8 +28,11 @@ from jsonloom.llm.common import batches, column, documents, small_batches, store
 LENGTH, END, BITS, BUCKETS = 4096, 2, 10, 256
 #: Token ids that a range is meant to hold.
 IDS_A_RANGE = 4_000_000
-#: Blank-separated chunks whose ids a worker remembers.
-CACHE = 400_000
+#: Blank-separated chunks whose ids a worker remembers, at most.
+CACHE = 500_000
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]{0,4})")
+#: Bytes that part chunks; other white space stays in a chunk, and the tokenizer sees to it.
+BLANK = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
 
 
 def default_vocabulary() -> str:
@@ -36,29 +41,87 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class Chunks(dict):
-    """Ids of blank-separated chunks as bytes. The vocabulary drops white space, so a text's ids are its chunks' ids in a row."""
+class Chunks:
+    """Token ids of texts. The vocabulary drops white space, so a text's ids are its blank-separated chunks' ids in a row.
+
+    Of a batch's chunks only the different ones (by a 64-bit hash) are looked up among those that the worker remembers; the ids
+    of all are gathered in numpy. A chunk of Latin-1 letters and at most four marks after them is two words to the vocabulary,
+    which lower-cases: chunks that differ in case or marks share what is encoded."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        words = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(words.values()) + 1, bool)  # ids that end a word
+        self.ends[[i for w, i in words.items() if w.endswith("</w>")]] = True
+        self.type = "<u2" if len(self.ends) <= 1 << 16 else "<u4"
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict[bytes, int] = {}
+        self.stems: dict[str, np.ndarray] = {"": np.zeros(0, self.type)}
+        self.flat, self.first = np.zeros(0, self.type), np.zeros(1, np.int64)
+
+    def encode(self, found: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.type) for e in self.tokenizer.encode_batch_fast(found, add_special_tokens=False)]
+
+    def encode_words(self, words: list[str]) -> list[np.ndarray]:
+        """Of words that the vocabulary takes as one each: many are encoded as one text, which is cut after each word's end."""
+        found = self.encode([" ".join(words[i : i + 500]) for i in range(0, len(words), 500)])
+        ids = np.concatenate(found) if found else np.zeros(0, self.type)
+        last = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+        return [ids[a:b] for a, b in zip([0, *last], last)] if len(last) == len(words) else self.encode(words)
+
+    def learn(self, new: list[bytes]) -> None:
+        decoded = [w.decode("utf-8", "replace") for w in new]
+        cut = [m and (m[1].lower(), m[2]) for m in map(PLAIN.fullmatch, decoded)]
+        words = list({x for two in cut if two for x in two}.difference(self.stems))
+        self.stems.update(zip(words, self.encode_words(words)))
+        whole = iter(self.encode([w for w, two in zip(decoded, cut) if two is None]))
+        parts = []
+        for two in cut:
+            parts += [self.stems[two[0]], self.stems[two[1]]] if two else [next(whole), self.stems[""]]
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)).reshape(-1, 2).sum(1)
+        self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
+        self.flat = np.concatenate([self.flat, *parts])
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(sizes)])
+
+    def ids(self, bodies: list[bytes]) -> list[np.ndarray]:
+        """Of each text (UTF-8) its ids: unsigned 16-bit numbers if all of the vocabulary's are below 65,536, else 32-bit."""
+        if len(self.number) > CACHE:
+            self.forget()
+        joined = b"\n".join([b"", *bodies, b""])
+        blank = BLANK[np.frombuffer(joined, np.uint8)]
+        edges = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+        start, stop = edges[::2], edges[1::2]
+        _, at, which = np.unique(span_hashes(joined, start, stop), return_index=True, return_inverse=True)
+        chunks = [joined[a:b] for a, b in zip(start[at].tolist(), stop[at].tolist())]
+        self.learn([w for w in chunks if w not in self.number])
+        number = np.fromiter(map(self.number.__getitem__, chunks), np.int64, len(chunks))[which]
+        size = self.first[number + 1] - self.first[number]
+        before = np.cumsum(size) - size
+        ids = self.flat[np.repeat(self.first[number] - before, size) + np.arange(size.sum())]
+        texts_end = np.cumsum([len(x) + 1 for x in bodies]) if bodies else np.zeros(0, np.int64)
+        ends = np.concatenate([before, [len(ids)]])[np.searchsorted(start, texts_end, side="left")]
+        return [ids[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())]
+
+
+def span_hashes(data: bytes, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """64-bit hashes of data[start:stop] for many spans, from prefix sums of byte * BASE**place modulo 2**64."""
+    power, back = powers(1 << (len(data) + 1).bit_length())
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((np.frombuffer(data, np.uint8) + np.uint64(1)) * power[: len(data)], out=sums[1:])
+    h = (sums[stop] - sums[start]) * back[start] + (stop - start).astype(np.uint64)
+    return (h ^ h >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
+
 
-    def ids(self, text: str) -> bytes:
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # blanks for str.split, not for the tokenizer
-            words = text.replace("\t", " ").replace("\n", " ").replace("\r", " ").split(" ")
-        else:
-            words = text.split()
-        try:
-            return b"".join([self[w] for w in words])
-        except KeyError:
-            if len(self) > CACHE:
-                self.clear()
-            new = [w for w in dict.fromkeys(words) if w not in self]
-            for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                self[w] = np.array(e.ids, "<u4").tobytes()
-            return b"".join([self[w] for w in words])
+@lru_cache(maxsize=1)
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    base = 0x9E3779B97F4A7C15
+    return tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, x, np.uint64)]), dtype=np.uint64) for x in (base, pow(base, -1, 1 << 64)))
 
 
 @lru_cache(maxsize=2)
@@ -106,20 +169,20 @@ def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 
 def tokenised(docs: DataFrame, path: str, end: int | None = END) -> DataFrame:
-    """doc_id, ids (little-endian unsigned 32-bit), n, and key: the place on the curve, then bits of the doc_id's hash."""
+    """doc_id, ids (little-endian unsigned, as Chunks has them), n, and key: the place on the curve, then bits of the doc_id's hash."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def each(found):
         schema = None
         vocabulary = chunks(path)
-        tail = b"" if end is None else np.array([end], "<u4").tobytes()
+        tail = np.array([] if end is None else [end], vocabulary.type)
         for b in found:
             schema = schema or pa.schema([b.schema.field("doc_id"), ("ids", pa.binary()), ("n", pa.int64()), ("key", pa.int64())])
-            ids = [vocabulary.ids((x or b"").decode("utf-8", "replace")) + tail for x in column(b, "body")]
-            points = np.stack([vector(np.frombuffer(x, "<u4")) for x in ids]) if ids else np.zeros((0, 3))
+            ids = [np.concatenate([x, tail]) for x in vocabulary.ids([x or b"" for x in column(b, "body")])]
+            points = np.stack([vector(x) for x in ids]) if ids else np.zeros((0, 3))
             place = hilbert(np.minimum(points * (1 << BITS), (1 << BITS) - 1).astype(np.int64))
             low = [int.from_bytes(hashlib.blake2b(str(k).encode(), digest_size=4).digest(), "little") for k in column(b, "doc_id")]
-            yield pa.record_batch([b.column("doc_id"), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(place << 32 | np.array(low, np.int64), pa.int64())], schema=schema)
+            yield pa.record_batch([b.column("doc_id"), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([len(x) for x in ids], pa.int64()), pa.array(place << 32 | np.array(low, np.int64), pa.int64())], schema=schema)
 
     return texts(docs, "doc_id").mapInArrow(each, f"doc_id {kind}, ids binary, n long, key long")
 
@@ -136,7 +199,7 @@ def cuts(total: int, length: int) -> list[int]:
 
 
 def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, end: int | None = END) -> DataFrame:
-    """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids (the piece's).
+    """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids (the piece's, unsigned 32-bit).
 
     Null and empty texts have no ids but the end id. Repeated rows are packed each for itself; among rows with equal doc_id
     and ids the order does not matter. doc_id may be null. An empty table gives no rows."""
@@ -156,7 +219,7 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, end: in
     base, first = {}, 0
     for r in sorted(counted, key=lambda r: r["part"]):
         base[r["part"]], first = first, first + r["n"]
-    tail = cuts(total, length)
+    tail, kind_of_id = cuts(total, length), chunks(path).type
 
     def lay(found):
         part, here, schema = None, 0, None
@@ -166,6 +229,7 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, end: in
             for doc, ids, p in zip(column(b, "doc_id"), column(b, "ids"), column(b, "part")):
                 if p != part:
                     part, here = p, base[p]
+                ids = np.frombuffer(ids, kind_of_id).astype("<u4").tobytes()
                 n, start = len(ids) // 4, 0
                 while start < n:
                     if here < tail[0]:
