@@ -64,6 +64,16 @@ def texts(df: DataFrame, *keys: str, text: str = "text") -> DataFrame:
     return df.select(*[F.col(f"`{k}`") for k in keys], F.col(f"`{text}`").cast("binary").alias("body"))
 
 
+def aside(docs: DataFrame, *names: str) -> DataFrame:
+    """docs with all columns but those named renamed, so that none clashes with what an operator adds."""
+    return docs.toDF(*[c if c in names else f"_column{i}" for i, c in enumerate(docs.columns)])
+
+
+def restored(df: DataFrame, docs: DataFrame, *names: str) -> DataFrame:
+    """The columns of docs, after aside() with the same names."""
+    return df.select(*[F.col(f"`{c}`") if c in names else F.col(f"_column{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
 def column(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(name).to_pylist()
 
