@@ -1,28 +1,41 @@
 """Line dedup by a segment-partition edit join.
 
 Two lines within `tau` edits share, by the pigeonhole principle, one of the tau + 1 segments that the shorter one is cut into,
-at nearly the same place. Each distinct line puts its segments in an index keyed by (its length, the segment's number and
-content), and probes the index for its own length and the tau lengths below with the substrings that can match (those whose
-shift agrees with an alignment within tau edits on both sides). Pairs that meet are verified by a banded bit-parallel edit
-distance; linked lines form classes, and of each class one line, the first by (doc_id, line number), stays.
+at nearly the same place. Each line puts its segments in an index keyed by (its length, the segment's number and content), and
+probes the index for its own length and the tau lengths below with the substrings that can match (those whose shift agrees
+with an alignment within tau edits on both sides). Pairs that meet are verified by a banded bit-parallel edit distance; linked
+lines form classes, and of each class one line, the first by (doc_id, line number), stays.
+
+A key that over HOT lines share would give a square of pairs. For tau = 1 its lines go on to a finer index: cut into more
+segments, two lines within one edit agree in all of them but one, so the keys are the lines without one segment. That is
+exact for any number of segments, and it ends where a segment is a single byte: lines that agree but for one byte are all
+within one edit of each other, and each is linked to one of them.
 
 Lines are runs between line feeds, without blanks at their ends; empty lines are neither counted nor removed. Lines shorter
-than FUZZY bytes match only if equal, as an edit there changes too much. Lengths, segments and edits are in bytes.
+than FUZZY bytes match only if equal, as an edit there changes too much. Lengths, segments and edits are in bytes. Lines are
+identified by 64-bit hashes.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jsonloom.llm.common import column, components, documents, small_batches, stored
+from jsonloom.llm.common import aside, column, components, documents, restored, small_batches, stored
 
-TAU, FUZZY = 1, 20
-#: Candidates' texts are fetched with a broadcast of their hashes up to so many, with a shuffle beyond.
-BROADCAST_LINES = 1_000_000
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+TAU, FUZZY, HOT, FINER = 1, 20, 64, 16
+#: Sets of keys or line hashes are broadcast up to so many, shuffled beyond.
+BROADCAST_ROWS = 1_000_000
+#: Lines whose keys a task remembers to have given.
+SEEN = 400_000
+BLANKS = b" \t\r\x0b\x0c"
+_BASE = 0x9E3779B97F4A7C15
 
 
 def segments(length: int, tau: int) -> list[tuple[int, int]]:
@@ -93,75 +106,191 @@ def _common(a: bytes, b: bytes, most: int) -> int:
     return low
 
 
-def _rolled(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Prefix sums of b[i] * BASE**i and the inverse powers, modulo 2**64."""
-    n = len(data)
-    power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _BASE)]), dtype=np.uint64)
-    inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-    back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, inverse)]), dtype=np.uint64)
-    return np.concatenate([[np.uint64(0)], np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:n], dtype=np.uint64)]), back
+@lru_cache(maxsize=1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, x, np.uint64)]), dtype=np.uint64) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
 
 
-def segment_keys(lines: list[bytes], tau: int, fuzzy: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, key and whether it is an index key (else a probe) for all lines of at least fuzzy bytes."""
-    sums, back = _rolled(np.frombuffer(b"".join(lines), np.uint8))
-    sizes = np.fromiter(map(len, lines), np.int64, len(lines))
-    first = np.cumsum(sizes) - sizes
-    rows, keys, sides = [], [], []
-    order = np.argsort(sizes, kind="stable")
-    for part in np.split(order, np.flatnonzero(np.diff(sizes[order])) + 1) if len(order) else []:
-        length = int(sizes[part[0]])
-        if length < fuzzy:
-            continue
-        wanted = [(length, i, at, size, 1) for i, (at, size) in enumerate(segments(length, tau))]
-        wanted += [(*p, 0) for p in probes(length, tau) if p[0] >= fuzzy]
-        for other, i, at, size, side in wanted:
-            begin = first[part] + at
-            h = (sums[begin + size] - sums[begin]) * back[begin]
-            h = (h ^ np.uint64((other * (tau + 1) + i + 1) * 0xD6E8FEB86659FD93 % (1 << 64))) * np.uint64(0xBF58476D1CE4E5B9)
-            rows.append(part)
-            keys.append(h ^ h >> np.uint64(32))
-            sides.append(np.full(len(part), side, np.int64))
+class Rolled:
+    """Hashes of any substrings of some lines, from prefix sums of byte * BASE**place modulo 2**64."""
+
+    def __init__(self, lines: list[bytes]):
+        data = np.frombuffer(b"".join(lines), np.uint8)
+        power, self.back = _powers(1 << (len(data) + 1).bit_length())
+        self.sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data + np.uint64(1)) * power[: len(data)], out=self.sums[1:])
+        self.sizes = np.fromiter(map(len, lines), np.int64, len(lines))
+        self.first = np.cumsum(self.sizes) - self.sizes
+
+    def lengths(self, least: int):
+        """(length, rows) of the lines that have at least so many bytes."""
+        order = np.argsort(self.sizes, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(self.sizes[order])) + 1) if len(order) else []:
+            if self.sizes[part[0]] >= least:
+                yield int(self.sizes[part[0]]), part
+
+    def hash(self, part: np.ndarray, at: int, size: int) -> np.ndarray:
+        begin = self.first[part] + at
+        return (self.sums[begin + size] - self.sums[begin]) * self.back[begin]
+
+
+def _mixed(h: np.ndarray, *tags: int) -> np.ndarray:
+    for t in tags:
+        h = (h ^ np.uint64((t + 1) * 0xD6E8FEB86659FD93 % (1 << 64))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = h ^ h >> np.uint64(32)
+    return h
+
+
+def _gathered(found: list[tuple[np.ndarray, np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     empty = np.zeros(0, np.int64)
-    return (np.concatenate(rows), np.concatenate(keys), np.concatenate(sides)) if rows else (empty, empty.view(np.uint64), empty)
+    if not found:
+        return empty, empty.view(np.uint64), empty
+    rows, keys, sides = zip(*found)
+    return np.concatenate(rows), np.concatenate(keys), np.repeat(sides, [len(r) for r in rows])
+
+
+def segment_keys(lines: list[bytes], tau: int, fuzzy: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, key and side of all lines of at least fuzzy bytes; side 1: an index key, which is a probe too; 0: a probe only."""
+    rolled, found = Rolled(lines), []
+    for length, part in rolled.lengths(fuzzy):
+        own = {(length, i, at, size) for i, (at, size) in enumerate(segments(length, tau))}
+        for other, i, at, size in sorted(own | {p for p in probes(length, tau) if p[0] >= fuzzy}):
+            found.append((part, _mixed(rolled.hash(part, at, size), other, i), int((other, i, at, size) in own)))
+    return _gathered(found)
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, doc (a hash of doc_id and text: rows that agree in both are one document), pos, line, and id (the line's hash)."""
-    doc = F.xxhash64("doc_id", "text")
-    parts = F.split("text", "\n")
-    out = docs.select("doc_id", doc.alias("doc"), F.posexplode(parts).alias("pos", "line"))
-    out = out.withColumn("line", F.regexp_replace("line", r"\A[ \t\r\x0B\f]+|[ \t\r\x0B\f]+\z", ""))
-    return out.where("line != ''").withColumn("id", F.xxhash64("line"))
+def finer_keys(lines: list[bytes], pieces: int, fuzzy: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As segment_keys for one edit: of each line cut into `pieces` segments the hashes of all but one. A line that is longer by
+    one byte probes with one byte more left out."""
+    rolled, found = Rolled(lines), []
+    for length, part in rolled.lengths(fuzzy):
+        for other in (length, length - 1):
+            if other < fuzzy:
+                continue
+            for i, (at, size) in enumerate(segments(other, pieces - 1)):
+                stop = at + size + length - other
+                h = rolled.hash(part, 0, at) * np.uint64(0xD6E8FEB86659FD93) + rolled.hash(part, stop, length - stop)
+                found.append((part, _mixed(h, other, i), int(other == length)))
+    return _gathered(found)
 
 
-def line_links(lines: DataFrame, tau: int = TAU, fuzzy: int = FUZZY) -> DataFrame:
-    """Candidate pairs (a < b) of ids of different lines that share a segment where it counts. lines: id and line."""
+def split_lines(body: bytes | None) -> list[bytes]:
+    return [x.strip(BLANKS) for x in body.split(b"\n")] if body else []
+
+
+def line_ids(lines: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, lines), np.uint64, len(lines)).view(np.int64)
+
+
+#: Rows of the table that one pass over the documents writes.
+PLACE, KEY, DOCUMENT = 0, 1, 2
+
+
+def parsed(docs: DataFrame, tau: int, fuzzy: int) -> DataFrame:
+    """One pass over the texts: kind PLACE: a line's id, doc (a hash of doc_id and text) and position; KEY: a line's id, key (in
+    doc) and side (in pos); DOCUMENT: the number of lines (in pos)."""
 
     def each(found):
-        seen: set[int] = set()
+        names, seen = ["kind", "doc_id", "doc", "pos", "id"], set()
+        table = lambda kind, ids, doc, pos, line: pa.record_batch([pa.array(np.full(len(doc), kind, np.int8)), ids, pa.array(doc), pa.array(pos), pa.array(line)], names)
         for b in found:
-            ids, bodies = column(b, "id"), column(b, "body")
-            new = {i: x for i, x in zip(ids, bodies) if i not in seen}
-            if len(seen) < 1_000_000:
-                seen.update(new)
-            row, key, side = segment_keys(list(new.values()), tau, fuzzy)
-            at = np.array(list(new), np.int64)[row] if len(row) else np.zeros(0, np.int64)
-            for k in range(0, len(row), 200_000):
-                yield pa.record_batch([pa.array(key[k : k + 200_000].view(np.int64)), pa.array(at[k : k + 200_000]), pa.array(side[k : k + 200_000])], ["key", "id", "side"])
-
-    keys = lines.select("id", F.col("line").cast("binary").alias("body")).mapInArrow(each, "key long, id long, side long")
-    # both sides of the join are the same shuffled keys, and the condition keeps it so: Spark makes and moves them once
-    probe = keys.select("key", F.col("id").alias("b"), F.col("side").alias("other"))
-    met = keys.withColumnRenamed("id", "a").join(probe, "key").where((F.col("side") > F.col("other")) & (F.col("a") != F.col("b")))
-    return stored(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-
-
-def verified(pairs: DataFrame, lines: DataFrame, tau: int) -> DataFrame:
-    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    few = ids.count() <= BROADCAST_LINES
-    bodies = lines.select("id", F.col("line").cast("binary").alias("body")).join(F.broadcast(ids) if few else ids, "id", "left_semi")
-    bodies = stored(bodies.groupBy("id").agg(F.min("body").alias("body")))
+            doc_ids, docs_ = b.column("doc_id"), b.column("doc").to_numpy()
+            split = [split_lines(x) for x in column(b, "body")]
+            n = np.array([len(x) for x in split], np.int64)
+            lines = [x for ls in split for x in ls]
+            row = np.repeat(np.arange(len(split)), n)
+            pos = np.arange(len(lines)) - np.repeat(np.cumsum(n) - n, n)
+            full = np.flatnonzero(np.fromiter(map(len, lines), np.int64, len(lines)))
+            lines, row, pos = [lines[i] for i in full.tolist()], row[full], pos[full]
+            ids = line_ids(lines)
+            yield table(PLACE, doc_ids.take(pa.array(row)), docs_[row], pos, ids)
+            yield table(DOCUMENT, doc_ids, docs_, np.bincount(row, minlength=len(split)).astype(np.int64), np.zeros(len(split), np.int64))
+            which = pd.factorize(ids)[0]
+            at = np.flatnonzero(np.diff(np.maximum.accumulate(which), prepend=-1)) if len(ids) else np.zeros(0, np.int64)
+            at = np.array([i for i, x in zip(at.tolist(), ids[at].tolist()) if x not in seen], np.int64)
+            if len(seen) < SEEN:
+                seen.update(ids[at].tolist())
+            r, key, side = segment_keys([lines[i] for i in at.tolist()], tau, fuzzy)
+            for k in range(0, len(r), 100_000):
+                part = slice(k, k + 100_000)
+                yield table(KEY, pa.nulls(len(r[part]), doc_ids.type), key[part].view(np.int64), side[part], ids[at][r[part]])
+
+    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("doc"), F.col("text").cast("binary").alias("body"))
+    return stored(rows.mapInArrow(each, f"kind byte, doc_id {docs.schema['doc_id'].dataType.simpleString()}, doc long, pos long, id long"))
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """df (stored), marked for broadcast if it is counted to be small."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def met(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of key, id, side: the pairs (a < b) of ids that meet at keys of at most HOT lines; the ids that meet at others, with
+    those keys."""
+    shared = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.max("side").alias("side"))
+    shared = stored(shared.where("low != high and side = 1").select("key"))
+    rows = stored(keys.join(_small(shared), "key").distinct())
+    sizes = rows.groupBy("key").agg(F.count("*").alias("n"))
+    rows = rows.join(sizes, "key")
+    cold = rows.where(F.col("n") <= HOT)
+    index = cold.where("side = 1").select("key", F.col("id").alias("a"))
+    probe = cold.select("key", F.col("id").alias("b"), "side")
+    pairs = index.join(probe, "key").where("a < b or (side = 0 and a > b)")
+    pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    return pairs, stored(rows.where(F.col("n") > HOT).select("key", "id", "side"))
+
+
+def bodies_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """id and body (bytes) of the lines with these ids (stored), from another pass over the texts."""
+    few = ids.count() <= BROADCAST_ROWS
+    wanted = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r[0] for r in ids.toLocalIterator()], np.int64)) if few else None)
+
+    def each(found):
+        given: set[int] = set()
+        for b in found:
+            lines = [x for body in column(b, "body") for x in split_lines(body) if x]
+            hashes = line_ids(lines)
+            rows = np.arange(len(lines))
+            if wanted.value is not None:
+                at = np.minimum(np.searchsorted(wanted.value, hashes), max(0, len(wanted.value) - 1))
+                rows = np.flatnonzero(wanted.value[at] == hashes) if len(wanted.value) else rows[:0]
+            new = {hashes[i]: lines[i] for i in rows.tolist() if hashes[i] not in given}
+            if len(given) < SEEN:
+                given.update(new)
+            yield pa.record_batch([pa.array(list(new), pa.int64()), pa.array(list(new.values()), pa.binary())], ["id", "body"])
+
+    found = docs.select(F.col("text").cast("binary").alias("body")).mapInArrow(each, "id long, body binary")
+    found = found if few else found.join(ids, "id", "left_semi")
+    return stored(found.groupBy("id").agg(F.first("body").alias("body")))
+
+
+def finer(bodies: DataFrame, hot: DataFrame, pieces: int, fuzzy: int) -> DataFrame:
+    """Candidate pairs among hot lines for one edit, by indexes of more and more segments."""
+    pairs = None
+    while True:
+        lines = bodies.join(_small(stored(hot.select("id").distinct())), "id")
+        longest = lines.agg(F.max(F.octet_length("body"))).first()[0]
+        if longest is None:
+            return pairs
+
+        def each(found, pieces=pieces):
+            for b in found:
+                ids, lines_ = b.column("id").to_numpy(), column(b, "body")
+                for i in range(0, len(lines_), 200):
+                    r, key, side = finer_keys(lines_[i : i + 200], pieces, fuzzy)
+                    yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(ids[i : i + 200][r]), pa.array(side)], ["key", "id", "side"])
+
+        new, hot = met(lines.mapInArrow(each, "key long, id long, side long"))
+        pairs = new if pairs is None else pairs.union(new)
+        if pieces > longest:  # lines at a key agree but for one byte
+            least = hot.groupBy("key").agg(F.min("id").alias("a"))
+            star = hot.join(least, "key").where("a != id").select("a", F.col("id").alias("b"))
+            return pairs.union(star).distinct()
+        pieces *= FINER
+
+
+def verified(pairs: DataFrame, bodies: DataFrame, tau: int) -> DataFrame:
+    """Those of the pairs within tau edits, in both directions."""
 
     def check(found):
         for b in found:
@@ -173,48 +302,58 @@ def verified(pairs: DataFrame, lines: DataFrame, tau: int) -> DataFrame:
     return good.union(good.select("b", "a"))
 
 
+def line_links(docs: DataFrame, keys: DataFrame, tau: int, fuzzy: int) -> DataFrame:
+    """Pairs (a, b) of ids of different lines within tau edits, each in both directions. keys: key, id, side."""
+    pairs, hot = met(keys)
+    if tau > 1:  # no finer index: all pairs at the hot keys are candidates
+        index = hot.where("side = 1").select("key", F.col("id").alias("a"))
+        more = index.join(hot.select("key", F.col("id").alias("b")), "key").where("a != b")
+        pairs = pairs.union(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
+        return verified(pairs, bodies_of(docs, stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())), tau)
+    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).union(hot.select("id")).distinct())
+    bodies = bodies_of(docs, ids)
+    more = finer(bodies, hot, FINER, fuzzy) if hot.limit(1).count() else None
+    return verified(pairs if more is None else stored(pairs.union(more).distinct()), bodies, tau)
+
+
 def removals(docs: DataFrame, tau: int = TAU, fuzzy: int = FUZZY) -> DataFrame:
-    """doc (see lines_of) and removed (positions of its removed lines, sorted), only for documents that lose lines.
+    """doc_id, doc (a hash of doc_id and text: rows that agree in both are one document and lose the same lines), n_lines and
+    removed (sorted positions of its removed lines, NULL if none) of each row.
 
     Of each class of equal or linked lines the first by (doc_id, position) stays; null doc_ids come first. A document's own
-    later copies of a line go too. Rows that agree in doc_id and text are one document and lose the same lines. Null and empty
-    texts have no lines."""
-    lines = lines_of(docs)
-    places = stored(lines.select("id", F.struct("doc_id", "pos", "doc").alias("place")))
-    pairs = line_links(lines, tau, fuzzy)
-    roots = components(verified(pairs, lines, tau))
+    later copies of a line go too. Null and empty texts have no lines."""
+    table = parsed(docs, tau, fuzzy)
+    keys = table.where(F.col("kind") == KEY).select(F.col("doc").alias("key"), "id", F.col("pos").alias("side"))
+    roots = components(line_links(docs, keys, tau, fuzzy))
+    places = table.where(F.col("kind") == PLACE).select("id", F.struct("doc_id", "pos", "doc").alias("place"))
     ids = places.groupBy("id").agg(F.min("place").alias("first"), F.count("*").alias("n"))
     ids = ids.join(roots.withColumnRenamed("node", "id"), "id", "left").where("n > 1 or root is not null")
     ids = stored(ids.select("id", F.coalesce("root", "id").alias("root"), "first"))
     kept = ids.groupBy("root").agg(F.min("first").alias("kept"))
-    of_id = ids.select("id", "root").join(kept, "root").select("id", "kept")
-    gone = places.join(of_id, "id").where(~F.col("place").eqNullSafe(F.col("kept")))
-    return gone.groupBy(F.col("place.doc").alias("doc")).agg(F.sort_array(F.collect_set("place.pos")).alias("removed"))
-
-
-def n_lines():
-    trimmed = lambda x: F.regexp_replace(x, r"[ \t\r\x0B\f]+", "")
-    return F.coalesce(F.size(F.filter(F.split("text", "\n"), lambda x: trimmed(x) != "")), F.lit(0)).cast("long")
+    of_id = stored(ids.select("id", "root").join(kept, "root").select("id", "kept"))
+    gone = places.join(_small(of_id), "id").where(~F.col("place").eqNullSafe(F.col("kept")))
+    gone = gone.groupBy(F.col("place.doc").alias("doc")).agg(F.sort_array(F.collect_set("place.pos")).alias("removed"))
+    return table.where(F.col("kind") == DOCUMENT).select("doc_id", "doc", F.col("pos").alias("n_lines")).join(gone, "doc", "left")
 
 
 def without_lines(docs: DataFrame, tau: int = TAU, fuzzy: int = FUZZY) -> DataFrame:
     """docs without the removed lines, and without documents that had lines and lose all. Columns stay; n_chars is counted
     anew where it is one."""
-    gone = stored(removals(docs, tau, fuzzy)).withColumnsRenamed({"doc": "_doc", "removed": "_removed"})
-    rows = docs.withColumn("_doc", F.xxhash64("doc_id", "text")).join(gone, "_doc", "left")
-    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_removed", i))
-    rows = rows.withColumn("_all", n_lines()).where("_removed is null or size(_removed) < _all")
+    gone = removals(docs, tau, fuzzy).where("removed is not null").select(F.col("doc").alias("_doc"), F.col("removed").alias("_removed"), F.col("n_lines").alias("_n"))
+    names = ("doc_id", "text", "n_chars")
+    rows = aside(docs, *names).withColumn("_key", F.xxhash64("doc_id", "text"))
+    rows = rows.join(stored(gone.dropDuplicates(["_doc"])), F.col("_key") == F.col("_doc"), "left")
+    rows = rows.where("_removed is null or size(_removed) < _n")
+    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_removed", i.cast("bigint")))
     rows = rows.withColumn("text", F.when(F.col("_removed").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.when(F.col("_removed").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
-    return rows.select(*docs.columns)
+    return restored(rows, docs, *names)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each document: doc_id, n_lines, n_removed, removed (the positions, comma-joined)."""
     small_batches(spark)
-    docs = documents(spark, sf_dir)
-    gone = stored(removals(docs))
-    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("doc"), n_lines().alias("n_lines")).join(gone, "doc", "left")
-    n = F.coalesce(F.size("removed"), F.lit(0)).cast("long")
-    return rows.select("doc_id", "n_lines", F.when(F.col("removed").isNull(), F.lit(0).cast("long")).otherwise(n).alias("n_removed"), F.coalesce(F.array_join("removed", ","), F.lit("")).alias("removed"))
+    rows = removals(documents(spark, sf_dir))
+    n = F.when(F.col("removed").isNull(), F.lit(0)).otherwise(F.size("removed")).cast("long")
+    return rows.select("doc_id", "n_lines", n.alias("n_removed"), F.coalesce(F.array_join("removed", ","), F.lit("")).alias("removed"))
