@@ -23,6 +23,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from jsonloom.functions import documents as D
 from jsonloom.functions import grammar as G
 from jsonloom.functions import pointer as P
+from jsonloom.functions import spans as S
 from jsonloom.functions.numbers import canonical
 
 PERMISSIVE, FAILFAST = "PERMISSIVE", "FAILFAST"
@@ -99,6 +100,45 @@ def _parse(text: str) -> G.Tape:
     return G.parse(text.encode("utf-8", "surrogatepass"))
 
 
+def _valid(text: str) -> str:
+    """The text, if it is valid; else its fault is raised."""
+    if not G.valid(text):
+        _parse(text)
+    return text
+
+
+def _got(text: str, pointer: P.Pointer) -> str | None:
+    """What the pointer selects in a valid text."""
+    try:
+        return S.get(text, pointer)
+    except RecursionError:
+        tape = _parse(text)
+        return _span(tape, P.get(tape, pointer))
+
+
+def _object(text: str) -> list[tuple[str, str]] | None:
+    """Decoded keys and sources of a valid text's members, if it is an object."""
+    start = len(text) - len(text.lstrip(" \t\n\r"))
+    if text[start] != "{":
+        return None
+    try:
+        return [(k, text[a:b]) for k, a, b in S.members(text, start)]
+    except RecursionError:
+        tape = _parse(text)
+        return [(tape.text(k), tape.raw(v).decode()) for k, v in tape.members(0)]
+
+
+def _array(text: str) -> list[str] | None:
+    start = len(text) - len(text.lstrip(" \t\n\r"))
+    if text[start] != "[":
+        return None
+    try:
+        return [text[a:b] for a, b in S.elements(text, start)]
+    except RecursionError:
+        tape = _parse(text)
+        return [tape.raw(i).decode() for i in tape.elements(0)]
+
+
 def _span(tape: G.Tape, i: int | None) -> str | None:
     return None if i is None else tape.raw(i).decode()
 
@@ -140,12 +180,7 @@ def json_get(c: Column | str, pointer: str, mode: str = PERMISSIVE, trusted: boo
     trusted: the documents are known to be valid (results on others are unspecified)."""
     del trusted  # one pass finds spans and faults alike, so there is nothing to leave out
     compiled = P.compile_pointer(pointer)
-
-    def each(text: str):
-        tape = _parse(text)
-        return _span(tape, P.get(tape, compiled))
-
-    return per_document(each, T.StringType(), mode)(c)
+    return per_document(lambda x: _got(_valid(x), compiled), T.StringType(), mode)(c)
 
 
 def json_get_first(c: Column | str, pointer: str, mode: str = PERMISSIVE, trusted: bool = False) -> Column:
@@ -175,20 +210,17 @@ def json_extract_many(c: Column | str, pointers: dict[str, str], mode: str = PER
     out = T.StructType([T.StructField(k, T.StringType()) for k in pointers])
 
     def each(text: str):
-        tape = _parse(text)
-        return {k: _span(tape, P.get(tape, p)) for k, p in compiled.items()}
+        _valid(text)
+        return {k: _got(text, p) for k, p in compiled.items()}
 
     return per_document(each, out, mode)(c)
 
 
 def json_get_key(c: Column | str, key: str, mode: str = PERMISSIVE) -> Column:
     """The last member with this decoded key; other kinds than objects have none."""
-    token = P.Token(key, key.encode("utf-8", "surrogatepass"), None, None)
-
     def each(text: str):
-        tape = _parse(text)
-        found = [v for k, v in tape.members(0) if P.key_is(tape, k, token)] if tape.kind[0] == G.OBJECT else []
-        return _span(tape, found[-1]) if found else None
+        found = [v for k, v in _object(_valid(text)) or () if k == key]
+        return found[-1] if found else None
 
     return per_document(each, T.StringType(), mode)(c)
 
@@ -197,9 +229,8 @@ def json_get_index(c: Column | str, index: int, mode: str = PERMISSIVE) -> Colum
     """The array's element; negative, beyond the end, or no array: absent."""
 
     def each(text: str):
-        tape = _parse(text)
-        found = tape.elements(0) if tape.kind[0] == G.ARRAY else []
-        return _span(tape, found[index]) if 0 <= index < len(found) else None
+        found = _array(_valid(text)) or ()
+        return found[index] if 0 <= index < len(found) else None
 
     return per_document(each, T.StringType(), mode)(c)
 
@@ -219,45 +250,32 @@ def json_to_map_raw(c: Column | str, mode: str = PERMISSIVE) -> Column:
     """An object's members as a map of raw spans, for many lookups; the last duplicate counts. No object: NULL."""
 
     def each(text: str):
-        tape = _parse(text)
-        return list({tape.text(k): _span(tape, v) for k, v in tape.members(0)}.items()) if tape.kind[0] == G.OBJECT else None
+        found = _object(_valid(text))
+        return None if found is None else list(dict(found).items())
 
     return per_document(each, T.MapType(T.StringType(), T.StringType()), mode)(c)
 
 
 def json_column(c: Column | str, key: str, mode: str = PERMISSIVE) -> Column:
     """Of an array, each element's value for the key, in place; NULL where the element has none. No array: NULL."""
-    token = P.Token(key, key.encode("utf-8", "surrogatepass"), None, None)
-
     def each(text: str):
-        tape = _parse(text)
-        if tape.kind[0] != G.ARRAY:
-            return None
-        out = []
-        for i in tape.elements(0):
-            found = [v for k, v in tape.members(i) if P.key_is(tape, k, token)] if tape.kind[i] == G.OBJECT else []
-            out.append(_span(tape, found[-1]) if found else None)
-        return out
+        found = _array(_valid(text))
+        return None if found is None else [dict(_object(x) or ()).get(key) for x in found]
 
     return per_document(each, SPANS, mode)(c)
 
 
 def json_elements(c: Column | str, mode: str = PERMISSIVE) -> Column:
     """An array's elements as raw spans; no array: NULL."""
-
-    def each(text: str):
-        tape = _parse(text)
-        return [_span(tape, i) for i in tape.elements(0)] if tape.kind[0] == G.ARRAY else None
-
-    return per_document(each, SPANS, mode)(c)
+    return per_document(lambda x: _array(_valid(x)), SPANS, mode)(c)
 
 
 def json_members(c: Column | str, mode: str = PERMISSIVE) -> Column:
     """An object's members in order, duplicates kept: decoded keys and raw spans; no object: NULL."""
 
     def each(text: str):
-        tape = _parse(text)
-        return [{"key": tape.text(k), "value": _span(tape, v)} for k, v in tape.members(0)] if tape.kind[0] == G.OBJECT else None
+        found = _object(_valid(text))
+        return None if found is None else [{"key": k, "value": v} for k, v in found]
 
     return per_document(each, MEMBERS, mode)(c)
 
@@ -357,9 +375,9 @@ def json_object_len(c: Column | str) -> Column:
 def json_contains(haystack: Column | str, needle: Column | str, mode: str = PERMISSIVE) -> Column:
     """Containment as jsonb's @>, with exact numbers. A plain string as needle is a literal, parsed once."""
     if isinstance(needle, str):
-        wanted = D.model(_parse(needle))
-        return per_document(lambda x: D.contains(D.model(_parse(x)), wanted), T.BooleanType(), mode)(haystack)
-    return per_pair(lambda a, b: D.contains(D.model(_parse(a)), D.model(_parse(b))), T.BooleanType(), mode)(haystack, needle)
+        wanted = D.model(needle)
+        return per_document(lambda x: D.contains(D.model(x), wanted), T.BooleanType(), mode)(haystack)
+    return per_pair(lambda a, b: D.contains(D.model(a), D.model(b)), T.BooleanType(), mode)(haystack, needle)
 
 
 def json_number_canon(c: Column | str) -> Column:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import re
 import sys
+from json.encoder import encode_basestring
 
-from jsonloom.functions.grammar import NUMBER, STRING, Tape, decoded, fold, parse
+from jsonloom.functions.grammar import NUMBER, STRING, decoded, fold, parse, valid
 from jsonloom.functions.numbers import canonical
 
 _TOKENS = re.compile(rb'("(?:[^"\\]|\\.)*+")|[ \t\n\r]+', re.DOTALL)
@@ -14,12 +16,15 @@ _TRAILING = re.compile(rb"[ \t\n\r]*\Z")
 #: The short escapes.
 _SHORT = {'"': '\\"', "\\": "\\\\", "\b": "\\b", "\f": "\\f", "\n": "\\n", "\r": "\\r", "\t": "\\t"}
 _SPECIAL = re.compile('["\\\\\x00-\x1f\u2028\u2029]')
+_HTML = re.compile("[<>&]")
 _SPECIAL_HTML = re.compile('["\\\\\x00-\x1f\u2028\u2029<>&]')
 
 
 def quoted(text: str, html: bool = False) -> str:
     """A string token: short escapes, \\u00XX for other control characters, U+2028 and U+2029 escaped; html: <, > and & too.
     Lone surrogates, which UTF-8 can't have, become \\ufffd."""
+    if text.isascii() and not (html and _HTML.search(text)):
+        return encode_basestring(text)
     out = (_SPECIAL_HTML if html else _SPECIAL).sub(lambda m: _SHORT.get(m[0]) or f"\\u{ord(m[0]):04x}", text)
     return '"' + re.sub("[\ud800-\udfff]", r"\\ufffd", out) + '"'
 
@@ -81,16 +86,30 @@ def canonicalize(data: bytes) -> str:
     return normalize(data, order=True)
 
 
-def model(tape: Tape, root: int = 0):
-    """For containment: dicts (the last duplicate counts), lists, and (kind, value) with decoded strings and canonical numbers."""
-    return fold(tape, lambda kind, raw: (kind, decoded(raw) if kind == STRING else canonical(raw.decode()) if kind == NUMBER else raw), list, dict, root)
+def _number(spelling: str) -> tuple[str, str]:
+    return NUMBER, canonical(spelling)
+
+
+_load = json.JSONDecoder(parse_int=_number, parse_float=_number).decode
+_CONSTANTS = {b"true": True, b"false": False, b"null": None}
+
+
+def model(text: str):
+    """For containment: dicts (the last duplicate counts), lists, strings, booleans, None, and numbers as (number, canonical)."""
+    if not valid(text):
+        parse(text.encode("utf-8", "surrogatepass"))
+    try:
+        return _load(text)
+    except RecursionError:
+        tape = parse(text.encode())
+        return fold(tape, lambda kind, raw: decoded(raw) if kind == STRING else _number(raw.decode()) if kind == NUMBER else _CONSTANTS[raw], list, dict)
 
 
 def contains(haystack, needle) -> bool:
     """Containment of models as PostgreSQL's jsonb defines it: an array at the top also contains an equal scalar."""
     sys.setrecursionlimit(max(sys.getrecursionlimit(), 40_000))
-    if type(haystack) is list and type(needle) is tuple:
-        return needle in haystack
+    if type(haystack) is list and type(needle) not in (dict, list):
+        return any(type(x) is type(needle) and x == needle for x in haystack)
     return _contains(haystack, needle)
 
 
@@ -100,7 +119,7 @@ def _contains(haystack, needle) -> bool:
     if type(needle) is dict:
         return all(k in haystack and _contains(haystack[k], v) for k, v in needle.items())
     if type(needle) is list:
-        scalars = {x for x in haystack if type(x) is tuple}
-        others = [x for x in haystack if type(x) is not tuple]
-        return all(x in scalars if type(x) is tuple else any(_contains(y, x) for y in others) for x in needle)
+        scalars = {(type(x), x) for x in haystack if type(x) not in (dict, list)}
+        others = [x for x in haystack if type(x) in (dict, list)]
+        return all(any(_contains(y, x) for y in others) if type(x) in (dict, list) else (type(x), x) in scalars for x in needle)
     return haystack == needle

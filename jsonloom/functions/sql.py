@@ -49,7 +49,7 @@ SCALARS: dict[str, tuple[Callable, T.DataType]] = {
     "json_entry_count": (lambda x: len(_tape(x)), T.IntegerType()),
     "json_get": (_get(False), T.StringType()),
     "json_get_first": (_get(True), T.StringType()),
-    "json_contains": (lambda a, b: D.contains(D.model(_tape(a)), D.model(_tape(b))), T.BooleanType()),
+    "json_contains": (lambda a, b: D.contains(D.model(a), D.model(b)), T.BooleanType()),
     "json_number_canon": (lambda x: N.canonical(x) if G.valid(x) and x.strip(" \n\r\t")[0] in "-0123456789" else None, T.StringType()),
     "json_compact": (lambda x: D.compact(x.encode()).decode(), T.StringType()),
     "json_indent": (lambda x, prefix, step: D.indent(x.encode(), prefix, step).decode(), T.StringType()),

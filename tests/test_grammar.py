@@ -7,6 +7,7 @@ from jsonloom.functions import documents as D
 from jsonloom.functions import grammar as G
 from jsonloom.functions import numbers as N
 from jsonloom.functions import pointer as P
+from jsonloom.functions import spans as S
 
 #: Documents and verdicts by the grammar of RFC 8259.
 ACCEPTED = ["null", " true ", "0", "-0", "1e99999", "-1.5E+3", '""', '"\\u00e9\\n"', '"\\ud83d\\ude00"', "[]", "{}", "[1,[2],{}]", '{"a":1,"a":2}', "\t[\r\n]\n", '" "', "[0.1e-5]"]
@@ -99,7 +100,7 @@ def test_properties_of_random_documents():
             assert D.compact(D.indent(data, prefix, step)) == D.compact(data)
         canonical = D.canonicalize(data)
         assert D.canonicalize(canonical.encode()) == canonical and json.loads(canonical) == value
-        assert D.contains(D.model(tape), D.model(tape))
+        assert D.contains(D.model(text), D.model(text))
         # every truncation and every changed byte agrees between the two parsers
         for _ in range(5):
             cut = text[: rng.randint(0, len(text))]
@@ -219,4 +220,25 @@ CONTAINMENT = [
 
 @pytest.mark.parametrize(("haystack", "needle", "want"), CONTAINMENT)
 def test_containment(haystack, needle, want):
-    assert D.contains(D.model(G.parse(haystack.encode())), D.model(G.parse(needle.encode()))) is want
+    assert D.contains(D.model(haystack), D.model(needle)) is want
+
+
+def test_spans_agree_with_the_tape():
+    rng = random.Random(6)
+    pointers = [P.compile_pointer(x) for x in ("", "/k1", "/k2/0", "/0", "/1/k3", "/k4/k5", "/-", "/k1/k1/k1", "/01")]
+    for _ in range(300):
+        text = json.dumps(document(rng), ensure_ascii=rng.random() < 0.5, indent=rng.choice([None, 1]))
+        if rng.random() < 0.5:
+            text = text.replace('"k2"', '"k1"')
+        tape = G.parse(text.encode())
+        for pointer in pointers:
+            try:
+                at = P.get(tape, pointer)
+                want = None if at is None else tape.raw(at).decode()
+            except P.PointerError:
+                with pytest.raises(P.PointerError):
+                    S.get(text, pointer)
+                continue
+            assert S.get(text, pointer) == want
+        if text.lstrip()[0] == "{":
+            assert [(k, text[a:b]) for k, a, b in S.members(text, 0)] == [(tape.text(k), tape.raw(v).decode()) for k, v in tape.members(0)]
