@@ -6,6 +6,8 @@ columns, so that their text is the same in Spark and in DuckDB.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -15,6 +17,8 @@ from jsonloom.functions import columns as C
 from jsonloom.operators import codec as K
 from jsonloom.operators.generators import JsonEachArray, JsonEachObject, JsonTape
 from jsonloom.plans.rewrite import Get, with_gets
+from jsonloom.sources import jsonvalues
+from jsonloom.streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -66,7 +70,7 @@ def json_get_group_count(spark, sf):
     return e.select(C.json_get("props", "/k").alias("k")).groupBy("k").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT event_type, count(*) AS n, sum(CASE WHEN event_id % 3 <> 0 THEN 1 ELSE 0 END) AS n_valid FROM events GROUP BY 1""")
+@query("""SELECT event_type, count(*) AS n, count(*) FILTER (event_id % 3 <> 0) AS n_valid FROM events GROUP BY 1""")
 def json_valid_count(spark, sf):
     broken = F.when(F.expr("event_id % 3 = 0"), F.concat(document(), F.lit(" x"))).otherwise(document())
     e = events(spark, sf).select("event_type", C.json_valid(broken).alias("v"))
@@ -80,7 +84,7 @@ def json_validate_offset(spark, sf):
     return e.select("event_id", "v.offset", "v.line", "v.column", "v.message")
 
 
-@query(WITH_DOCS + "SELECT event_type, sum(34) AS entries FROM d GROUP BY 1")
+@query(WITH_DOCS + "SELECT event_type, 34 * count(*) AS entries FROM d GROUP BY 1")
 def json_entry_count(spark, sf):
     return docs(spark, sf).groupBy("event_type").agg(F.sum(C.json_entry_count("doc")).alias("entries"))
 
@@ -99,7 +103,7 @@ def json_get_array_index(spark, sf):
     return d.where("i >= 3").groupBy("i").agg(F.count("*").alias("n"))
 
 
-@query(WITH_DOCS + """SELECT count(*) AS n, count(json_extract(doc, '/nope')) AS absent, sum(CASE WHEN CAST(json_extract(doc, '/u/n') AS VARCHAR) = 'null' THEN 1 ELSE 0 END) AS nulls,
+@query(WITH_DOCS + """SELECT count(*) AS n, count(json_extract(doc, '/nope')) AS absent, count(*) FILTER (CAST(json_extract(doc, '/u/n') AS VARCHAR) = 'null') AS nulls,
 count(json_extract(doc, '/t/9')) AS beyond FROM d""")
 def json_get_missing_is_null(spark, sf):
     return docs(spark, sf).agg(F.count("*").alias("n"), F.count(C.json_get("doc", "/nope")).alias("absent"), F.sum(C.json_is_null(C.json_get("doc", "/u/n")).cast("int")).alias("nulls"), F.count(C.json_get("doc", "/t/9")).alias("beyond"))
@@ -158,13 +162,13 @@ def json_kind_histogram(spark, sf):
     return docs(spark, sf).select(F.explode(raws).alias("m")).groupBy(C.json_kind("m.value").alias("kind")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT event_type, sum(CAST(json_extract(props, '/k') AS BIGINT)) AS total, min(event_id % 100) AS low FROM events GROUP BY 1")
+@query("SELECT event_type, CAST(sum(CAST(json_extract(props, '/k') AS BIGINT)) AS BIGINT) AS total, min(event_id % 100) AS low FROM events GROUP BY 1")
 def json_int64_sum(spark, sf):
     e = events(spark, sf).select("event_type", C.json_int64(C.json_get("props", "/k")).alias("k"), F.expr("event_id % 100").alias("r"))
     return e.groupBy("event_type").agg(F.sum("k").alias("total"), F.min("r").alias("low"))
 
 
-@query("SELECT event_type, sum(event_id % 100) + 0.5 * count(*) AS total FROM events GROUP BY 1")
+@query("SELECT event_type, CAST(sum(event_id % 100) + 0.5 * count(*) AS DOUBLE) AS total FROM events GROUP BY 1")
 def json_float64_sum(spark, sf):
     d = docs(spark, sf).select("event_type", C.json_float64(C.json_get("doc", "/f")).alias("f"))
     return d.groupBy("event_type").agg(F.sum("f").alias("total"))
@@ -178,7 +182,7 @@ def json_number_accessors(spark, sf):
     return e.select("event_id", C.json_int64("raw").alias("i"), C.json_uint64("raw").alias("u"), C.json_is_integer("raw").alias("whole"), C.json_number_text("raw").alias("spelled"))
 
 
-@query(WITH_DOCS + "SELECT event_type, json_extract_string(doc, '/s') AS s, count(*) AS n, sum(CASE WHEN json_extract(doc, '/t/2') THEN 1 ELSE 0 END) AS yes FROM d GROUP BY 1, 2")
+@query(WITH_DOCS + "SELECT event_type, json_extract_string(doc, '/s') AS s, count(*) AS n, count(*) FILTER (CAST(json_extract(doc, '/t/2') AS BOOLEAN)) AS yes FROM d GROUP BY 1, 2")
 def json_text_decode(spark, sf):
     d = docs(spark, sf).select("event_type", C.json_text(C.json_get("doc", "/s")).alias("s"), C.json_bool(C.json_get("doc", "/t/2")).alias("b"))
     return d.groupBy("event_type", "s").agg(F.count("*").alias("n"), F.sum(F.col("b").cast("int")).alias("yes"))
@@ -243,7 +247,7 @@ def json_number_canon_group(spark, sf):
     return g.select("v", "n")
 
 
-@query("SELECT count(*) AS n, sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) AS same FROM events")
+@query("SELECT count(*) AS n, count(*) FILTER (event_type = 'click') AS same FROM events")
 def json_string_equality(spark, sf):
     e = events(spark, sf).select(C.json_string_equal(_text('"', "=event_type", '"'), F.lit('"\\u0063lick"')).alias("same"))
     return e.agg(F.count("*").alias("n"), F.sum(F.col("same").cast("int")).alias("same"))
@@ -400,3 +404,51 @@ def json_union(spark, sf):
 def json_except(spark, sf):
     nations = spark.read.parquet(f"{sf}/nation.parquet").select(F.col("n_nationkey").cast("string").alias("k"))
     return events(spark, sf).select(C.json_get("props", "/k").alias("k")).subtract(nations)
+
+
+# Sources, sinks and streams
+
+
+def _folder(spark: SparkSession) -> str:
+    """A new folder that all executors share; a local one where none is set."""
+    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.gettempdir()}/json-{uuid.uuid4().hex}"
+
+
+@query("SELECT event_id, user_id, event_type, props FROM events")
+def json_ndjson_roundtrip(spark, sf):
+    e, folder = events(spark, sf).select("event_id", "user_id", "event_type", "props"), _folder(spark)
+    jsonvalues.write_ndjson(e, folder)
+    lines = jsonvalues.read_ndjson(spark, folder).where("valid")
+    return lines.select(K.json_decode("value", e.schema, mode=C.FAILFAST).alias("x")).select("x.*")
+
+
+@query("SELECT event_id AS id, 'object' AS kind FROM events UNION ALL SELECT event_id % 10, 'array' FROM events")
+def json_concat_reader(spark, sf):
+    folder = _folder(spark)
+    stuck = _text('{"id":', "=event_id", "}[", "=event_id % 10", "] ").alias("value")
+    events(spark, sf).select(stuck).write.text(folder)
+    v = jsonvalues.read_values(spark, folder)
+    id_ = F.coalesce(C.json_int64(C.json_get("value", "/id", C.PERMISSIVE)), C.json_int64(C.json_get_index("value", 0)))
+    return v.select(id_.alias("id"), C.json_kind("value").alias("kind"))
+
+
+@query("SELECT event_id, event_id AS id FROM events WHERE event_id % 3 <> 0 UNION ALL SELECT event_id, NULL FROM events WHERE event_id % 3 = 0")
+def json_typed_values(spark, sf):
+    folder = _folder(spark)
+    line = F.when(F.expr("event_id % 3 = 0"), _text('{"id":"', "=event_id", '"}')).otherwise(_text('{"id":', "=event_id", "}"))
+    events(spark, sf).select(line.alias("value")).write.text(folder)
+    found = jsonvalues.decode_values(jsonvalues.read_values(spark, folder).withColumn("raw", F.col("value")), "id bigint", C.PERMISSIVE)
+    back = jsonvalues.read_values(spark, folder).select("path", "ordinal", F.coalesce(C.json_int64(C.json_get("value", "/id")), C.json_text(C.json_get("value", "/id")).try_cast("bigint")).alias("event_id"))
+    return found.join(back, ["path", "ordinal"]).select("event_id", "doc.id")
+
+
+@query("SELECT CAST(ts AS DATE) AS day, CAST(json_extract(props, '/k') AS BIGINT) % 5 AS k, count(*) AS n FROM events GROUP BY 1, 2")
+def json_stream_windows(spark, sf):
+    e = events(spark, sf)
+    stream = spark.readStream.schema(e.schema).parquet(f"{sf}/events.parque[t]")
+    counts = streams.windowed_counts(stream, "props", "/k", "ts", "1 day", "1 day")
+    name = f"windows_{uuid.uuid4().hex}"
+    run = counts.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", _folder(spark)).trigger(availableNow=True).start()
+    run.awaitTermination()
+    k = C.json_int64("key") % 5
+    return spark.table(name).groupBy(F.to_date("window.start").alias("day"), k.alias("k")).agg(F.sum("n").alias("n"))

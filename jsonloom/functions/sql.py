@@ -89,3 +89,12 @@ def register(spark: SparkSession) -> list[str]:
     for name, (kind, body) in EXPRESSIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(doc STRING) RETURNS {kind} RETURN {body}")
     return sorted([*SCALARS, *TABLE_FUNCTIONS, *EXPRESSIONS])
+
+
+def diagnostics(spark: SparkSession) -> dict[str, str]:
+    """Versions of what runs the functions."""
+    import sys
+
+    import pyarrow
+
+    return {"spark": spark.version, "python": sys.version.split()[0], "pyarrow": pyarrow.__version__, "depth": str(G.MAX_DEPTH)}

@@ -146,3 +146,21 @@ def write_ndjson(df: DataFrame, path: str, mode: str = "errorifexists", escape_h
     from jsonloom.operators.codec import json_encode
 
     df.select(json_encode(F.struct(*[F.col(f"`{c}`") for c in df.columns]), df.schema, escape_html).alias("value")).write.mode(mode).text(path)
+
+
+def decode_values(df: DataFrame, schema, mode: str = "STOP", **options) -> DataFrame:
+    """Typed rows of read_values: doc, and error (see json_decode_result), input_offset, ordinal, path.
+
+    STOP: of each file the rows before the first value that does not fit, as faults of a stream are sticky; PERMISSIVE: all rows,
+    each with its own error; FAILFAST raises."""
+    from jsonloom.operators.codec import json_decode, json_decode_result
+
+    if mode == "FAILFAST":
+        return df.select(json_decode("value", schema, mode, **options).alias("doc"), "input_offset", "ordinal", "path")
+    rows = df.withColumn("_r", json_decode_result("value", schema, **options))
+    if mode == "STOP":
+        # the first fault of each file, a number; files are joined with it, so a file's rows need not meet in one task
+        bad = F.col("_r.error").isNotNull() | F.col("value").isNull()
+        first = rows.where(bad).groupBy("path").agg(F.min("ordinal").alias("_first"))
+        rows = rows.join(first, "path", "left").where("_first is null or ordinal < _first")
+    return rows.select(F.col("_r.value").alias("doc"), F.col("_r.error").alias("error"), "input_offset", "ordinal", "path")

@@ -132,3 +132,15 @@ def test_generators(spark):
     assert [r.raw for r in before] == ["1", "2"]
     with pytest.raises(Exception, match="expected array"):
         spark.sql("SELECT * FROM json_each_array('{}')").collect()
+
+
+def test_typed_values(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"a":1} {"a":"x"} {"a":3}')
+    (tmp_path / "b.json").write_text('{"a":4}{"a":5}{')
+    values = jsonvalues.read_values(spark, str(tmp_path), "PERMISSIVE")
+    stop = jsonvalues.decode_values(values, "a bigint")
+    assert sorted((r.path[-6:], r.doc.a) for r in stop.collect()) == [("a.json", 1), ("b.json", 4), ("b.json", 5)]
+    each = jsonvalues.decode_values(values.where("value is not null"), "a bigint", "PERMISSIVE").where("error is not null").collect()
+    assert [(r.ordinal, r.error.path, r.error.reason) for r in each] == [(1, "a", "expected number")]
+    with pytest.raises(Exception, match="expected number"):
+        jsonvalues.decode_values(values, "a bigint", "FAILFAST").collect()
