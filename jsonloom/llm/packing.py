@@ -17,8 +17,10 @@ import os
 import re
 import zlib
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,7 +31,9 @@ LENGTH, END, BITS, BUCKETS = 4096, 2, 10, 256
 #: Token ids that a range is meant to hold.
 IDS_A_RANGE = 4_000_000
 #: Blank-separated chunks whose ids a worker remembers, at most.
-CACHE = 500_000
+CACHE = 350_000
+#: Bytes of text that are cut into chunks at once.
+AT_ONCE = 2_500_000
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]{0,4})")
 #: Bytes that part chunks; other white space stays in a chunk, and the tokenizer sees to it.
 BLANK = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
@@ -50,10 +54,14 @@ class Chunks:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        # for words that the vocabulary neither cuts nor changes: its merges alone, and with its spelling of bytes
+        self.plain, self.spelled = Tokenizer(self.tokenizer.model), Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.spelled.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         words = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(words.values()) + 1, bool)  # ids that end a word
         self.ends[[i for w, i in words.items() if w.endswith("</w>")]] = True
@@ -62,66 +70,81 @@ class Chunks:
 
     def forget(self) -> None:
         self.number: dict[bytes, int] = {}
-        self.stems: dict[str, np.ndarray] = {"": np.zeros(0, self.type)}
+        self.stems: dict[str, bytes] = {"": b""}
         self.flat, self.first = np.zeros(0, self.type), np.zeros(1, np.int64)
 
     def encode(self, found: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.type) for e in self.tokenizer.encode_batch_fast(found, add_special_tokens=False)]
 
-    def encode_words(self, words: list[str]) -> list[np.ndarray]:
-        """Of words that the vocabulary takes as one each: many are encoded as one text, which is cut after each word's end."""
-        found = self.encode([" ".join(words[i : i + 500]) for i in range(0, len(words), 500)])
-        ids = np.concatenate(found) if found else np.zeros(0, self.type)
-        last = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-        return [ids[a:b] for a, b in zip([0, *last], last)] if len(last) == len(words) else self.encode(words)
+    def encode_words(self, words: list[str]) -> None:
+        """Stems that the vocabulary takes as one word each: many are encoded as one text, which is cut after each word's end."""
+        for tokenizer, part in ((self.plain, [w for w in words if w.isascii()]), (self.spelled, [w for w in words if not w.isascii()])):
+            found = tokenizer.encode_batch_fast([" ".join(part[i : i + 100]) for i in range(0, len(part), 100)], add_special_tokens=False)
+            ids = np.concatenate([np.zeros(0, self.type), *(np.array(e.ids, self.type) for e in found)])
+            raw, last = ids.tobytes(), (ids.itemsize * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            whole = len(last) == len(part)
+            self.stems.update(zip(part, (raw[a:b] for a, b in zip([0, *last], last)) if whole else (x.tobytes() for x in self.encode(part))))
 
     def learn(self, new: list[bytes]) -> None:
         decoded = [w.decode("utf-8", "replace") for w in new]
         cut = [m and (m[1].lower(), m[2]) for m in map(PLAIN.fullmatch, decoded)]
         words = list({x for two in cut if two for x in two}.difference(self.stems))
-        self.stems.update(zip(words, self.encode_words(words)))
+        self.encode_words(words)
         whole = iter(self.encode([w for w, two in zip(decoded, cut) if two is None]))
-        parts = []
-        for two in cut:
-            parts += [self.stems[two[0]], self.stems[two[1]]] if two else [next(whole), self.stems[""]]
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts)).reshape(-1, 2).sum(1)
+        stems = self.stems
+        parts = [stems[two[0]] + stems[two[1]] if two else next(whole).tobytes() for two in cut]
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // self.flat.itemsize
         self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
-        self.flat = np.concatenate([self.flat, *parts])
+        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(parts), self.type)])
         self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(sizes)])
 
     def ids(self, bodies: list[bytes]) -> list[np.ndarray]:
         """Of each text (UTF-8) its ids: unsigned 16-bit numbers if all of the vocabulary's are below 65,536, else 32-bit."""
+        out, at = [], 0
+        while at < len(bodies):
+            stop, size = at, 0
+            while stop < len(bodies) and size < AT_ONCE:
+                size += len(bodies[stop])
+                stop += 1
+            out += self._ids(bodies[at:stop])
+            at = stop
+        return out
+
+    def _ids(self, bodies: list[bytes]) -> list[np.ndarray]:
         if len(self.number) > CACHE:
             self.forget()
-        joined = b"\n".join([b"", *bodies, b""])
+        joined = b"\n".join([b"", *bodies, b"       \n"])
         blank = BLANK[np.frombuffer(joined, np.uint8)]
         edges = np.flatnonzero(blank[1:] != blank[:-1]) + 1
         start, stop = edges[::2], edges[1::2]
-        _, at, which = np.unique(span_hashes(joined, start, stop), return_index=True, return_inverse=True)
+        which = pd.factorize(span_hashes(joined, start, stop))[0]  # numbers in order of appearance
+        at = np.flatnonzero(np.diff(np.maximum.accumulate(which), prepend=-1))
         chunks = [joined[a:b] for a, b in zip(start[at].tolist(), stop[at].tolist())]
-        self.learn([w for w in chunks if w not in self.number])
-        number = np.fromiter(map(self.number.__getitem__, chunks), np.int64, len(chunks))[which]
+        number = np.fromiter(map(self.number.get, chunks, repeat(-1)), np.int64, len(chunks))
+        fresh = np.flatnonzero(number < 0)
+        number[fresh] = len(self.number) + np.arange(len(fresh))
+        self.learn([chunks[i] for i in fresh.tolist()])
+        number = number[which]
         size = self.first[number + 1] - self.first[number]
         before = np.cumsum(size) - size
         ids = self.flat[np.repeat(self.first[number] - before, size) + np.arange(size.sum())]
-        texts_end = np.cumsum([len(x) + 1 for x in bodies]) if bodies else np.zeros(0, np.int64)
+        texts_end = np.cumsum([len(x) + 1 for x in bodies])
         ends = np.concatenate([before, [len(ids)]])[np.searchsorted(start, texts_end, side="left")]
         return [ids[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())]
 
 
 def span_hashes(data: bytes, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """64-bit hashes of data[start:stop] for many spans, from prefix sums of byte * BASE**place modulo 2**64."""
-    power, back = powers(1 << (len(data) + 1).bit_length())
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((np.frombuffer(data, np.uint8) + np.uint64(1)) * power[: len(data)], out=sums[1:])
-    h = (sums[stop] - sums[start]) * back[start] + (stop - start).astype(np.uint64)
-    return (h ^ h >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
-
-
-@lru_cache(maxsize=1)
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    base = 0x9E3779B97F4A7C15
-    return tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, x, np.uint64)]), dtype=np.uint64) for x in (base, pow(base, -1, 1 << 64)))
+    """64-bit hashes of data[start:stop] for many spans, eight bytes at a time; data needs eight bytes after the last span."""
+    eight = np.ndarray(max(0, len(data) - 7), "<u8", data, strides=(1,))
+    h, on, at = (stop - start).astype(np.uint64), np.arange(len(start)), start
+    while len(on):
+        left = stop[on] - at
+        mask = np.uint64(0xFFFFFFFFFFFFFFFF) >> (8 * (8 - np.minimum(left, 8))).astype(np.uint64)
+        x = (h[on] ^ eight[at] & mask) * np.uint64(0x9E3779B97F4A7C15)
+        h[on] = x ^ x >> np.uint64(29)
+        more = left > 8
+        on, at = on[more], at[more] + 8
+    return h * np.uint64(0xBF58476D1CE4E5B9)
 
 
 @lru_cache(maxsize=2)
