@@ -406,6 +406,40 @@ def json_except(spark, sf):
     return events(spark, sf).select(C.json_get("props", "/k").alias("k")).subtract(nations)
 
 
+@query("SELECT event_type, k, count(*) AS n FROM (SELECT event_type, CAST(json_extract(props, '/k') AS BIGINT) % 4 AS k FROM events) GROUP BY CUBE (event_type, k)")
+def json_cube(spark, sf):
+    e = events(spark, sf).select("event_type", (C.json_int64(C.json_get("props", "/k")) % 4).alias("k"))
+    return e.cube("event_type", "k").agg(F.count("*").alias("n"))
+
+
+@query("SELECT CAST(json_extract(props, '/k') AS VARCHAR) AS k FROM events INTERSECT SELECT CAST(n_nationkey AS VARCHAR) FROM nation")
+def json_intersect(spark, sf):
+    nations = spark.read.parquet(f"{sf}/nation.parquet").select(F.col("n_nationkey").cast("string").alias("k"))
+    return events(spark, sf).select(C.json_get("props", "/k").alias("k")).intersect(nations)
+
+
+@query("SELECT event_type, count(DISTINCT json_extract_string(props, '/k')) AS keys, count(DISTINCT user_id) AS users FROM events GROUP BY 1")
+def json_count_distinct(spark, sf):
+    e = events(spark, sf).select("event_type", C.json_get("props", "/k").alias("k"), "user_id")
+    return e.groupBy("event_type").agg(F.countDistinct("k").alias("keys"), F.countDistinct("user_id").alias("users"))
+
+
+@query("SELECT e.event_id, n.n_nationkey FROM events e JOIN nation n ON CAST(json_extract(e.props, '/k') AS BIGINT) BETWEEN n.n_nationkey * 4 AND n.n_nationkey * 4 + 1")
+def json_range_join(spark, sf):
+    # the range is cut into buckets of its width, so it is an equi-join with a filter
+    nations = spark.read.parquet(f"{sf}/nation.parquet").select(F.col("n_nationkey"), F.col("n_nationkey").cast("long").alias("bucket"))
+    e = events(spark, sf).select("event_id", C.json_int64(C.json_get("props", "/k")).alias("k"))
+    e = e.withColumn("bucket", F.floor(F.col("k") / 4))
+    return e.join(nations, "bucket").where("k - 4 * bucket <= 1").select("event_id", "n_nationkey")
+
+
+@query("SELECT event_id, k, lag(k) OVER (PARTITION BY event_type ORDER BY event_id) AS before, sum(k) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)::BIGINT AS three FROM (SELECT event_id, event_type, CAST(json_extract(props, '/k') AS BIGINT) AS k FROM events)")
+def json_window_frame(spark, sf):
+    e = events(spark, sf).select("event_id", "event_type", C.json_int64(C.json_get("props", "/k")).alias("k"))
+    w = Window.partitionBy("event_type").orderBy("event_id")
+    return e.select("event_id", "k", F.lag("k").over(w).alias("before"), F.sum("k").over(w.rowsBetween(-2, 0)).alias("three"))
+
+
 # Sources, sinks and streams
 
 
