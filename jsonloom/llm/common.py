@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +20,7 @@ WORD_TABLE = bytes(
 )
 
 #: Rows that Python gets at once; with texts of some KB that is some MB.
-BATCH_ROWS = 2000
+BATCH_ROWS = 1000
 
 
 def word_list(data: bytes) -> list[bytes]:
@@ -74,6 +77,26 @@ def restored(df: DataFrame, docs: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") if c in names else F.col(f"_column{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
+_caches: list[Callable[[], None]] = []
+_owner = [""]
+
+
+def worker_cache(clear: Callable[[], None]) -> None:
+    """Registers what empties a cache that a Python worker keeps between tasks."""
+    _caches.append(clear)
+
+
+def claim(owner: str) -> None:
+    """Called where a task starts: a worker that went on from another operator first gives back what that one has kept."""
+    if _owner[0] != owner:
+        for clear in _caches:
+            clear()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL("libc.so.6").malloc_trim(0)  # freed pages would count as the worker's
+        _owner[0] = owner
+
+
 def column(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(name).to_pylist()
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jsonloom.llm.common import WORD_TABLE, documents, small_batches, word_list
+from jsonloom.llm.common import WORD_TABLE, claim, documents, small_batches, word_list
 
 WINDOW, SAMPLE = 13, 16
 #: A shard is indexed when it has so many symbols, or so many bytes of text.
@@ -180,8 +180,8 @@ def _blocks(benchmark: DataFrame, most: int) -> list[DataFrame]:
     return [benchmark.where(block == k) for k in range(n)]
 
 
-def removal_spans(docs: DataFrame, benchmark: DataFrame, *keep: str, width: int = WINDOW, most: int = BENCHMARK_BYTES) -> DataFrame:
-    """The columns in keep, n_words, spans (array of structs start, end: words from start to end - 1 are hit; merged, in
+def removal_spans(docs: DataFrame, benchmark: DataFrame, *keep: str, width: int = WINDOW, most: int = BENCHMARK_BYTES, cut: bool = False) -> DataFrame:
+    """The columns in keep, body (the text's bytes; cut: without the spans), n_words, spans (array of structs start, end: words from start to end - 1 are hit; merged, in
     order) and items (item_ids with a window in the text, as strings, sorted) of each row of docs.
 
     A null text has no words. Items with null text or without words have no windows; windows of an item with null item_id
@@ -189,11 +189,13 @@ def removal_spans(docs: DataFrame, benchmark: DataFrame, *keep: str, width: int
     """
     out = docs.select(*keep, F.col("text").cast("binary").alias("body"), F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"))
     schema = out.schema
-    for block in _blocks(benchmark, most):
+    blocks = _blocks(benchmark, most)
+    for number, block in enumerate(blocks):
         rows = block.select(F.col("item_id").cast("string"), F.col("text").cast("binary")).collect()
         windows = docs.sparkSession.sparkContext.broadcast(Windows([(r[0], None if r[1] is None else bytes(r[1])) for r in rows], width))
 
-        def each(found):
+        def each(found, last=number == len(blocks) - 1):
+            claim("fmindex")
             held, size, symbols, ids = [], 0, 0, []
             for b in found:
                 symbol = windows.value.symbol.get
@@ -204,14 +206,14 @@ def removal_spans(docs: DataFrame, benchmark: DataFrame, *keep: str, width: int
                     size += len(body or b"")
                     symbols += int(np.count_nonzero(ids[-1]))
                 if size > BYTES or symbols > SYMBOLS:
-                    yield from flush(held, ids)
+                    yield from flush(held, ids, last)
                     held, size, symbols, ids = [], 0, 0, []
-            yield from flush(held, ids)
+            yield from flush(held, ids, last)
 
         def column_of(b):
             return b.column("body").to_pylist()
 
-        def flush(held, ids):
+        def flush(held, ids, last):
             hits, at = shard_hits(windows.value, ids), 0
             for b in held:
                 spans, items, n = [], [], []
@@ -221,6 +223,9 @@ def removal_spans(docs: DataFrame, benchmark: DataFrame, *keep: str, width: int
                     n.append(len(x))
                 at += b.num_rows
                 cols = {"n_words": pa.array(n, pa.int64()), "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), "items": pa.array(items, pa.list_(pa.string()))}
+                if cut and last:
+                    bodies = [without(x, [(z["start"], z["end"]) for z in s]) if s else x for x, s in zip(column_of(b), spans)]
+                    cols["body"] = pa.array(bodies, pa.binary())
                 yield pa.record_batch([cols.get(k, b.column(k)) for k in b.schema.names], b.schema.names)
 
         out = out.mapInArrow(each, schema)

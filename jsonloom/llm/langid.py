@@ -20,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jsonloom.llm.common import batches, column, documents, small_batches, stored, texts
+from jsonloom.llm.common import batches, claim, column, documents, small_batches, stored, texts, worker_cache
 from jsonloom.llm.tokencount import MARK, default_vocabulary, pieces
 
 WORD = 24
 WORDS = re.compile(r"[^\W\d_]{1,%d}" % WORD)
-SMOOTH, ROUNDS, CACHE = 0.05, 2, 300_000
+SMOOTH, ROUNDS, CACHE = 0.05, 2, 150_000
 #: Labelled documents that the probabilities are fitted on, about (chosen by a hash of the doc_id).
 TRAINING_ROWS = 20_000
 MOST_LANGUAGES = 1000
@@ -124,6 +124,9 @@ def lattice(path: str) -> Lattice:
     return Lattice(pieces(path))
 
 
+worker_cache(lattice.cache_clear)
+
+
 def words_of(text: str) -> list[str]:
     return WORDS.findall(text.lower())
 
@@ -151,6 +154,7 @@ def fit(labelled: DataFrame, path: str | None = None, most_rows: int = TRAINING_
     schema = pa.schema([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())])
 
     def count_words(found):
+        claim("langid")
         for b in found:
             seen: dict[str, Counter] = {}
             for lang, body in zip(column(b, "lang"), column(b, "body")):
@@ -171,6 +175,7 @@ def fit(labelled: DataFrame, path: str | None = None, most_rows: int = TRAINING_
         now = spark.sparkContext.broadcast(table)
 
         def expect(found):
+            claim("langid")
             index = {x: i for i, x in enumerate(languages)}
             total = np.zeros(now.value.shape)
             for b in found:
@@ -198,6 +203,7 @@ def identify(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     schema_text = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in kept) + ", lang_pred string, score double"
 
     def each(found):
+        claim("langid")
         m, finder = shared.value, lattice(shared.value.path)
         row, scores = {}, np.zeros((CACHE * 2, len(m.languages)), np.float32)
         for b in found:
@@ -226,10 +232,11 @@ def identify(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
                 best = int(total.argmax())
                 names.append(m.languages[best])
                 values.append(float(1 / np.exp(total - total[best]).sum()))
-            cols = [b.column(k) for k in kept]
+            cols = [b.column("body").view(pa.string()) if k == "text" else b.column(k) for k in kept]
             yield pa.record_batch([*cols, pa.array(names, pa.string()), pa.array(values, pa.float64())], [*kept, "lang_pred", "score"])
 
-    return docs.select(*kept, F.col("text").cast("binary").alias("body")).mapInArrow(each, schema_text)
+    moved = [k for k in kept if k != "text"]  # the text comes back from its bytes
+    return docs.select(*moved, F.col("text").cast("binary").alias("body")).mapInArrow(each, schema_text)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jsonloom.llm.common import aside, column, components, documents, restored, small_batches, stored
+from jsonloom.llm.common import aside, claim, column, components, documents, restored, small_batches, stored, worker_cache
 
 TAU, FUZZY, HOT, FINER = 1, 20, 64, 16
 #: Sets of keys or line hashes are broadcast up to so many, shuffled beyond.
@@ -111,6 +111,9 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, x, np.uint64)]), dtype=np.uint64) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
 
 
+worker_cache(_powers.cache_clear)
+
+
 class Rolled:
     """Hashes of any substrings of some lines, from prefix sums of byte * BASE**place modulo 2**64."""
 
@@ -191,6 +194,7 @@ def parsed(docs: DataFrame, tau: int, fuzzy: int) -> DataFrame:
     doc) and side (in pos); DOCUMENT: the number of lines (in pos)."""
 
     def each(found):
+        claim("linedup")
         names, seen = ["kind", "doc_id", "doc", "pos", "id"], set()
         table = lambda kind, ids, doc, pos, line: pa.record_batch([pa.array(np.full(len(doc), kind, np.int8)), ids, pa.array(doc), pa.array(pos), pa.array(line)], names)
         for b in found:
@@ -246,6 +250,7 @@ def bodies_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     wanted = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r[0] for r in ids.toLocalIterator()], np.int64)) if few else None)
 
     def each(found):
+        claim("linedup")
         given: set[int] = set()
         for b in found:
             lines = [x for body in column(b, "body") for x in split_lines(body) if x]

@@ -25,11 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jsonloom.llm.common import batches, column, documents, small_batches, stored, texts
+from jsonloom.llm.common import batches, claim, column, documents, small_batches, stored, texts, worker_cache
 
 LENGTH, END, BITS, BUCKETS = 4096, 2, 10, 256
 #: Token ids that a range is meant to hold.
 IDS_A_RANGE = 4_000_000
+#: Beyond so many ranges, ranges grow (their quantiles and counts are held by one process).
+MOST_RANGES = 50_000
 #: Blank-separated chunks whose ids a worker remembers, at most.
 CACHE = 350_000
 #: Bytes of text that are cut into chunks at once.
@@ -152,6 +154,9 @@ def chunks(path: str) -> Chunks:
     return Chunks(path)
 
 
+worker_cache(chunks.cache_clear)
+
+
 @lru_cache(maxsize=1)
 def _projection() -> np.ndarray:
     return np.random.default_rng(7).standard_normal((BUCKETS, 3))
@@ -196,6 +201,7 @@ def tokenised(docs: DataFrame, path: str, end: int | None = END) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def each(found):
+        claim("packing")
         schema = None
         vocabulary = chunks(path)
         tail = np.array([] if end is None else [end], vocabulary.type)
@@ -230,7 +236,7 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, end: in
     kind = docs.schema["doc_id"].dataType.simpleString()
     made = stored(tokenised(docs, path, end))
     total = made.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), total // IDS_A_RANGE + 1)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), min(total // IDS_A_RANGE + 1, MOST_RANGES))
     at = [i / parts for i in range(1, parts)]
     edges = np.unique(np.array((made.agg(F.percentile_approx("key", at, 20 * parts)).first()[0] if total and at else None) or [], np.int64))
 
@@ -245,6 +251,7 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, end: in
     tail, kind_of_id = cuts(total, length), chunks(path).type
 
     def lay(found):
+        claim("packing.lay")
         part, here, schema = None, 0, None
         for b in found:
             schema = schema or pa.schema([b.schema.field("doc_id"), *((k, pa.int64()) for k in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")), ("ids", pa.binary())])

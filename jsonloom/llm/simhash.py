@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jsonloom.llm.common import batches, column, components, documents, small_batches, stored, texts
+from jsonloom.llm.common import batches, claim, column, components, documents, small_batches, stored, texts
 
 #: Fixed value: generator polynomial of the binary Golay code, x^11+x^10+x^6+x^5+x^4+x^2+1.
 GOLAY = 0b110001110101
@@ -50,6 +50,7 @@ def fingerprints(docs: DataFrame, n: int = 3) -> DataFrame:
     schema = pa.schema([("doc_id", docs.schema["doc_id"].dataType.typeName() == "string" and pa.string() or pa.int64()), ("fp", pa.int64())])
 
     def each(found):
+        claim("simhash")
         for b in found:
             fps = np.fromiter((fingerprint(x, n) for x in column(b, "body")), np.uint64, b.num_rows)
             yield [b.column("doc_id").cast(schema[0].type), pa.array(fps.view(np.int64))]
@@ -117,6 +118,7 @@ def links(distinct: DataFrame, bits: int = 2) -> DataFrame:
     """Pairs (a, b) of distinct fingerprints (column fp) that differ in 1 to `bits` bits, each in both directions."""
 
     def replicate(found):
+        claim("simhash")
         for b in found:
             fp = b.column("fp").to_numpy()
             for i in range(0, len(fp), 1000):

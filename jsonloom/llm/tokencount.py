@@ -12,7 +12,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from jsonloom.llm.common import batches, column, documents, small_batches, texts
+from jsonloom.llm.common import batches, claim, column, documents, small_batches, texts, worker_cache
 
 MARK = "▁"
 CACHE = 400_000
@@ -95,11 +95,15 @@ def automaton(path: str) -> Automaton:
     return Automaton(pieces(path))
 
 
+worker_cache(automaton.cache_clear)
+
+
 def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_words (runs without white space) and n_tokens of each row; null and empty texts have 0 of both."""
     path, kind = path or default_vocabulary(), docs.schema["doc_id"].dataType.simpleString()
 
     def each(found):
+        claim("tokencount")
         counts = automaton(path)
         for b in found:
             words = [(x or b"").decode("utf-8", "replace").split() for x in column(b, "body")]
