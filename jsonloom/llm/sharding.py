@@ -11,6 +11,8 @@
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -55,8 +57,9 @@ def shuffle(rows: DataFrame, keys: list[Column], shards: int = 16, seed: int = 4
     counts = {r["_part"]: r["n"] for r in rows.groupBy("_part").agg(F.count("*").alias("n")).collect()}
     order = sorted(counts)
     # the matrix: a short row for each partition; Spark broadcasts it only if it is below its threshold
-    plan = [(p, np.cumsum(row).tolist()) for p, row in zip(order, matrix([counts[p] for p in order], shards, seed))]
-    bounds = spark.createDataFrame(plan, "_part long, _bounds array<long>")
+    plan = [{"_part": p, "_bounds": np.cumsum(row).tolist()} for p, row in zip(order, matrix([counts[p] for p in order], shards, seed))]
+    bounds = F.explode(F.from_json(F.lit(json.dumps(plan)), "array<struct<_part: bigint, _bounds: array<bigint>>>")).alias("_row")
+    bounds = spark.range(1).select(bounds).select("_row.*")
     ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy("_part").orderBy(hashed("local"), *keys)))
     placed = ranked.join(bounds, "_part").withColumn("shard", F.size(F.filter("_bounds", lambda b: b < F.col("_rank"))))
     spans = max(1, parts // shards)
