@@ -211,7 +211,11 @@ def json_extract_many(c: Column | str, pointers: dict[str, str], mode: str = PER
 
     def each(text: str):
         _valid(text)
-        return {k: _got(text, p) for k, p in compiled.items()}
+        try:
+            return S.get_many(text, compiled)
+        except RecursionError:
+            tape = _parse(text)
+            return {k: _span(tape, P.get(tape, p)) for k, p in compiled.items()}
 
     return per_document(each, out, mode)(c)
 

@@ -34,15 +34,26 @@ def strip(raw: bytes) -> bytes:
     return _TOKENS.sub(rb"\1", raw)
 
 
+def _checked(data: bytes) -> str:
+    """The document's text; raises its fault if it has one."""
+    try:
+        text = data.decode()
+    except UnicodeDecodeError:
+        text = ""
+    if not valid(text):
+        parse(data)
+    return text
+
+
 def compact(data: bytes) -> bytes:
-    parse(data)
+    _checked(data)
     return strip(data)
 
 
 def indent(data: bytes, prefix: str, step: str) -> bytes:
     """One member or element a line, each line with prefix and as many steps as its depth; empty containers stay closed, tokens
     and blanks after the document stay as they are."""
-    parse(data)
+    _checked(data)
     out, depth, fresh = [], 0, False  # fresh: right after an opening bracket
     line = lambda: f"\n{prefix}{step * depth}".encode()
     for m in _PIECES.finditer(data):
@@ -70,10 +81,42 @@ def _scalar(kind: str, raw: bytes) -> str:
     return quoted(decoded(raw)) if kind == STRING else raw.decode()
 
 
+class _Spelling(str):
+    """A number as it is spelled."""
+
+
+class _Pairs(list):
+    """An object's members."""
+
+
+_pairs = json.JSONDecoder(parse_int=_Spelling, parse_float=_Spelling, object_pairs_hook=_Pairs).decode
+_WORDS = {True: "true", False: "false", None: "null"}
+
+
+def _written(v, order: bool) -> str:
+    kind = type(v)
+    if kind is str:
+        return quoted(v)
+    if kind is _Spelling:
+        return v
+    if kind is _Pairs:
+        if order:
+            v.sort(key=lambda kv: kv[0].encode())
+        return "{" + ",".join([quoted(k) + ":" + _written(x, order) for k, x in v]) + "}"
+    if kind is list:
+        return "[" + ",".join([_written(x, order) for x in v]) + "]"
+    return _WORDS[v]
+
+
 def normalize(data: bytes, order: bool = False) -> str:
     """Compact, with strings written anew and numbers verbatim; order: members sorted by their decoded key's UTF-8, all of a
     repeated key kept in their order."""
 
+    try:
+        return _written(_pairs(_checked(data)), order)
+    except RecursionError:
+        pass  # too deep for both; the tape has no such bound
+
     def obj(members):
         if order:
             members.sort(key=lambda kv: kv[0].encode("utf-8", "surrogatepass"))

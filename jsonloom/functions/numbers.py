@@ -7,9 +7,12 @@ import math
 import numpy as np
 
 _CHUNK = 4000  # digits that int() and str() are sure to take
+_BIG = 10**_CHUNK
 
 
 def _integer(digits: str) -> int:
+    if len(digits) <= _CHUNK:
+        return int(digits)
     out = 0
     for i in range(0, len(digits), _CHUNK):
         part = digits[i : i + _CHUNK]
@@ -19,8 +22,8 @@ def _integer(digits: str) -> int:
 
 def _digits(n: int) -> str:
     out = []
-    while n >= 10**_CHUNK:
-        n, low = divmod(n, 10**_CHUNK)
+    while n >= _BIG:
+        n, low = divmod(n, _BIG)
         out.append(str(low).zfill(_CHUNK))
     return str(n) + "".join(reversed(out))
 

@@ -24,12 +24,19 @@ def root(text: str) -> tuple[int, int]:
 
 def members(text: str, at: int) -> Iterator[tuple[str, int, int]]:
     """Decoded keys and spans of the object at this place."""
+    for key, _, _, start, end in members_with_keys(text, at):
+        yield key, start, end
+
+
+def members_with_keys(text: str, at: int) -> Iterator[tuple[str, int, int, int, int]]:
+    """Decoded keys, their own spans, and the values' spans."""
     i = _blank(text, at + 1).end()
     while text[i] != "}":
+        first = i
         key, i = scanstring(text, i + 1, True)
         start = _blank(text, _blank(text, i).end() + 1).end()
         end = _skip(text, start)[1]
-        yield key, start, end
+        yield key, first, i, start, end
         i = _blank(text, end).end()
         if text[i] == ",":
             i = _blank(text, i + 1).end()
@@ -66,3 +73,34 @@ def get(text: str, pointer: Pointer) -> str | None:
             return None
         start, end = found
     return text[start : end if end >= 0 else _skip(text, start)[1]]
+
+
+def get_many(text: str, pointers: dict[str, Pointer]) -> dict[str, str | None]:
+    """As get, for several pointers: each container is gone through once."""
+    out: dict[str, str | None] = dict.fromkeys(pointers)
+    todo = [(*root(text), 0, list(pointers.items()))]
+    while todo:
+        start, end, depth, wanted = todo.pop()
+        below: dict = {}
+        for name, pointer in wanted:
+            if len(pointer.tokens) == depth:
+                out[name] = text[start:end]
+            else:
+                below.setdefault(pointer.tokens[depth].text, []).append((name, pointer))
+        if not below:
+            continue
+        if text[start] == "{":
+            spans = {key: (a, b) for key, a, b in members(text, start) if key in below}
+        elif text[start] == "[":
+            indexes = {}
+            for key, group in below.items():
+                token = group[0][1].tokens[depth]
+                if token.fault:
+                    raise PointerError(group[0][1].text, token.fault)
+                if token.index is not None:
+                    indexes[token.index] = key
+            spans = {indexes[n]: span for n, span in enumerate(elements(text, start)) if n in indexes}
+        else:
+            continue
+        todo += [(*span, depth + 1, below[key]) for key, span in spans.items()]
+    return out

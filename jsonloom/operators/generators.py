@@ -7,6 +7,25 @@ from collections.abc import Iterator
 from pyspark.sql import functions as F
 
 from jsonloom.functions import grammar as G
+from jsonloom.functions import spans as S
+
+
+_KINDS = {'"': G.STRING, "{": G.OBJECT, "[": G.ARRAY, "t": G.BOOL, "f": G.BOOL, "n": G.NULL}
+
+
+def _quickly(doc: str | None, bracket: str) -> list[tuple] | None:
+    """Key, key's source, value's source and kind of the root's children if the document is valid, of this kind and not too deep."""
+    if doc is None or not G.valid(doc):
+        return None
+    try:
+        start = S.root(doc)[0]
+        if doc[start] != bracket:
+            return None
+        if bracket == "[":
+            return [(None, None, doc[a:b], _KINDS.get(doc[a], G.NUMBER)) for a, b in S.elements(doc, start)]
+        return [(k, doc[i:j], doc[a:b], _KINDS.get(doc[a], G.NUMBER)) for k, i, j, a, b in S.members_with_keys(doc, start)]
+    except RecursionError:
+        return None
 
 
 def _tape(doc: str) -> tuple[G.Tape | None, G.JsonSyntaxError | None]:
@@ -41,6 +60,10 @@ class JsonEachArray:
     """json_each_array(doc[, mode]): an array's elements in order."""
 
     def eval(self, doc: str, mode: str = "FAILFAST"):
+        found = _quickly(doc, "[")
+        if found is not None:
+            yield from ((pos, raw, kind) for pos, (_, _, raw, kind) in enumerate(found))
+            return
         for pos, tape, _, v in _children(doc, mode, G.ARRAY):
             yield pos, tape.raw(v).decode(), tape.kind[v]
 
@@ -50,6 +73,10 @@ class JsonEachObject:
     """json_each_object(doc[, mode]): an object's members in order, duplicates kept."""
 
     def eval(self, doc: str, mode: str = "FAILFAST"):
+        found = _quickly(doc, "{")
+        if found is not None:
+            yield from ((pos, *child) for pos, child in enumerate(found))
+            return
         for pos, tape, k, v in _children(doc, mode, G.OBJECT):
             yield pos, tape.text(k), tape.raw(k).decode(), tape.raw(v).decode(), tape.kind[v]
 

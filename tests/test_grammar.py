@@ -240,5 +240,13 @@ def test_spans_agree_with_the_tape():
                     S.get(text, pointer)
                 continue
             assert S.get(text, pointer) == want
+        good = {p.text: p for p in pointers if p.text != "/01"}
+        try:
+            want = {k: S.get(text, p) for k, p in good.items()}
+        except P.PointerError:
+            with pytest.raises(P.PointerError):
+                S.get_many(text, good)
+        else:
+            assert S.get_many(text, good) == want
         if text.lstrip()[0] == "{":
             assert [(k, text[a:b]) for k, a, b in S.members(text, 0)] == [(tape.text(k), tape.raw(v).decode()) for k, v in tape.members(0)]
