@@ -81,15 +81,15 @@ def _scalar(kind: str, raw: bytes) -> str:
     return quoted(decoded(raw)) if kind == STRING else raw.decode()
 
 
-class _Spelling(str):
+class Spelling(str):
     """A number as it is spelled."""
 
 
-class _Pairs(list):
+class Pairs(list):
     """An object's members."""
 
 
-_pairs = json.JSONDecoder(parse_int=_Spelling, parse_float=_Spelling, object_pairs_hook=_Pairs).decode
+load = json.JSONDecoder(parse_int=Spelling, parse_float=Spelling, object_pairs_hook=Pairs).decode
 _WORDS = {True: "true", False: "false", None: "null"}
 
 
@@ -97,9 +97,9 @@ def _written(v, order: bool) -> str:
     kind = type(v)
     if kind is str:
         return quoted(v)
-    if kind is _Spelling:
+    if kind is Spelling:
         return v
-    if kind is _Pairs:
+    if kind is Pairs:
         if order:
             v.sort(key=lambda kv: kv[0].encode())
         return "{" + ",".join([quoted(k) + ":" + _written(x, order) for k, x in v]) + "}"
@@ -113,7 +113,7 @@ def normalize(data: bytes, order: bool = False) -> str:
     repeated key kept in their order."""
 
     try:
-        return _written(_pairs(_checked(data)), order)
+        return _written(load(_checked(data)), order)
     except RecursionError:
         pass  # too deep for both; the tape has no such bound
 

@@ -492,6 +492,45 @@ def _rows(value: Any, kind: T.DataType) -> Any:
     return value
 
 
+class _NeedsTape(Exception):
+    """What the C parser's values can't tell: places in the source, and the source of what is no number."""
+
+
+class _Kinds:
+    _names = {str: G.STRING, D.Spelling: G.NUMBER, D.Pairs: G.OBJECT, list: G.ARRAY, bool: G.BOOL, type(None): G.NULL}
+
+    def __getitem__(self, value: Any) -> str:
+        return self._names[type(value)]
+
+
+class _Values:
+    """Looks like a tape to the decoders, where an entry is the value itself as the C parser gives it."""
+
+    kind = _Kinds()
+
+    @property
+    def start(self):
+        raise _NeedsTape
+
+    @staticmethod
+    def raw(value: Any) -> bytes:
+        if type(value) is D.Spelling:
+            return value.encode()
+        if type(value) is bool:
+            return b"true" if value else b"false"
+        raise _NeedsTape
+
+    @staticmethod
+    def text(value: str) -> str:
+        return value
+
+    @staticmethod
+    def elements(value: list) -> list:
+        return value
+
+    members = elements
+
+
 class Decoder:
     """A compiled schema; decode(text) gives dicts, lists and scalars or raises JsonSyntaxError or DecodeError."""
 
@@ -500,6 +539,11 @@ class Decoder:
         self.each = _decoder(schema, {}, self.options, "")
 
     def decode(self, text: str, old: Any = None) -> Any:
+        if self.options.max_depth == G.MAX_DEPTH and G.valid(text):
+            try:
+                return self.each(_Values(), D.load(text), old)
+            except (_NeedsTape, RecursionError):
+                pass  # a misfit, whose place the tape tells, or a field that keeps its source
         return self.each(G.parse(text.encode("utf-8", "surrogatepass"), self.options.max_depth), 0, old)
 
     def decode_prefix(self, text: str) -> tuple[Any, int]:
