@@ -235,7 +235,7 @@ def json_contains_join(spark, sf):
     nations = spark.read.parquet(f"{sf}/nation.parquet").select("n_nationkey", _text('{"a":', "=n_nationkey", ".0}").alias("needle"))
     e = events(spark, sf).groupBy(F.expr("event_id % 25").alias("r")).agg(F.count("*").alias("m"))  # 25 documents against 25 needles
     e = e.select("m", _text('{"a":', "=r", ',"b":1}').alias("doc"))
-    hits = e.join(F.broadcast(nations), C.json_contains(F.col("doc"), F.col("needle")))
+    hits = e.join(nations, C.json_contains(F.col("doc"), F.col("needle")))
     return hits.groupBy("n_nationkey").agg(F.sum("m").alias("n"))
 
 
