@@ -2,7 +2,8 @@
 
 A shingle's hash combines its words' 64-bit hashes; each of PERMUTATIONS universal hashes (multiply and add modulo 2**64) runs
 over all shingles of a text in numpy, and the least value of each, cut to 16 bits, is the signature. Near-duplicates meet in
-bands of the signature, joined in Spark, and their shingle sets' Jaccard similarity is verified.
+bands of the signature, joined in Spark (large bands are compared in blocks), and their shingle sets' Jaccard similarity is
+verified.
 """
 
 from __future__ import annotations
@@ -15,11 +16,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jsonloom.llm.common import batches, column, components, documents, small_batches, stored, texts
+from jsonloom.llm.common import batches, claim, column, components, documents, small_batches, stored, texts
 
 PERMUTATIONS, SHINGLE, CACHE = 128, 5, 400_000
 #: Bands of the signature: with four values each, a pair of similarity 0.8 misses all of them once in 10**7.
 BANDS = 32
+#: Bands with more nodes are compared in blocks of about so many, over so many shingles at once.
+HOT, BLOCK, COLUMNS = 32, 1024, 2048
+#: Pairs whose signatures agree in less than the similarity minus this are not fetched; a pair of 0.8 falls below once in 10**10.
+SLACK = 0.25
+#: Nodes are broadcast up to so many, shuffled beyond.
+BROADCAST_IDS = 1_000_000
 #: Rows that a range of doc_ids is meant to hold.
 ROWS_A_RANGE = 20_000
 
@@ -140,33 +147,88 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(each, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
-def near_duplicates(docs: DataFrame, least: float = 0.8, n: int = SHINGLE) -> DataFrame:
-    """doc_id and class_id (the smallest doc_id that links of Jaccard similarity `least` or more reach) of each row.
-
-    Rows with equal shingle sets (equal texts among them) are one node; its bands meet those of others in an equi-join, which
-    adaptive execution splits at hot bands; shingle hashes of the pairs that agree in a band decide. Texts without words are
-    one node. A null doc_id is no class's smallest."""
-    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("signature", pa.binary()), ("shingles", pa.binary())])
+def set_id(hashes: np.ndarray) -> int:
+    """A signed 64-bit hash of a set of shingle hashes (sorted, each once)."""
+    return xxhash.xxh64_intdigest(hashes.tobytes()) - (1 << 63)
+
+
+def forest(nodes: np.ndarray, sets: list[np.ndarray], least: float, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that span the components of the pairs (one of left, one of right: places in nodes) of this Jaccard similarity."""
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    found, column_of, n = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    place = np.cumsum(n > 1) - 1
+    kept = n[column_of] > 1
+    row, place = row[kept], place[column_of[kept]]
+    order = np.argsort(place, kind="stable")
+    row, place = row[order], place[order]
+    both = np.zeros((len(left), len(right)), np.float32)
+    for i in range(0, int(place[-1]) + 1 if len(place) else 0, COLUMNS):
+        a, b = np.searchsorted(place, (i, i + COLUMNS))
+        has = np.zeros((len(sets), COLUMNS), np.float32)
+        has[row[a:b], place[a:b] - i] = 1
+        both += has[left] @ has[right].T
+    near = both >= least * (sizes[left][:, None] + sizes[right][None, :] - both.astype(np.float64))
+    of_left, of_right = np.full(len(nodes), -1), np.full(len(nodes), -1)
+    of_left[left], of_right[right] = np.arange(len(left)), np.arange(len(right))
+    seen, out = np.zeros(len(nodes), bool), []
+    for first in range(len(nodes)):
+        if seen[first]:
+            continue
+        seen[first], todo = True, [first]
+        while todo:
+            x = todo.pop()
+            hit = np.zeros(len(nodes), bool)
+            if of_left[x] >= 0:
+                hit[right[near[of_left[x]]]] = True
+            if of_right[x] >= 0:
+                hit[left[near[:, of_right[x]]]] = True
+            new = np.flatnonzero(hit & ~seen)
+            seen[new] = True
+            todo += new.tolist()
+            out.append((np.full(len(new), nodes[x]), nodes[new]))
+    return tuple(np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 2
+
+
+def set_roots(docs: DataFrame, least: float = 0.8, n: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
+    """doc_id and node (its shingle set) of each row; node and root of the nodes that links of this Jaccard similarity reach.
+
+    Pairs of a band of at most HOT nodes are filtered by their signatures, then verified by their shingles. In larger ones the
+    sets are compared in blocks of about BLOCK, each pair of blocks in a task of its own that counts what sets have in common
+    by products of matrices and gives the edges of a spanning forest: the rows grow with the nodes, not with their pairs."""
+    kind = docs.schema["doc_id"].dataType
+    doc_type = pa.string() if kind.typeName() == "string" else pa.int64()
+    schema = pa.schema([("doc_id", doc_type), ("node", pa.int64()), ("signature", pa.binary())])
 
     def each(found):
+        claim("minhash")
         words = Words()
         for b in found:
             sets = [np.unique(shingle_hashes(x or b"", words, n)) for x in column(b, "body")]
-            node = [xxhash.xxh64_intdigest(s.tobytes()) for s in sets]
-            yield from batches(schema, [[b.column("doc_id"), pa.array(np.array(node, np.uint64).view(np.int64)), [signature(s).tobytes() for s in sets], [s.tobytes() for s in sets]]])
+            yield from batches(schema, [[b.column("doc_id").cast(doc_type), [set_id(s) for s in sets], [signature(s).tobytes() for s in sets]]])
 
-    rows = stored(texts(docs, "doc_id").mapInArrow(each, "doc_id long, node long, signature binary, shingles binary"))
-    nodes = stored(rows.groupBy("node").agg(F.min("signature").alias("signature"), F.min("shingles").alias("shingles")))
+    rows = stored(texts(docs, "doc_id").mapInArrow(each, f"doc_id {kind.simpleString()}, node long, signature binary"))
+    nodes = rows.select("node", "signature").dropDuplicates(["node"])
 
     def bands(found):
         width = 2 * PERMUTATIONS // BANDS
         for b in found:
             node, sigs = b.column("node").to_numpy(), column(b, "signature")
             keys = np.array([[xxhash.xxh64_intdigest(s[i * width : (i + 1) * width], i) for i in range(BANDS)] for s in sigs], np.uint64).reshape(-1)
-            yield pa.record_batch([pa.array(keys.view(np.int64)), pa.array(np.repeat(node, BANDS))], ["band", "a"])
+            yield pa.record_batch([pa.array(keys.view(np.int64)), pa.array(np.repeat(node, BANDS))], ["band", "node"])
+
+    banded = nodes.mapInArrow(bands, "band long, node long")
+    sizes = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    met = stored(banded.join(sizes, "band"))
+    ids = stored(met.select("node").distinct())
+    signatures = stored(nodes.join(ids, "node"))
+    sets = sets_of(docs, ids, n)
 
-    banded = nodes.select("node", "signature").mapInArrow(bands, "band long, a long")
-    pairs = stored(banded.join(banded.withColumnRenamed("a", "b"), "band").where("a < b").select("a", "b").distinct())
+    def alike(found):
+        for b in found:
+            x, y = (np.frombuffer(b"".join(column(b, c)), np.uint16).reshape(-1, PERMUTATIONS) for c in "xy")
+            keep = pa.array((x == y).sum(1) >= (least - SLACK) * PERMUTATIONS, pa.bool_())
+            yield pa.record_batch([b.column(c).filter(keep) for c in "ab"], ["a", "b"])
 
     def verify(found):
         for b in found:
@@ -175,13 +237,60 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, n: int = SHINGLE) -> Da
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both >= least * (len(x) + len(y) - both))
-            yield pa.record_batch([b.column("a").filter(pa.array(keep, pa.bool_())), b.column("b").filter(pa.array(keep, pa.bool_()))], ["a", "b"])
+            keep = pa.array(keep, pa.bool_())
+            yield pa.record_batch([b.column(c).filter(keep) for c in "ab"], ["a", "b"])
+
+    cold = met.where(F.col("n") <= HOT)
+    pairs = cold.select("band", F.col("node").alias("a")).join(cold.select("band", F.col("node").alias("b")), "band").where("a < b")
+    pairs = stored(pairs.select("a", "b").distinct())
+    sides = lambda pairs, of: pairs.join(of.toDF("a", "x"), "a").join(of.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    pairs = stored(sides(pairs, signatures).mapInArrow(alike, "a long, b long"))
+    links = sides(pairs, sets).mapInArrow(verify, "a long, b long")
+
+    blocks = F.ceil(F.col("n") / BLOCK)
+    hot = met.where(F.col("n") > HOT).withColumn("block", F.pmod(F.xxhash64("node"), blocks))
+    hot = hot.select("band", "node", "block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
+    hot = hot.select("band", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "node")
+
+    def compared(group):
+        node, block = group.column("node").to_numpy(), group.column("block").to_numpy()
+        found = [np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()]
+        p, q = group.column("p")[0].as_py(), group.column("q")[0].as_py()
+        a, b = forest(node, found, least, np.flatnonzero(block == p), np.flatnonzero(block == q))
+        return pa.table({"a": pa.array(a), "b": pa.array(b)})
+
+    spanned = hot.join(sets, "node").groupBy("band", "p", "q").applyInArrow(compared, "a long, b long")
+    links = stored(links.union(spanned).distinct())
+    return rows.select("doc_id", "node"), components(links.union(links.select("b", "a")))
+
+
+def sets_of(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    """node and shingles (sorted 64-bit hashes) of these nodes (stored), from another pass over the texts."""
+    few = ids.count() <= BROADCAST_IDS
+    wanted = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r[0] for r in ids.toLocalIterator()], np.int64)) if few else None)
+
+    def each(found):
+        claim("minhash")
+        words = Words()
+        for b in found:
+            sets = [np.unique(shingle_hashes(x or b"", words, n)) for x in column(b, "body")]
+            new = {set_id(s): s for s in sets}
+            if wanted.value is not None:
+                new = {k: new[k] for k in np.intersect1d(wanted.value, np.fromiter(new, np.int64, len(new))).tolist()}
+            yield pa.record_batch([pa.array(list(new), pa.int64()), pa.array([s.tobytes() for s in new.values()], pa.binary())], ["node", "shingles"])
+
+    found = docs.select(F.col("text").cast("binary").alias("body")).mapInArrow(each, "node long, shingles binary")
+    found = found if few else found.join(ids, "node", "left_semi")
+    return stored(found.dropDuplicates(["node"]))
+
+
+def near_duplicates(docs: DataFrame, least: float = 0.8, n: int = SHINGLE) -> DataFrame:
+    """doc_id and class_id (the smallest doc_id that links of Jaccard similarity `least` or more reach) of each row.
 
-    sets = nodes.select("node", "shingles")
-    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").mapInArrow(verify, "a long, b long")
-    links = stored(both)
-    roots = components(links.union(links.select("b", "a")))
-    classed = rows.select("doc_id", "node").join(roots, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
+    Rows with equal shingle sets (equal texts among them) are one node, as are texts without words. A null doc_id is no class's
+    smallest."""
+    rows, roots = set_roots(docs, least, n)
+    classed = rows.join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
     ids = classed.groupBy("root").agg(F.min("doc_id").alias("class_id"))
     return classed.join(ids, "root").select("doc_id", "class_id")
 

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 
 from jsonloom.llm import minhash
 
@@ -91,3 +92,43 @@ def test_near_duplicates(spark, odd, none):
     assert got == sorted((k, find(k)) for k, _ in rows)
     assert len(minhash.near_duplicates(odd).collect()) == odd.count()
     assert minhash.near_duplicates(none).collect() == []
+
+
+def near_copies(rng, groups=6, size=25):
+    """Texts of a few groups, changed in some words each, with similarities on both sides of 0.8."""
+    out = []
+    for g in range(groups):
+        base = [f"w{g}x{i}" for i in range(150)]
+        for _ in range(size):
+            words = list(base)
+            for i in rng.sample(range(150), rng.randint(0, 6)):
+                words[i] = f"v{rng.randrange(10**6)}"
+            out.append(" ".join(words))
+    return out
+
+
+def brute_classes(rows, least=0.8, n=5):
+    sets = {k: {tuple(t.lower().split()[i : i + n]) for i in range(max(1, len(t.split()) - n + 1))} for k, t in rows}
+    root = {k: k for k in sets}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {k: find(k) for k in sets}
+
+
+@pytest.mark.parametrize("hot, block", [(32, 1024), (3, 8), (10**6, 1024)])
+def test_near_copies_by_pairs_and_by_blocks(spark, monkeypatch, hot, block):
+    monkeypatch.setattr(minhash, "HOT", hot)
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "COLUMNS", 64)
+    rows = list(enumerate(near_copies(random.Random(4))))
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_classes(rows)

@@ -74,3 +74,16 @@ def test_odd(spark, odd, none, sf):
                 docs = spark.createDataFrame(new.collect(), docs.schema)
             else:
                 new.collect()
+
+
+def test_near_duplicates_are_all_that_brute_force_finds(spark, sf):
+    import random
+
+    from test_minhash import brute_classes, near_copies
+
+    rows = [(k, t, "en", "a", len(t)) for k, t in enumerate(near_copies(random.Random(6), 3, 20))]
+    same = "0 " * 50  # most five-word runs are one and the same, the rest are not: equal fingerprints
+    rows += [(100 + k, same + " ".join(f"u{k}x{i}" for i in range(40)), "en", "a", 1) for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    left = {r.doc_id for r in dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, sf).collect()}
+    assert left == set(brute_classes([r[:2] for r in rows]).values())
