@@ -8,8 +8,9 @@ lines form classes, and of each class one line, the first by (doc_id, line numbe
 
 A key that over HOT lines share would give a square of pairs. For tau = 1 its lines go on to a finer index: cut into more
 segments, two lines within one edit agree in all of them but one, so the keys are the lines without one segment. That is
-exact for any number of segments, and it ends where a segment is a single byte: lines that agree but for one byte are all
-within one edit of each other, and each is linked to one of them.
+exact for any number of segments, and it ends where a segment is a single byte: lines of one length that agree but for one
+byte are all within one edit of each other, and each is linked to one of them; a line that is longer by one byte is linked to
+the lines that it is without one of its bytes.
 
 Lines are runs between line feeds, without blanks at their ends; empty lines are neither counted nor removed. Lines shorter
 than FUZZY bytes match only if equal, as an edit there changes too much. Lengths, segments and edits are in bytes. Lines are
@@ -18,7 +19,7 @@ identified by 64-bit hashes.
 
 from __future__ import annotations
 
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pandas as pd
@@ -119,9 +120,9 @@ class Rolled:
 
     def __init__(self, lines: list[bytes]):
         data = np.frombuffer(b"".join(lines), np.uint8)
-        power, self.back = _powers(1 << (len(data) + 1).bit_length())
+        self.power, self.back = _powers(1 << (len(data) + 1).bit_length())
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data + np.uint64(1)) * power[: len(data)], out=self.sums[1:])
+        np.cumsum((data + np.uint64(1)) * self.power[: len(data)], out=self.sums[1:])
         self.sizes = np.fromiter(map(len, lines), np.int64, len(lines))
         self.first = np.cumsum(self.sizes) - self.sizes
 
@@ -177,6 +178,17 @@ def finer_keys(lines: list[bytes], pieces: int, fuzzy: int) -> tuple[np.ndarray,
     return _gathered(found)
 
 
+def deletion_keys(lines: list[bytes], fuzzy: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As segment_keys: side 1 is the whole line, side 0 the line without one of its bytes."""
+    rolled, found = Rolled(lines), []
+    for length, part in rolled.lengths(fuzzy):
+        found.append((part, _mixed(rolled.hash(part, 0, length), length), 1))
+        for at in range(length if length > fuzzy else 0):
+            h = rolled.hash(part, 0, at) + rolled.hash(part, at + 1, length - at - 1) * rolled.power[at]
+            found.append((part, _mixed(h, length - 1), 0))
+    return _gathered(found)
+
+
 def split_lines(body: bytes | None) -> list[bytes]:
     return [x.strip(BLANKS) for x in body.split(b"\n")] if body else []
 
@@ -278,19 +290,27 @@ def finer(bodies: DataFrame, hot: DataFrame, pieces: int, fuzzy: int) -> DataFra
         if longest is None:
             return pairs
 
-        def each(found, pieces=pieces):
-            for b in found:
-                ids, lines_ = b.column("id").to_numpy(), column(b, "body")
-                for i in range(0, len(lines_), 200):
-                    r, key, side = finer_keys(lines_[i : i + 200], pieces, fuzzy)
-                    yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(ids[i : i + 200][r]), pa.array(side)], ["key", "id", "side"])
+        def keyed(lines, keys):
+            def each(found):
+                for b in found:
+                    ids, lines_ = b.column("id").to_numpy(), column(b, "body")
+                    for i in range(0, len(lines_), 200):
+                        r, key, side = keys(lines_[i : i + 200])
+                        yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(ids[i : i + 200][r]), pa.array(side)], ["key", "id", "side"])
+
+            return lines.mapInArrow(each, "key long, id long, side long")
 
-        new, hot = met(lines.mapInArrow(each, "key long, id long, side long"))
+        new, hot = met(keyed(lines, partial(finer_keys, pieces=pieces, fuzzy=fuzzy)))
         pairs = new if pairs is None else pairs.union(new)
-        if pieces > longest:  # lines at a key agree but for one byte
-            least = hot.groupBy("key").agg(F.min("id").alias("a"))
-            star = hot.join(least, "key").where("a != id").select("a", F.col("id").alias("b"))
-            return pairs.union(star).distinct()
+        if pieces > longest:  # index lines at a key agree but for one byte; a longer line has one of them as it is
+            index = hot.where("side = 1")
+            least = index.groupBy("key").agg(F.min("id").alias("a"))
+            star = index.join(least, "key").where("a != id").select("a", F.col("id").alias("b"))
+            lines = bodies.join(_small(stored(hot.select("id").distinct())), "id")
+            keys = stored(keyed(lines, partial(deletion_keys, fuzzy=fuzzy)))
+            whole = _small(stored(keys.where("side = 1").select("key", F.col("id").alias("a"))))
+            longer = keys.where("side = 0").select("key", F.col("id").alias("b")).join(whole, "key").select("a", "b")
+            return pairs.union(star.union(longer).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
         pieces *= FINER
 
 

@@ -120,3 +120,17 @@ def test_text_without_lines(spark):
     rows = [(1, "first line that is long enough\nsecond\n\nshared line of this and that"), (2, "shared line of this and thaT\nown words here and there"), (3, "shared line of this and that"), (4, None), (5, "")]
     out = {r.doc_id: (r.text, r.n_chars) for r in linedup.without_lines(spark.createDataFrame([(k, t, len(t or "")) for k, t in rows], "doc_id long, text string, n_chars long")).collect()}
     assert out == {1: (rows[0][1], len(rows[0][1])), 2: ("own words here and there", 24), 4: (None, 0), 5: ("", 0)}
+
+
+@pytest.mark.parametrize("hot", [5, 64])
+def test_hot_keys_of_lines_of_two_lengths(spark, monkeypatch, hot):
+    monkeypatch.setattr(linedup, "HOT", hot)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    rows = []
+    for where in ("north", "south", "east", "west", "upper", "lower"):
+        gate = f"The parcel was left at gate {{}} by the {where} entrance"
+        rows += [gate.format(x) for x in letters] + [gate.format(x + y) for x, y in zip(letters + letters[:12], "0123456789" * 7)]
+        rows += [gate.format(x) for x in ("%&", "%&/", "%&/(", "é")]
+    random.Random(2).shuffle(rows)
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert result(docs) == brute(list(enumerate(rows)), 1, 20)
