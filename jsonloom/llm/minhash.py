@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jsonloom.llm.common import batches, claim, column, components, documents, small_batches, stored, texts
+from jsonloom.llm.common import batches, claim, column, components, documents, small_batches, stored
 
 PERMUTATIONS, SHINGLE, CACHE = 128, 5, 400_000
 #: Bands of the signature: with four values each, a pair of similarity 0.8 misses all of them once in 10**7.
@@ -191,23 +191,24 @@ def forest(nodes: np.ndarray, sets: list[np.ndarray], least: float, left: np.nda
 
 
 def set_roots(docs: DataFrame, least: float = 0.8, n: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
-    """doc_id and node (its shingle set) of each row; node and root of the nodes that links of this Jaccard similarity reach.
+    """doc_id, doc (a hash of doc_id and text) and node (its shingle set) of each row; node and root of the nodes that links of this Jaccard similarity reach.
 
     Pairs of a band of at most HOT nodes are filtered by their signatures, then verified by their shingles. In larger ones the
     sets are compared in blocks of about BLOCK, each pair of blocks in a task of its own that counts what sets have in common
     by products of matrices and gives the edges of a spanning forest: the rows grow with the nodes, not with their pairs."""
     kind = docs.schema["doc_id"].dataType
     doc_type = pa.string() if kind.typeName() == "string" else pa.int64()
-    schema = pa.schema([("doc_id", doc_type), ("node", pa.int64()), ("signature", pa.binary())])
+    schema = pa.schema([("doc_id", doc_type), ("doc", pa.int64()), ("node", pa.int64()), ("signature", pa.binary())])
 
     def each(found):
         claim("minhash")
         words = Words()
         for b in found:
             sets = [np.unique(shingle_hashes(x or b"", words, n)) for x in column(b, "body")]
-            yield from batches(schema, [[b.column("doc_id").cast(doc_type), [set_id(s) for s in sets], [signature(s).tobytes() for s in sets]]])
+            yield from batches(schema, [[b.column("doc_id").cast(doc_type), b.column("doc"), [set_id(s) for s in sets], [signature(s).tobytes() for s in sets]]])
 
-    rows = stored(texts(docs, "doc_id").mapInArrow(each, f"doc_id {kind.simpleString()}, node long, signature binary"))
+    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("doc"), F.col("text").cast("binary").alias("body"))
+    rows = stored(rows.mapInArrow(each, f"doc_id {kind.simpleString()}, doc long, node long, signature binary"))
     nodes = rows.select("node", "signature").dropDuplicates(["node"])
 
     def bands(found):
@@ -261,7 +262,7 @@ def set_roots(docs: DataFrame, least: float = 0.8, n: int = SHINGLE) -> tuple[Da
 
     spanned = hot.join(sets, "node").groupBy("band", "p", "q").applyInArrow(compared, "a long, b long")
     links = stored(links.union(spanned).distinct())
-    return rows.select("doc_id", "node"), components(links.union(links.select("b", "a")))
+    return rows.select("doc_id", "doc", "node"), components(links.union(links.select("b", "a")))
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
@@ -295,6 +296,14 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, n: int = SHINGLE) -> Da
     return classed.join(ids, "root").select("doc_id", "class_id")
 
 
+def representatives(docs: DataFrame, least: float = 0.8, n: int = SHINGLE) -> DataFrame:
+    """doc (a hash of doc_id and text) of the first row of each class: by doc_id, null ones last, then by that hash."""
+    rows, roots = set_roots(docs, least, n)
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "doc")
+    classed = rows.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), place.alias("place"))
+    return classed.groupBy("root").agg(F.min("place").alias("place")).select("place.doc")
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return fingerprints(documents(spark, sf_dir))

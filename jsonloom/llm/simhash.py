@@ -20,12 +20,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from jsonloom.llm import minhash
 from jsonloom.llm.common import batches, claim, column, components, documents, small_batches, stored, texts
 
 #: Fixed value: generator polynomial of the binary Golay code, x^11+x^10+x^6+x^5+x^4+x^2+1.
 GOLAY = 0b110001110101
 BLOCK, RADIUS, SEED = 23, 3, 42
-BROADCAST_IDS = 1_000_000
 
 
 def shingles(words: list[bytes], n: int) -> list[bytes]:
@@ -137,40 +137,23 @@ def links(distinct: DataFrame, bits: int = 2) -> DataFrame:
     return homes.join(guests, "anchor").where((F.col("a") != F.col("b")) & (off <= bits)).select("a", "b").distinct()
 
 
-def similar(pairs: DataFrame, standing: DataFrame, docs: DataFrame, n: int, least: float) -> DataFrame:
-    """Of links between fingerprints, those whose documents' shingle sets have at least this Jaccard similarity.
-
-    standing: fp and the doc_id (column least) that stands for it. Only linked fingerprints' texts are fetched, by a broadcast
-    of their doc_ids up to BROADCAST_IDS, by a shuffle beyond."""
-    wanted = stored(standing.join(pairs.select(F.col("a").alias("fp")).distinct(), "fp").select("fp", F.col("least").alias("doc_id")))
-    small = wanted.count() <= BROADCAST_IDS
-    found = docs.select("doc_id", F.col("text").cast("binary").alias("body")).join(F.broadcast(wanted) if small else wanted, "doc_id")
-    found = stored(found.groupBy("fp").agg(F.min("body").alias("body")))
-
-    def verify(rows):
-        for b in rows:
-            keep = []
-            for x, y in zip(column(b, "x"), column(b, "y")):
-                x, y = (set(shingles((z or b"").lower().split(), n)) for z in (x, y))
-                keep.append(len(x & y) >= least * len(x | y))
-            keep = pa.array(keep, pa.bool_())
-            yield pa.record_batch([b.column("a").filter(keep), b.column("b").filter(keep)], ["a", "b"])
-
-    both = pairs.where("a < b").join(found.toDF("a", "x"), "a").join(found.toDF("b", "y"), "b")
-    kept = stored(both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"))
-    return kept.union(kept.select("b", "a"))
-
-
 def clusters(docs: DataFrame, n: int = 3, bits: int = 2, verify: float | None = None) -> DataFrame:
     """doc_id, fp and component_id (the smallest doc_id that links reach, itself included) of each row.
 
     Documents without words (null or blank texts too) have fingerprint 0 and link like any other. Rows with equal texts have
     equal fingerprints. A null doc_id stays null and is no component's smallest; a component of null ids has id null. An empty
-    table gives an empty one. verify: also ask linked fingerprints' texts for this Jaccard similarity of their shingles."""
+    table gives an empty one. verify: link by this Jaccard similarity of the shingle sets, not by fingerprints; equal
+    fingerprints alone then link nothing."""
+    if verify is not None:
+        rows, roots = minhash.set_roots(docs, verify, n)
+        fps = fingerprints(docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text"), n).withColumnRenamed("doc_id", "doc")
+        classed = rows.join(fps.dropDuplicates(["doc"]), "doc").join(roots, "node", "left").select("doc_id", "fp", F.coalesce("root", "node").alias("root"))
+        ids = classed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+        return classed.join(ids, "root").select("doc_id", "fp", "component_id")
     fps = stored(fingerprints(docs, n))
     distinct = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
     pairs = stored(links(distinct.select("fp"), bits))
-    roots = components(pairs if verify is None else similar(pairs, distinct, docs, n, verify))
+    roots = components(pairs)
     linked = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     of_fp = linked.join(ids, "root").select("fp", "component_id")

@@ -74,3 +74,10 @@ def test_verified_clusters_keep_different_short_texts_apart(spark):
 def test_query(spark, sf):
     out = {r.doc_id: r for r in simhash.op1_simhash(spark, sf).collect()}
     assert all(len(r.fingerprint) == 16 and r.component_id <= k for k, r in out.items())
+
+
+def test_verified_clusters_keep_equal_fingerprints_of_different_texts_apart(spark):
+    rows = [(k, "0 " * 50 + " ".join(f"u{k}x{i}" for i in range(40))) for k in range(4)]
+    got = simhash.clusters(spark.createDataFrame([*rows, (9, rows[2][1])], "doc_id long, text string"), n=5, verify=0.8).collect()
+    assert len({r.fp for r in got}) == 1
+    assert {r.doc_id: r.component_id for r in got} == {0: 0, 1: 1, 2: 2, 3: 3, 9: 2}
