@@ -87,3 +87,11 @@ def test_near_duplicates_are_all_that_brute_force_finds(spark, sf):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     left = {r.doc_id for r in dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, sf).collect()}
     assert left == set(brute_classes([r[:2] for r in rows]).values())
+
+
+def test_rows_that_share_a_doc_id(spark, sf):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a, "en", "a", 1), (1, b, "en", "a", 1), (1, b, "en", "a", 1), (2, a, "en", "a", 1), (None, b, "en", "a", 1), (None, c, "en", "a", 1), (None, c, "en", "a", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    left = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, sf).collect()
+    assert sorted(map(repr, left)) == sorted(map(repr, docs.where("doc_id = 1 or text like 'c%'").distinct().collect()))
