@@ -121,6 +121,9 @@ class Chunks:
         start, stop = edges[::2], edges[1::2]
         which = pd.factorize(span_hashes(joined, start, stop))[0]  # numbers in order of appearance
         at = np.flatnonzero(np.diff(np.maximum.accumulate(which), prepend=-1))
+        if not spans_equal(joined, start, stop, at[which]):
+            which = pd.factorize(np.array([joined[a:b] for a, b in zip(start.tolist(), stop.tolist())], object))[0]
+            at = np.flatnonzero(np.diff(np.maximum.accumulate(which), prepend=-1))
         chunks = [joined[a:b] for a, b in zip(start[at].tolist(), stop[at].tolist())]
         number = np.fromiter(map(self.number.get, chunks, repeat(-1)), np.int64, len(chunks))
         fresh = np.flatnonzero(number < 0)
@@ -138,7 +141,8 @@ class Chunks:
 def span_hashes(data: bytes, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     """64-bit hashes of data[start:stop] for many spans, eight bytes at a time; data needs eight bytes after the last span."""
     eight = np.ndarray(max(0, len(data) - 7), "<u8", data, strides=(1,))
-    h, on, at = (stop - start).astype(np.uint64), np.arange(len(start)), start
+    h, on, at = (stop - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93), np.arange(len(start)), start
+    h ^= h >> np.uint64(32)
     while len(on):
         left = stop[on] - at
         mask = np.uint64(0xFFFFFFFFFFFFFFFF) >> (8 * (8 - np.minimum(left, 8))).astype(np.uint64)
@@ -149,6 +153,22 @@ def span_hashes(data: bytes, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     return h * np.uint64(0xBF58476D1CE4E5B9)
 
 
+def spans_equal(data: bytes, start: np.ndarray, stop: np.ndarray, other: np.ndarray) -> bool:
+    """Whether each span has the bytes of the one whose number other gives; data needs eight bytes after the last span."""
+    eight = np.ndarray(max(0, len(data) - 7), "<u8", data, strides=(1,))
+    on = np.flatnonzero(other != np.arange(len(start)))
+    a, b, left = start[on], start[other[on]], (stop - start)[on]
+    if (left != (stop - start)[other[on]]).any():
+        return False
+    while len(a):
+        mask = np.uint64(0xFFFFFFFFFFFFFFFF) >> (8 * (8 - np.minimum(left, 8))).astype(np.uint64)
+        if ((eight[a] ^ eight[b]) & mask).any():
+            return False
+        more = left > 8
+        a, b, left = a[more] + 8, b[more] + 8, left[more] - 8
+    return True
+
+
 @lru_cache(maxsize=2)
 def chunks(path: str) -> Chunks:
     return Chunks(path)

@@ -64,3 +64,14 @@ def test_cuts():
         out = packing.cuts(total, 4096)
         assert out[0] == total // 4096 * 4096 and out[-1] == total
         assert all((b - a) & (b - a - 1) == 0 for a, b in zip(out, out[1:]))
+
+
+def test_chunks_with_nul_bytes_have_ids_of_their_own():
+    body = [b"a b\x00 a", b"c a b\x00"]
+    joined = b" ".join(body) + b"        "
+    start = np.array([0, 2, 5, 7, 9, 11])
+    stop = start + [1, 2, 1, 1, 1, 2]
+    assert [joined[x:y] for x, y in zip(start, stop)] == [b"a", b"b\x00", b"a", b"c", b"a", b"b\x00"]
+    assert len(set(packing.span_hashes(joined, start, stop).tolist())) == 3
+    assert packing.spans_equal(joined, start, stop, np.array([0, 1, 0, 3, 0, 1]))
+    assert not packing.spans_equal(joined, start, stop, np.array([0, 0, 0, 3, 0, 0]))
