@@ -30,7 +30,8 @@ from jsonloom.llm.common import batches, claim, column, documents, small_batches
 LENGTH, END, BITS, BUCKETS = 4096, 2, 10, 256
 #: Token ids that a range is meant to hold.
 IDS_A_RANGE = 4_000_000
-#: Beyond so many ranges, ranges grow (their quantiles and counts are held by one process).
+#: Beyond so many ranges, ranges grow (their quantiles and counts are held by one process). A range is sorted on disk and laid
+#: row by row, so a longer one takes time, not memory.
 MOST_RANGES = 50_000
 #: Blank-separated chunks whose ids a worker remembers, at most.
 CACHE = 350_000
@@ -52,14 +53,14 @@ class Chunks:
 
     Of a batch's chunks only the different ones (by a 64-bit hash) are looked up among those that the worker remembers; the ids
     of all are gathered in numpy. A chunk of Latin-1 letters and at most four marks after them is two words to the vocabulary,
-    which lower-cases: chunks that differ in case or marks share what is encoded."""
+    which lower-cases: chunks that differ in case or marks share what is encoded. All other chunks, those that hold an added token
+    like <|endoftext|> among them, go through the tokenizer as they are."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         # for words that the vocabulary neither cuts nor changes: its merges alone, and with its spelling of bytes
         self.plain, self.spelled = Tokenizer(self.tokenizer.model), Tokenizer(self.tokenizer.model)
         self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()

@@ -11,7 +11,6 @@ def check(docs, pieces, length=4096):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(packing.default_vocabulary())
-    tokenizer.encode_special_tokens = True
     ids = [(r.doc_id, (*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 2)) for r in docs.collect()]
     total = sum(len(x) for _, x in ids)
     by_sequence = {}
@@ -47,6 +46,14 @@ def test_odd(odd):
     check(odd, packing.pack(odd).collect())
 
 
+def test_added_tokens(spark):
+    texts = ["hello <|endoftext|> world <|startoftext|>", "a<|endoftext|>b<|endoftext|>", "<|ENDOFTEXT|>", "<|endoftext|", "word.<|startoftext|>Word!! x"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    pieces = packing.pack(docs).collect()
+    check(docs, pieces)
+    assert np.frombuffer(b"".join(p.ids for p in sorted((p for p in pieces if p.doc_id == 0), key=lambda p: p.start)), "<u4").tolist() == [3306, 49407, 1002, 49406, 2]
+
+
 def test_none(none):
     assert packing.pack(none).collect() == []
 
