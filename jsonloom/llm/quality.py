@@ -83,7 +83,10 @@ def matrix(batch, name: str = "x") -> np.ndarray:
 
 
 def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Knots and levels of the least-squares rising step function, by pooling adjacent violators; equal scores are one point."""
+    """Knots and levels of the least-squares rising step function, by pooling adjacent violators; equal scores are one point.
+
+    All levels are drawn towards one half by the same share, half a row of all, so that they keep their order and no score is
+    quite certain."""
     at, inverse = np.unique(score, return_inverse=True)
     mean, weight = np.bincount(inverse, y) / np.bincount(inverse), np.bincount(inverse).astype(float)
     pools: list[list[float]] = []
@@ -94,8 +97,7 @@ def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             p = pools[-1]
             p[:] = [(p[0] * p[1] + m * w) / (p[1] + w), p[1] + w, p[2], last]
     knots = np.array([at[int((p[2] + p[3]) // 2)] for p in pools])
-    # levels are drawn half a row towards a coin toss, so no score is quite certain
-    return knots, np.array([(p[0] * p[1] + 0.5) / (p[1] + 1) for p in pools])
+    return knots, (np.array([p[0] for p in pools]) * len(y) + 0.5) / (len(y) + 1)
 
 
 def fit(labelled: DataFrame, most_rows: int = TRAINING_ROWS) -> Model:
@@ -165,7 +167,9 @@ def scored(rows: DataFrame, model: Model, *keep: str) -> DataFrame:
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels of held-out rows are not read; a null doc_id has no label and is not held out."""
+    """doc_id, held_out, score and predicted of each row. Labels of held-out rows are not read; a null doc_id has no label and is
+    not held out. Null and empty texts have statistics, hence scores, of their own; repeated rows are scored each for itself;
+    several labels of a document count each. Without labels all scores are one half."""
     small_batches(spark)
     docs = documents(spark, sf_dir).withColumn("held_out", F.coalesce(held_out(), F.lit(False)))
     rows = stored(features(docs, "held_out"))
