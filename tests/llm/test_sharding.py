@@ -1,5 +1,8 @@
+import math
 import zlib
 
+import numpy as np
+
 from jsonloom.llm import sharding
 
 
@@ -37,12 +40,27 @@ def test_matrix_margins():
     assert max(columns) - min(columns) <= 1
 
 
-def test_large_urns_are_drawn_from_place_by_place():
-    import numpy as np
-
+def test_large_urns_have_the_exact_distribution(monkeypatch):
     left = np.array([10**9, 10**9, 2 * 10**9])
     got = sharding._drawn(np.random.default_rng(1), left, 4000)
     assert got.sum() == 4000 and abs(got[2] - 2000) < 200
+    assert sharding.hypergeometric(np.random.default_rng(1), 10**10, 0, 77) == 77
+    assert sharding.hypergeometric(np.random.default_rng(1), 0, 10**10, 77) == 0
+    assert abs(sharding.hypergeometric(np.random.default_rng(1), 3 * 10**9, 47 * 10**9, 200_000) - 12_000) < 800
+    monkeypatch.setattr(sharding, "NUMPY", 1)
+    rng, (good, bad, n), draws = np.random.default_rng(2), (30, 50, 25), 20_000
+    seen = np.bincount([sharding.hypergeometric(rng, good, bad, n) for _ in range(draws)], minlength=26)
+    want = np.array([math.comb(good, k) * math.comb(bad, n - k) / math.comb(good + bad, n) for k in range(26)]) * draws
+    often = want > 5
+    assert ((seen - want) ** 2 / want)[often].sum() < 45  # chi square with about 14 degrees of freedom
+    assert seen[~often].sum() < 40
+
+
+def test_long_matrices_are_written_in_pieces(spark, odd, tmp_path, monkeypatch):
+    odd.write.parquet(f"{tmp_path}/documents.parquet")
+    whole = sorted(map(repr, sharding.op10_sharding(spark, str(tmp_path)).collect()))
+    monkeypatch.setattr(sharding, "PIECE", 1)
+    assert sorted(map(repr, sharding.op10_sharding(spark, str(tmp_path)).collect())) == whole
 
 
 def test_order_is_shuffled(spark, sf):
