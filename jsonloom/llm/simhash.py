@@ -1,10 +1,12 @@
 """SimHash near-duplicates by anchor-point covering.
 
-The anchors are the words of a covering code: the product of two binary Golay codes [23, 12] over the low 46 bits of the
-64-bit fingerprint. The Golay code is perfect with covering radius 3, so each fingerprint has exactly one home anchor. A
-fingerprint within `bits` of another one differs from it in t1 bits of the first block and t2 of the second with
-t1 + t2 <= bits, hence lies within 3 + t1 and 3 + t2 of the other's home: fingerprints are replicated to the anchors within
-those radii (68 for two bits, whatever the data) and compared with the fingerprints at home there, over all 64 bits.
+The anchors are the words of a covering code of all 64 bits: the product of four perfect codes, two binary Golay codes [23, 12],
+a Hamming code [15, 11] and a repetition code [3, 1]. In a perfect code each word has exactly one home within the covering
+radius, so each fingerprint has exactly one home anchor, of 2**36. A fingerprint within `bits` of another one differs from it
+in t1 .. t4 bits of the four blocks, t1 + .. + t4 <= bits, hence lies within each block's radius + t of the other's home there:
+fingerprints are replicated to the anchors within those radii (about 165 for two bits, whatever the data) and compared with
+the fingerprints at home there, over all 64 bits. As the anchors cover all bits, an anchor's fingerprints agree but for a few
+bits: what is compared grows with the fingerprints, not with their square.
 
 Only distinct fingerprints are replicated, so copies cost nothing; a fingerprint has at most 64 + 2016 others within two
 bits, so links are linear in the number of distinct fingerprints however large a group of near copies is.
@@ -23,9 +25,10 @@ from pyspark.sql import functions as F
 from jsonloom.llm import minhash
 from jsonloom.llm.common import batches, claim, column, components, documents, small_batches, stored, texts
 
-#: Fixed value: generator polynomial of the binary Golay code, x^11+x^10+x^6+x^5+x^4+x^2+1.
-GOLAY = 0b110001110101
-BLOCK, RADIUS, SEED = 23, 3, 42
+#: First bit, length, generator polynomial and covering radius of the perfect cyclic codes; the polynomials are
+#: x^11+x^10+x^6+x^5+x^4+x^2+1 (Golay), x^4+x+1 (Hamming) and x^2+x+1 (repetition).
+BLOCKS = ((0, 23, 0b110001110101, 3), (23, 23, 0b110001110101, 3), (46, 15, 0b10011, 1), (61, 3, 0b111, 1))
+SEED = 42
 
 
 def shingles(words: list[bytes], n: int) -> list[bytes]:
@@ -58,60 +61,59 @@ def fingerprints(docs: DataFrame, n: int = 3) -> DataFrame:
     return texts(docs, "doc_id").mapInArrow(lambda x: batches(schema, each(x)), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
-def _syndrome(x: np.ndarray) -> np.ndarray:
+def _syndrome(x: np.ndarray, length: int, generator: int) -> np.ndarray:
     """Remainder by the generator: 0 for code words, and one value for each way to be off."""
-    x = x.astype(np.int64).copy()
-    for k in range(BLOCK - 1, 10, -1):
-        x ^= np.where(x >> k & 1, GOLAY << (k - 11), 0)
+    x, degree = x.astype(np.int64), generator.bit_length() - 1
+    for k in range(length - 1, degree - 1, -1):
+        x ^= np.where(x >> k & 1, generator << (k - degree), 0)
     return x
 
 
-@lru_cache(maxsize=4)
-def _offsets(bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """By syndrome, the error patterns of weight up to RADIUS + bits, lightest first: patterns, weights, row of each syndrome's first."""
+@lru_cache(maxsize=16)
+def _offsets(length: int, generator: int, radius: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The error patterns of weight up to radius + bits by syndrome, lightest first; how many bits each needs beyond the radius;
+    [t, syndrome]: where the syndrome's patterns that need up to t - 1 bits end (t = 0: where they begin)."""
     patterns, layer = [np.zeros(1, np.int64)], np.zeros(1, np.int64)
-    for _ in range(RADIUS + bits):
-        layer = np.unique(np.concatenate([layer[layer >> k & 1 == 0] | 1 << k for k in range(BLOCK)]))
+    for _ in range(min(length, radius + bits)):
+        layer = np.unique(np.concatenate([layer[layer >> k & 1 == 0] | 1 << k for k in range(length)]))
         patterns.append(layer)
     p = np.concatenate(patterns)
-    weight, syn = np.bitwise_count(p).astype(np.int64), _syndrome(p)
-    order = np.lexsort((p, weight, syn))
-    p, weight, syn = p[order], weight[order], syn[order]
-    return p, weight, np.searchsorted(syn, np.arange((1 << 11) + 1))
+    need, syn = np.maximum(np.bitwise_count(p).astype(np.int64) - radius, 0), _syndrome(p, length, generator)
+    order = np.lexsort((p, np.bitwise_count(p), syn))
+    p, need, syn = p[order], need[order], syn[order]
+    rank, all_ = syn * (bits + 1) + need, np.arange(1 << generator.bit_length() - 1) * (bits + 1)
+    return p, need, np.stack([np.searchsorted(rank, all_ + t) for t in range(bits + 2)])
 
 
-def _near(block: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each value the code words within RADIUS + bits: row, word, bits needed beyond the radius."""
-    p, weight, first = _offsets(bits)
-    s = _syndrome(block)
-    n = first[s + 1] - first[s]
-    row = np.repeat(np.arange(len(block)), n)
-    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + first[s][row]
-    return row, block[row] ^ p[at], np.maximum(weight[at] - RADIUS, 0)
+def _block(fp: np.ndarray, at: int, length: int) -> np.ndarray:
+    return (fp >> np.uint64(at)).astype(np.int64) & ((1 << length) - 1)
 
 
 def home(fp: np.ndarray) -> np.ndarray:
-    """The one anchor within the covering radius in both blocks."""
-    x, out = fp.view(np.int64), np.zeros(len(fp), np.int64)
-    for shift in (0, BLOCK):
-        block = x >> shift & ((1 << BLOCK) - 1)
-        p, _, first = _offsets(0)
-        out |= (block ^ p[first[_syndrome(block)]]) << shift
-    return out
+    """The one anchor within the covering radius in all blocks."""
+    fp, out = fp.view(np.uint64), np.zeros(len(fp), np.uint64)
+    for at, length, generator, radius in BLOCKS:
+        block = _block(fp, at, length)
+        p, _, ends = _offsets(length, generator, radius, 0)
+        out |= (block ^ p[ends[0][_syndrome(block, length, generator)]]).astype(np.uint64) << np.uint64(at)
+    return out.view(np.int64)
 
 
 def anchors(fp: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and anchors: all anchors at which a fingerprint within `bits` may be at home."""
-    x, mask = fp.view(np.int64), (1 << BLOCK) - 1
-    row1, word1, need1 = _near(x & mask, bits)
-    row2, word2, need2 = _near(x >> BLOCK & mask, bits)
-    start2 = np.searchsorted(row2, np.arange(len(x) + 1))
-    n = (start2[1:] - start2[:-1])[row1]
-    left = np.repeat(np.arange(len(row1)), n)
-    right = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + start2[row1][left]
-    ok = need1[left] + need2[right] <= bits
-    left, right = left[ok], right[ok]
-    return row1[left], word1[left] | word2[right] << BLOCK
+    """Rows and anchors: all anchors at which a fingerprint within `bits` may be at home. Block by block, with the bits that the
+    blocks before have left over."""
+    fp = fp.view(np.uint64)
+    row, word, left = np.arange(len(fp)), np.zeros(len(fp), np.uint64), np.full(len(fp), bits)
+    for at, length, generator, radius in BLOCKS[::-1]:
+        p, need, ends = _offsets(length, generator, radius, bits)
+        block = _block(fp, at, length)
+        syn = _syndrome(block, length, generator)[row]
+        n = ends[left + 1, syn] - ends[0, syn]
+        of = np.repeat(np.arange(len(row)), n)
+        which = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + ends[0, syn][of]
+        row, left = row[of], left[of] - need[which]
+        word = word[of] | (block[row] ^ p[which]).astype(np.uint64) << np.uint64(at)
+    return row, word.view(np.int64)
 
 
 def links(distinct: DataFrame, bits: int = 2) -> DataFrame:
@@ -121,8 +123,8 @@ def links(distinct: DataFrame, bits: int = 2) -> DataFrame:
         claim("simhash")
         for b in found:
             fp = b.column("fp").to_numpy()
-            for i in range(0, len(fp), 1000):
-                part = fp[i : i + 1000]
+            for i in range(0, len(fp), 500):
+                part = fp[i : i + 500]
                 row, anchor = anchors(part, bits)
                 yield pa.record_batch([pa.array(anchor), pa.array(part[row])], ["anchor", "b"])
 
@@ -161,6 +163,7 @@ def clusters(docs: DataFrame, n: int = 3, bits: int = 2, verify: float | None =
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits) and component_id of each row; see clusters for nulls, empty texts and repeated rows."""
     small_batches(spark)
     out = clusters(documents(spark, sf_dir))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -1,3 +1,4 @@
+import numpy as np
 import xxhash
 
 from jsonloom.llm import simhash
@@ -50,6 +51,24 @@ def test_none(none):
     assert simhash.clusters(none).collect() == []
 
 
+def test_anchors_cover_all_bits():
+    rng = np.random.default_rng(4)
+    fp = rng.integers(0, 1 << 64, 300, dtype=np.uint64)
+    at_home = simhash.home(fp)
+    assert (simhash.home(at_home) == at_home).all()  # an anchor is its own home
+    for bits in (0, 1, 2, 3):
+        row, anchor = simhash.anchors(fp, bits)
+        of = [set(anchor[row == i].tolist()) for i in range(len(fp))]
+        assert len(row) == sum(map(len, of))  # each anchor once
+        for i, f in enumerate(fp.tolist()):
+            for _ in range(20):
+                g = f
+                for b in rng.choice(64, rng.integers(0, bits + 1), replace=False).tolist():
+                    g ^= 1 << b
+                assert simhash.home(np.array([g], np.uint64))[0] in of[i]
+    assert 150 < len(simhash.anchors(fp, 2)[0]) / len(fp) < 180
+
+
 def test_links_of_near_fingerprints(spark):
     import random
 
