@@ -12,9 +12,9 @@ exact for any number of segments, and it ends where a segment is a single byte:
 byte are all within one edit of each other, and each is linked to one of them; a line that is longer by one byte is linked to
 the lines that it is without one of its bytes.
 
-Lines are runs between line feeds, without blanks at their ends; empty lines are neither counted nor removed. Lines shorter
-than FUZZY bytes match only if equal, as an edit there changes too much. Lengths, segments and edits are in bytes. Lines are
-identified by 64-bit hashes.
+Lines are runs between line feeds, without blanks at their ends; empty lines are neither counted nor removed. Lines of any
+length match within `tau` edits; `fuzzy`, 0 in the query and in the pipeline, is a length below which only equal lines match.
+Lengths, segments and edits are in bytes. Lines are identified by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from jsonloom.llm.common import aside, claim, column, components, documents, restored, small_batches, stored, worker_cache
 
-TAU, FUZZY, HOT, FINER = 1, 20, 64, 16
+TAU, FUZZY, HOT, FINER = 1, 0, 64, 16
 #: Sets of keys or line hashes are broadcast up to so many, shuffled beyond.
 BROADCAST_ROWS = 1_000_000
 #: Lines whose keys a task remembers to have given.

@@ -40,8 +40,8 @@ WITH RECURSIVE l AS (SELECT doc_id, pos - 1 AS pos, regexp_replace(regexp_replac
     FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)),
 places AS (SELECT * FROM l WHERE line <> ''),
 lines AS (SELECT line, strlen(line) AS n, min((doc_id, pos)) AS first FROM places GROUP BY 1),
-pairs AS (SELECT a.line AS a, b.line AS b FROM lines a JOIN lines b ON b.n IN (a.n, a.n + 1) AND a.line <> b.line WHERE a.n >= 20
-    AND (left(a.line, (length(a.line) // 2)::INT) = left(b.line, (length(a.line) // 2)::INT) OR right(a.line, ((length(a.line) - 1) // 2)::INT) = right(b.line, ((length(a.line) - 1) // 2)::INT)
+pairs AS (SELECT a.line AS a, b.line AS b FROM lines a JOIN lines b ON b.n IN (a.n, a.n + 1) AND a.line <> b.line
+    WHERE (left(a.line, (length(a.line) // 2)::INT) = left(b.line, (length(a.line) // 2)::INT) OR right(a.line, ((length(a.line) - 1) // 2)::INT) = right(b.line, ((length(a.line) - 1) // 2)::INT)
     OR a.n <> length(a.line) OR b.n <> length(b.line)) AND levenshtein(a.line, b.line) <= 1),
 links AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
 reach(a, b) AS (SELECT line, line FROM lines WHERE line IN (SELECT a FROM links) UNION SELECT r.a, k.b FROM reach r JOIN links k ON r.b = k.a),

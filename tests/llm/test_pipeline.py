@@ -18,7 +18,7 @@ def test_stages(spark, sf):
     rows = [(r.doc_id, r.text) for r in kept.collect()]
     lined = keep(stages["lines"](spark, kept, sf))
     gone = {}
-    for x in lines_gone(rows, 1, 20):
+    for x in lines_gone(rows, 1, 0):
         k, n, m, at = eval(x)
         gone[k] = (n, {int(i) for i in at.split(",") if i})
     want = {k: "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[k][1]) for k, t in rows if not gone[k][0] or len(gone[k][1]) < gone[k][0]}
