@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -19,8 +20,8 @@ WORD_TABLE = bytes(
     for c in range(256)
 )
 
-#: Rows that Python gets at once; with texts of some KB that is some MB.
-BATCH_ROWS = 1000
+#: Rows and bytes that Python gets at once, at most (one row may have more bytes).
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def word_list(data: bytes) -> list[bytes]:
@@ -35,12 +36,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def small_batches(spark: SparkSession) -> None:
     """Bounds what an Arrow batch holds when texts are long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Where that is unset a temporary one will do on one machine
+    (tests); on a cluster executors could not see it, and an error says so."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.match(r"local(\[[^]]*\])?$", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="jsonloom-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder

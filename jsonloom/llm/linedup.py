@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from jsonloom.llm.common import aside, claim, column, components, documents, restored, small_batches, stored, worker_cache
 
 TAU, FUZZY, HOT, FINER = 1, 0, 64, 16
+#: Bytes of lines whose keys are computed at once (one line may have more); a hash's prefix sums take 24 times as many.
+AT_ONCE = 1 << 19
 #: Sets of keys or line hashes are broadcast up to so many, shuffled beyond.
 BROADCAST_ROWS = 1_000_000
 #: Lines whose keys a task remembers to have given.
@@ -138,6 +140,18 @@ class Rolled:
         return (self.sums[begin + size] - self.sums[begin]) * self.back[begin]
 
 
+def groups(lines: list[bytes], most: int = AT_ONCE):
+    """Slices of the lines of about so many bytes."""
+    first, size = 0, 0
+    for i, x in enumerate(lines):
+        if size and size + len(x) > most:
+            yield slice(first, i)
+            first, size = i, 0
+        size += len(x)
+    if first < len(lines):
+        yield slice(first, len(lines))
+
+
 def _mixed(h: np.ndarray, *tags: int) -> np.ndarray:
     for t in tags:
         h = (h ^ np.uint64((t + 1) * 0xD6E8FEB86659FD93 % (1 << 64))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -226,10 +240,10 @@ def parsed(docs: DataFrame, tau: int, fuzzy: int) -> DataFrame:
             at = np.array([i for i, x in zip(at.tolist(), ids[at].tolist()) if x not in seen], np.int64)
             if len(seen) < SEEN:
                 seen.update(ids[at].tolist())
-            r, key, side = segment_keys([lines[i] for i in at.tolist()], tau, fuzzy)
-            for k in range(0, len(r), 100_000):
-                part = slice(k, k + 100_000)
-                yield table(KEY, pa.nulls(len(r[part]), doc_ids.type), key[part].view(np.int64), side[part], ids[at][r[part]])
+            new, new_ids = [lines[i] for i in at.tolist()], ids[at]
+            for part in groups(new):
+                r, key, side = segment_keys(new[part], tau, fuzzy)
+                yield table(KEY, pa.nulls(len(r), doc_ids.type), key.view(np.int64), side, new_ids[part][r])
 
     rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("doc"), F.col("text").cast("binary").alias("body"))
     return stored(rows.mapInArrow(each, f"kind byte, doc_id {docs.schema['doc_id'].dataType.simpleString()}, doc long, pos long, id long"))
@@ -294,9 +308,9 @@ def finer(bodies: DataFrame, hot: DataFrame, pieces: int, fuzzy: int) -> DataFra
             def each(found):
                 for b in found:
                     ids, lines_ = b.column("id").to_numpy(), column(b, "body")
-                    for i in range(0, len(lines_), 200):
-                        r, key, side = keys(lines_[i : i + 200])
-                        yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(ids[i : i + 200][r]), pa.array(side)], ["key", "id", "side"])
+                    for part in groups(lines_, AT_ONCE // 16):
+                        r, key, side = keys(lines_[part])
+                        yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(ids[part][r]), pa.array(side)], ["key", "id", "side"])
 
             return lines.mapInArrow(each, "key long, id long, side long")
 
@@ -369,8 +383,10 @@ def without_lines(docs: DataFrame, tau: int = TAU, fuzzy: int = FUZZY) -> DataFr
     rows = aside(docs, *names).withColumn("_key", F.xxhash64("doc_id", "text"))
     rows = rows.join(stored(gone.dropDuplicates(["_doc"])), F.col("_key") == F.col("_doc"), "left")
     rows = rows.where("_removed is null or size(_removed) < _n")
-    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_removed", i.cast("bigint")))
-    rows = rows.withColumn("text", F.when(F.col("_removed").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
+    places = lambda lines: F.array_except(F.sequence(F.lit(0).cast("bigint"), F.size(lines).cast("bigint") - 1), "_removed")
+    left = lambda lines: F.array_join(F.transform(places(lines), lambda i: F.get(lines, i.cast("int"))), "\n")
+    kept = F.transform(F.array(F.split("text", "\n")), left)[0]  # the text is split once, and the time is linear in its lines
+    rows = rows.withColumn("text", F.when(F.col("_removed").isNull(), F.col("text")).otherwise(kept))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.when(F.col("_removed").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
     return restored(rows, docs, *names)
