@@ -5,8 +5,9 @@ to cut it into pieces, of the products of the pieces' probabilities; a forward p
 listing the ways. A text's is the product over its words. The probabilities are fitted by expectation maximisation with a
 forward-backward pass over the distinct words of the labelled documents.
 
-Words are runs of letters, lower-cased, at most WORD characters each (a longer run is cut into several). Passes work on whole
-batches of words of one length in numpy; a worker remembers the scores of the words it has met.
+Words are runs of letters of any length, lower-cased. Passes work on whole batches of words of one length in numpy, block by
+block of places; what has been summed is scaled again and again, so no length underflows. A worker remembers the scores of the
+words it has met. Languages are worked off in blocks of LANGUAGES, so their number is not bounded.
 """
 
 from __future__ import annotations
@@ -23,12 +24,16 @@ from pyspark.sql import functions as F
 from jsonloom.llm.common import batches, claim, column, documents, small_batches, stored, texts, worker_cache
 from jsonloom.llm.tokencount import MARK, default_vocabulary, pieces
 
-WORD = 24
-WORDS = re.compile(r"[^\W\d_]{1,%d}" % WORD)
-SMOOTH, ROUNDS, CACHE = 0.05, 2, 150_000
+WORDS = re.compile(r"[^\W\d_]+")
+SMOOTH, ROUNDS = 0.05, 2
+#: Words that a worker remembers, times languages.
+CACHE = 1_200_000
+#: Characters of words, and places in them, that one step of a pass works on; places after which sums are scaled anew.
+AT_ONCE, PLACES, SCALED = 100_000, 4096, 8
+#: Languages that a pass works on at once.
+LANGUAGES = 64
 #: Labelled documents that the probabilities are fitted on, about (chosen by a hash of the doc_id).
 TRAINING_ROWS = 20_000
-MOST_LANGUAGES = 1000
 
 
 class Lattice:
@@ -58,12 +63,13 @@ class Lattice:
         h = (h ^ h >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
         return h ^ h >> np.uint64(29)
 
-    def arcs(self, words: list[str]) -> list[np.ndarray]:
-        """Of words of one length: for each piece length l from 1, the ids of the pieces at [word, start]."""
-        codes = np.array([list(map(ord, w)) for w in words], np.uint64)
-        n, h, out = codes.shape[1], np.zeros(codes.shape, np.uint64), []
-        for l in range(1, min(n, self.longest) + 1):
-            h = h[:, : n - l + 1] * np.uint64(0x9E3779B97F4A7C15) + codes[:, l - 1 :] + np.uint64(1)
+    def arcs(self, codes: np.ndarray, first: int, stop: int) -> list[np.ndarray]:
+        """codes: words of one length, [word, place]. For each piece length l from 1, the ids of the pieces at [word, start] for
+        starts from first to stop - 1, as far as they fit."""
+        n, out = codes.shape[1], []
+        h = np.zeros((len(codes), stop - first), np.uint64)
+        for l in range(1, min(n - first, self.longest) + 1):
+            h = h[:, : min(stop, n - l + 1) - first] * np.uint64(0x9E3779B97F4A7C15) + codes[:, first + l - 1 : min(stop + l - 1, n)] + np.uint64(1)
             mixed = self._mix(h)
             at = self.first[(mixed >> np.uint64(44)).astype(np.int64)]
             found = np.full(h.shape, self.size + (l > 1), np.int64)
@@ -73,48 +79,70 @@ class Lattice:
             out.append(found)
         return out
 
-    def log_likelihoods(self, words: list[str], table: np.ndarray) -> np.ndarray:
-        """log P(word) in each language: table has a row for each id, a column for each language."""
-        out = np.zeros((len(words), table.shape[1]))
+    def _parts(self, words: list[str]):
+        """Rows and codes of words of one length, some at a time."""
         by_length: dict[int, list[int]] = {}
         for i, w in enumerate(words):
             by_length.setdefault(len(w), []).append(i)
         for n, rows in by_length.items():
-            for k in range(0, len(rows), 4096):
-                part = rows[k : k + 4096]
-                arcs = self.arcs([words[i] for i in part])
-                alpha = np.zeros((n + 1, len(part), table.shape[1]))
-                alpha[0] = 1
-                for p in range(1, n + 1):
-                    for l in range(1, min(p, len(arcs)) + 1):
-                        alpha[p] += alpha[p - l] * table[arcs[l - 1][:, p - l]]
-                out[part] = np.log(np.maximum(alpha[n], 1e-300))
+            step = max(1, min(4096, AT_ONCE // n))
+            for k in range(0, len(rows), step):
+                part = rows[k : k + step]
+                yield np.array(part), np.array([list(map(ord, words[i])) for i in part], np.uint64)
+
+    def _forward(self, codes: np.ndarray, chances, shape: tuple) -> tuple:
+        """For each place the sum over all segmentations up to it, in logarithms; gives them one by one."""
+        n = codes.shape[1]
+        sums, scale = {0: np.ones(shape)}, np.zeros(shape)
+        for first in range(0, n, PLACES):
+            arcs = [chances(a) for a in self.arcs(codes, first, min(n, first + PLACES))]
+            for p in range(first, min(n, first + PLACES)):
+                here = sums.pop(p)
+                yield np.log(np.maximum(here, 1e-300)) + scale
+                for l, chance in enumerate(arcs, 1):
+                    if p + l > n or p - first >= chance.shape[1]:
+                        break
+                    more = here * chance[:, p - first]
+                    sums[p + l] = sums[p + l] + more if p + l in sums else more
+                if p % SCALED == SCALED - 1:
+                    most = np.maximum(np.maximum.reduce(list(sums.values())), 1e-300)
+                    scale = scale + np.log(most)
+                    sums = {k: v / most for k, v in sums.items()}
+        yield np.log(np.maximum(sums[n], 1e-300)) + scale
+
+    def log_likelihoods(self, words: list[str], table: np.ndarray) -> np.ndarray:
+        """log P(word) in each language: table has a row for each id, a column for each language."""
+        out = np.zeros((len(words), table.shape[1]))
+        for part, codes in self._parts(words):
+            for last in self._forward(codes, lambda ids: table[ids], (len(part), table.shape[1])):
+                pass
+            out[part] = last
         return out
 
     def expected(self, words: list[str], language: np.ndarray, count: np.ndarray, table: np.ndarray) -> np.ndarray:
         """Expected numbers of each piece, [id, language], over all segmentations of words that occur `count` times."""
         out = np.zeros(table.shape)
         flat, width = out.reshape(-1), table.shape[1]
-        by_length: dict[int, list[int]] = {}
-        for i, w in enumerate(words):
-            by_length.setdefault(len(w), []).append(i)
-        for n, rows in by_length.items():
-            for k in range(0, len(rows), 4096):
-                part = np.array(rows[k : k + 4096])
-                arcs, lang = self.arcs([words[i] for i in part]), language[part]
-                prob = [table[a, lang[:, None]] for a in arcs]
-                alpha, beta = np.zeros((n + 1, len(part))), np.zeros((n + 1, len(part)))
-                alpha[0] = beta[n] = 1
-                for p in range(1, n + 1):
-                    for l in range(1, min(p, len(arcs)) + 1):
-                        alpha[p] += alpha[p - l] * prob[l - 1][:, p - l]
-                for p in range(n - 1, -1, -1):
-                    for l in range(1, min(n - p, len(arcs)) + 1):
-                        beta[p] += beta[p + l] * prob[l - 1][:, p]
-                share = count[part] / np.maximum(alpha[n], 1e-300)
-                for l, (a, q) in enumerate(zip(arcs, prob), 1):
-                    mass = alpha[: n - l + 1].T * q * beta[l:].T * share[:, None]
-                    np.add.at(flat, (a * width + lang[:, None]).ravel(), mass.ravel())
+        for part, codes in self._parts(words):
+            n, lang = codes.shape[1], language[part]
+            chances = lambda ids, lang=lang: table[ids, lang[:, None]]
+            before = np.stack(list(self._forward(codes, chances, (len(part),))))
+            after, scale, sums = np.zeros((n + 1, len(part))), np.zeros(len(part)), {n: np.ones(len(part))}
+            for first in range((n - 1) // PLACES * PLACES, -1, -PLACES):
+                arcs = self.arcs(codes, first, min(n, first + PLACES))
+                chance = [chances(a) for a in arcs]
+                for p in range(min(n, first + PLACES) - 1, first - 1, -1):
+                    sums[p] = sum(sums[p + l] * c[:, p - first] for l, c in enumerate(chance, 1) if p - first < c.shape[1])
+                    after[p] = np.log(np.maximum(sums[p], 1e-300)) + scale
+                    sums.pop(p + self.longest, None)
+                    if p % SCALED == 0:
+                        most = np.maximum(np.maximum.reduce(list(sums.values())), 1e-300)
+                        scale = scale + np.log(most)
+                        sums = {k: v / most for k, v in sums.items()}
+                for l, (ids, c) in enumerate(zip(arcs, chance), 1):
+                    fit = ids.shape[1]
+                    share = np.exp(before[first : first + fit] + after[first + l : first + l + fit] - before[n]).T
+                    np.add.at(flat, (ids * width + lang[:, None]).ravel(), (share * c * count[part][:, None]).ravel())
         out[self.size + 1] = 0
         return out
 
@@ -136,10 +164,25 @@ def held_out():
 
 
 class Model:
-    """Piece probabilities [id, language], languages in order, log priors."""
-
-    def __init__(self, path: str, languages: list[str], table: np.ndarray, prior: np.ndarray):
-        self.path, self.languages, self.table, self.prior = path, languages, table, prior
+    """Languages in order, their log priors, and for each language the pieces that have been counted (sorted by language): pieces
+    and counts. All other pieces have the count SMOOTH alone."""
+
+    def __init__(self, path: str, size: int, languages: list[str], prior: np.ndarray, piece=(), lang=(), count=()):
+        self.path, self.size, self.languages, self.prior = path, size, languages, prior
+        lang = np.asarray(lang, np.int64)
+        order = np.argsort(lang, kind="stable")
+        self.piece, self.lang, self.count = np.asarray(piece, np.int64)[order], lang[order], np.asarray(count, float)[order]
+
+    def blocks(self) -> list[tuple[int, int]]:
+        return [(i, min(i + LANGUAGES, len(self.languages))) for i in range(0, len(self.languages), LANGUAGES)]
+
+    def table(self, first: int, stop: int) -> np.ndarray:
+        """Piece probabilities [id, language] of the languages from first to stop - 1. Uniform before any counts."""
+        out = np.full((self.size + 2, stop - first), SMOOTH)
+        a, b = np.searchsorted(self.lang, (first, stop))
+        out[self.piece[a:b], self.lang[a:b] - first] += self.count[a:b]
+        out[self.size + 1] = 0
+        return out / out.sum(0)
 
 
 def fit(labelled: DataFrame, path: str | None = None, most_rows: int = TRAINING_ROWS, rounds: int = ROUNDS) -> Model:
@@ -164,34 +207,61 @@ def fit(labelled: DataFrame, path: str | None = None, most_rows: int = TRAINING_
 
     counted = texts(labelled, "lang").mapInArrow(count_words, "lang string, word string, n long")
     counted = stored(counted.groupBy("lang", "word").agg(F.sum("n").alias("n")))
-    priors = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
-    if len(priors) > MOST_LANGUAGES:
-        raise ValueError(f"lang has over {MOST_LANGUAGES} values")
+    priors = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(priors)
-    size = lattice(path).size
-    table = np.full((size + 2, len(languages)), 1 / size)
-    table[size + 1] = 0
+    prior = np.log(np.array([priors[x] for x in languages], float) / max(1, sum(priors.values())))
+    model = Model(path, lattice(path).size, languages, prior)
     for _ in range(rounds if languages else 0):
-        now = spark.sparkContext.broadcast(table)
+        now = spark.sparkContext.broadcast(model)
 
         def expect(found):
             claim("langid")
-            index = {x: i for i, x in enumerate(languages)}
-            total = np.zeros(now.value.shape)
-            for b in found:
-                lang = np.array([index[x] for x in column(b, "lang")])
-                words = [MARK + w for w in column(b, "word")]
-                total += lattice(path).expected(words, lang, b.column("n").to_numpy().astype(float), now.value)
-            ids, lang = np.nonzero(total)
-            yield pa.record_batch([pa.array(ids), pa.array(lang), pa.array(total[ids, lang])], ["piece", "lang", "n"])
-
-        sums = counted.mapInArrow(expect, "piece long, lang long, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toPandas()
-        table = np.full((size + 2, len(languages)), SMOOTH)
-        table[sums["piece"], sums["lang"]] += sums["n"]
-        table[size + 1] = 0
-        table /= table.sum(0)
-    prior = np.log(np.array([priors[x] for x in languages], float) / max(1, sum(priors.values())))
-    return Model(path, languages, table, prior)
+            m = now.value
+            index = {x: i for i, x in enumerate(m.languages)}
+            block, total, table = -1, None, None
+
+            def sums():
+                ids, lang = np.nonzero(total)
+                return pa.record_batch([pa.array(ids), pa.array(lang + block * LANGUAGES), pa.array(total[ids, lang])], ["piece", "lang", "n"])
+
+            for b in found:  # sorted by language
+                lang = np.array([index[x] for x in column(b, "lang")], np.int64)
+                words, n = [MARK + w for w in column(b, "word")], b.column("n").to_numpy().astype(float)
+                for k in sorted(set((lang // LANGUAGES).tolist())):
+                    if k != block:
+                        if total is not None:
+                            yield sums()
+                        block, table = k, m.table(k * LANGUAGES, min((k + 1) * LANGUAGES, len(m.languages)))
+                        total = np.zeros(table.shape)
+                    of = np.flatnonzero(lang // LANGUAGES == k)
+                    total += lattice(path).expected([words[i] for i in of.tolist()], lang[of] - k * LANGUAGES, n[of], table)
+            if total is not None:
+                yield sums()
+
+        got = counted.sortWithinPartitions("lang").mapInArrow(expect, "piece long, lang long, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toPandas()
+        model = Model(path, model.size, languages, prior, got["piece"], got["lang"], got["n"])
+    return model
+
+
+class Scores:
+    """log P of lists of words in some languages; remembers words."""
+
+    def __init__(self, finder: Lattice, table: np.ndarray):
+        self.finder, self.table, self.row = finder, table, {}
+        self.scores = np.zeros((max(1, CACHE // table.shape[1]), table.shape[1]), np.float32)
+
+    def __call__(self, listed: list[list[str]]) -> np.ndarray:
+        words = list(dict.fromkeys(w for ws in listed for w in ws))
+        fresh = [w for w in words if w not in self.row]
+        if len(self.row) + len(fresh) > len(self.scores):
+            self.row, fresh = {}, words
+            if len(fresh) > len(self.scores):
+                self.scores = np.zeros((len(fresh), self.table.shape[1]), np.float32)
+        for i in range(0, len(fresh), 50_000):
+            part, at = fresh[i : i + 50_000], len(self.row)
+            self.scores[at : at + len(part)] = self.finder.log_likelihoods([MARK + w for w in part], self.table)
+            self.row.update(zip(part, range(at, at + len(part))))
+        return np.array([self.scores[[self.row[w] for w in ws]].sum(0, dtype=np.float64) for ws in listed]).reshape(len(listed), -1)
 
 
 def identify(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
@@ -205,33 +275,24 @@ def identify(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     def each(found):
         claim("langid")
         m, finder = shared.value, lattice(shared.value.path)
-        row, scores = {}, np.zeros((CACHE * 2, len(m.languages)), np.float32)
+        blocks, held = m.blocks(), None
         for b in found:
-            listed, has_letter = [], []
+            listed, ok = [], []
             for body in column(b, "body"):
                 text = (body or b"").decode("utf-8", "replace")
                 listed.append(words_of(text))
-                has_letter.append(any(map(str.isalpha, text)))
-            fresh = [w for w in dict.fromkeys(w for ws in listed for w in ws) if w not in row] if m.languages else []
-            if len(row) + len(fresh) > len(scores):
-                row, fresh = {}, list(dict.fromkeys(w for ws in listed for w in ws))
-                if len(fresh) > len(scores):
-                    scores = np.zeros((len(fresh), len(m.languages)), np.float32)
-            for i in range(0, len(fresh), 50_000):
-                part = fresh[i : i + 50_000]
-                at = len(row)
-                scores[at : at + len(part)] = finder.log_likelihoods([MARK + w for w in part], m.table)
-                row.update(zip(part, range(at, at + len(part))))
-            names, values = [], []
-            for ws, ok in zip(listed, has_letter):
-                if not ok or not m.languages:
-                    names.append("und")
-                    values.append(0.0)
-                    continue
-                total = m.prior + scores[[row[w] for w in ws]].sum(0, dtype=np.float64)
-                best = int(total.argmax())
-                names.append(m.languages[best])
-                values.append(float(1 / np.exp(total - total[best]).sum()))
+                ok.append(any(map(str.isalpha, text)) and bool(blocks))
+            best, mass, which = np.full(len(listed), -np.inf), np.zeros(len(listed)), np.zeros(len(listed), np.int64)
+            for first, stop in blocks:
+                held = held if held and len(blocks) == 1 else Scores(finder, m.table(first, stop))
+                totals = m.prior[first:stop] + held(listed)
+                top = totals.argmax(1)
+                new = np.maximum(best, totals[np.arange(len(listed)), top])
+                which = np.where(new > best, first + top, which)
+                mass = mass * np.exp(best - new) + np.exp(totals - new[:, None]).sum(1)
+                best = new
+            names = [m.languages[i] if x else "und" for i, x in zip(which.tolist(), ok)]
+            values = np.where(ok, 1 / np.maximum(mass, 1.0), 0.0)
             cols = [b.column("body").view(pa.string()) if k == "text" else b.column(k) for k in kept]
             yield pa.record_batch([*cols, pa.array(names, pa.string()), pa.array(values, pa.float64())], [*kept, "lang_pred", "score"])
 
@@ -240,7 +301,9 @@ def identify(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Learns from text and lang of documents that are not held out; a null doc_id is not held out."""
+    """doc_id, held_out, lang_pred and score of each row. Learns from text and lang of documents that are not held out; a null doc_id
+    is not held out. Null texts, texts without letters, and all texts where nothing was learned are und; repeated rows are
+    predicted each for itself."""
     small_batches(spark)
     docs = documents(spark, sf_dir).withColumn("held_out", F.coalesce(held_out(), F.lit(False)))
     model = fit(docs.where("not held_out").select("doc_id", "text", "lang"))
