@@ -1,5 +1,5 @@
 """Licence scans: an Aho-Corasick automaton finds notice phrases and identifier tags; a shunting-yard parser evaluates the
-tags' and/or/with expressions.
+tags' and/or/with expressions. An expression counts if it is well-formed and all its licences are known ones.
 
 Phrases are sought in the text's words (A-Z lower-cased, joined by one blank), so they match whole words whatever stands
 between them. After an identifier tag the rest of its line is read as an expression.
@@ -39,14 +39,30 @@ TAG = "spdx license identifier"
 BASE_WEIGHT, TAG_WEIGHT = 0.7, 0.95
 TAG_LINE = re.compile(r"spdx-license-identifier:([^\r\n]*)", re.IGNORECASE)
 TOKENS = re.compile(r"\(|\)|[a-z0-9.+:-]+", re.IGNORECASE)
-#: Beginnings of identifiers and the families they belong to, longest first where one begins another.
-FAMILIES = ("agpl", "apache", "boost", "bsd", "bsl", "cc", "epl", "gpl", "isc", "lgpl", "mit", "mpl", "unlicense")
+#: Names that public licence identifiers begin with; a version, a variant or nothing follows (a dash, a plus sign, a
+#: full stop or a digit comes next, or the end). The longest that fits is the identifier's family.
+NAMES = """0bsd aal abstyles adobe afl agpl aladdin amdplpa aml ampas antlr apache apafml apl app apsl arphic artistic baekmuk bahyph
+barr beerware bitstream bittorrent blessing blueoak borceux bsd bsl busl bzip2 c-uda cal caldera catosl cc cc-by cc-by-nc cc-by-nc-nd
+cc-by-nc-sa cc-by-nd cc-by-sa cc-pddc cc0 cddl cdl cdla cecill cern-ohl clartistic cnri coil cpal cpl cpol crossword cua curl
+d-fsl diffmark doc dotseqn drl dsdp ecl ecos efl egenix elastic entessa epics epl erlpl etalab eudatagrid eupl eurosym fair
+fdk-aac frameworx freeimage fsfap fsful ftl gfdl giftware gl2ps glide glulxe glwtpl gnuplot gpl gsoap hpnd ibm-pibs icu ijg
+imagemagick imatix imlib2 info-zip intel interbase ipa ipl isc jasper jpl-image jpnic json lal latex2e leptonica lgpl lgpllr
+libpng libselinux libtiff liliq linux-openib lppl lpl makeindex miros mit mpich2 mpl mplus ms-pl ms-rl mulanpsl multics mup naist
+nasa nbpl ncgl-uk ncsa net-snmp netcdf ngpl nlod nlpl nokia nosl npl nposl nrl ntp o-uda occt-pl oclc odbl odc-by ofl ogc ogl
+ogtsl oldap oml openssl opl osl parity pddl php polyform postgresql psf psutils python qhull qpl rpl rpsl rsa-md rscpl ruby saxpath
+scea sgi-b shl simpl sissl sleepycat smlnj snia spl sspl sugarcrm swl tapr-ohl tcl tcp-wrappers tmate torque tosl ucl-1 unicode
+unlicense upl vim vostrom vsl w3c watcom wtfpl x11 xerox xfree86 xinetd xnet xpp ypl zed zend zimbra zlib zpl""".split()
+#: Names whose label is another's, or a plainer one; references to a document's own licences have one label.
+LABELS = {"bsl": "boost", **dict.fromkeys(("cc-by", "cc-by-nc", "cc-by-nc-nd", "cc-by-nc-sa", "cc-by-nd", "cc-by-sa", "cc0"), "cc")}
+OWN = re.compile(r"(documentref-[a-z0-9.-]+:)?licenseref-[a-z0-9.-]+\Z", re.IGNORECASE)
+KNOWN = re.compile(r"(%s)(?:[-+.0-9][a-z0-9.+-]*)?\Z" % "|".join(sorted(map(re.escape, NAMES), key=lambda x: (-len(x), x))), re.IGNORECASE)
 PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 
 
-def family(identifier: str) -> str:
-    name = re.split(r"[-.+\d]", identifier.lower())[0]
-    return name if name in FAMILIES else identifier.lower()
+def family(identifier: str) -> str | None:
+    """The label of a licence identifier; None for words that are none, NONE and NOASSERTION among them."""
+    m = KNOWN.match(identifier)
+    return LABELS.get(m[1].lower(), m[1].lower()) if m else "own-terms" if OWN.match(identifier) else None
 
 
 def reverse_polish(text: str) -> list[str] | None:
@@ -134,8 +150,9 @@ def scan(data: bytes) -> tuple[int, list[tuple[int, str]], set[str], set[str], l
     if tagged:
         for m in TAG_LINE.finditer(data.decode("utf-8", "replace")):
             found = evaluate(m[1])
-            if found:
-                labels |= {family(x) for x in found[0]}
+            families = {family(x) for x in found[0]} if found else {None}
+            if None not in families:
+                labels |= families
                 choices.append(" | ".join(found[1]))
                 doubt *= 1 - TAG_WEIGHT
     base_labels = {label for _, label in base}
@@ -143,8 +160,9 @@ def scan(data: bytes) -> tuple[int, list[tuple[int, str]], set[str], set[str], l
 
 
 def licenses(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, choices (of each well-formed identifier tag) and
-    score (0: nothing found) of each row. A null text is an empty one; places count all, overlapping ones too."""
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, choices (of each identifier tag that counts) and
+    score (0: nothing found) of each row. A null text is an empty one; places count all, overlapping ones too; repeated rows are
+    scanned each for itself; an empty table gives no rows."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def each(found):
@@ -162,5 +180,6 @@ def licenses(docs: DataFrame) -> DataFrame:
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score of each row; see licenses."""
     small_batches(spark)
     return licenses(documents(spark, sf_dir)).drop("choices")

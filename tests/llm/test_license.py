@@ -61,3 +61,16 @@ def test_tags():
     n, base, base_labels, labels, choices, score = lic.scan(b"// SPDX-License-Identifier: (MIT OR Apache-2.0) AND LGPL-2.1+\ncode")
     assert not base and labels == {"mit", "apache", "lgpl"} and score > 0.9
     assert choices == ["Apache-2.0+LGPL-2.1+ | LGPL-2.1++MIT"] or len(choices) == 1
+
+
+@pytest.mark.parametrize(
+    ("tag", "labels"),
+    [
+        ("whatever I like", set()), ("NOASSERTION", set()), ("NONE", set()), ("MIT OR whatever", set()), ("mitten", set()),
+        ("BSD-3-Clause-Clear", {"bsd"}), ("CC-BY-NC-SA-4.0", {"cc"}), ("CC0-1.0", {"cc"}), ("BSL-1.0", {"boost"}), ("GPL-3.0-or-later", {"gpl"}),
+        ("Zlib and X11", {"zlib", "x11"}), ("LicenseRef-ours", {"own-terms"}), ("0BSD", {"0bsd"}), ("MPL-2.0+", {"mpl"}), ("MIT-0", {"mit"}),
+    ],
+)
+def test_only_known_licences_count(tag, labels):
+    *_, found, choices, score = lic.scan(f"# SPDX-License-Identifier: {tag}".encode())
+    assert found == labels and bool(choices) == bool(labels) == (score > 0)
