@@ -14,14 +14,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from jsonloom.llm.common import WORD_TABLE, claim, documents, small_batches, word_list
+from jsonloom.llm.common import WORD_TABLE, claim, column, documents, small_batches, word_list
 
 WINDOW, SAMPLE = 13, 16
-#: A shard is indexed when it has so many symbols, or so many bytes of text.
-SYMBOLS, BYTES = 1_000_000, 48_000_000
-#: Bytes of benchmark text that a pass takes as queries; a larger benchmark takes several passes.
-BENCHMARK_BYTES = 32_000_000
+#: Symbols that a shard may have, but for the document that it ends with; bytes of text that a task holds at once.
+SYMBOLS, BYTES = 1_000_000, 24_000_000
+#: Bytes of benchmark text that are searched for at once; a larger benchmark is worked off in blocks, for each shard one after
+#: the other, and only one block's windows are in memory.
+BENCHMARK_BYTES = 4_000_000
 RUN = re.compile(rb"[^ ]+")
 
 
@@ -97,7 +99,7 @@ class FMIndex:
         low, high = np.zeros(len(phrases), np.int64), np.full(len(phrases), self.n, np.int64)
         for j in range(phrases.shape[1]):
             on = np.flatnonzero((lengths > j) & (high > low))
-            c = phrases[on, j]
+            c = phrases[on, j].astype(np.int64)
             low[on], high[on] = self.less[c] + self.rank(c, low[on]), self.less[c] + self.rank(c, high[on])
         return low, np.maximum(low, high)
 
@@ -116,23 +118,36 @@ class FMIndex:
 
 
 class Windows:
-    """The benchmark's distinct windows over its own vocabulary, and the items that have each."""
+    """The benchmark's distinct windows over its own vocabulary, shorter ones filled up with zeros, last words first; and the
+    items that have each: owners[starts[i] : starts[i + 1]] are places in names."""
 
     def __init__(self, items: list[tuple[str | None, bytes | None]], width: int):
         self.symbol: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set[str]] = {}
+        self.names = sorted({k for k, _ in items if k is not None})
+        place = {k: i for i, k in enumerate(self.names)}
+        rows, lengths, owners = [np.zeros((0, width), np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
         for item, body in items:
-            ids = [self.symbol.setdefault(w, len(self.symbol) + 1) for w in word_list(body or b"")]
-            for i in range(max(1, len(ids) - width + 1) if ids else 0):
-                owners = found.setdefault(tuple(ids[i : i + width]), set())
-                if item is not None:
-                    owners.add(item)
-        self.items = [sorted(x) for x in found.values()]
-        self.lengths = np.array([len(w) for w in found], np.int64)
-        self.shortest = int(self.lengths.min()) if found else 0
-        self.phrases = np.zeros((len(found), width), np.int64)
-        for i, w in enumerate(found):
-            self.phrases[i, : len(w)] = w[::-1]
+            words = word_list(body or b"")
+            ids = np.fromiter((self.symbol.setdefault(w, len(self.symbol) + 1) for w in words), np.int32, len(words))
+            if not len(ids):
+                continue
+            size = min(width, len(ids))
+            new = np.zeros((len(ids) - size + 1, width), np.int32)
+            new[:, :size] = np.lib.stride_tricks.sliding_window_view(ids, size)[:, ::-1]
+            rows.append(new)
+            lengths.append(np.full(len(new), size))
+            owners.append(np.full(len(new), place.get(item, -1), np.int32))
+        rows, lengths, owners = np.concatenate(rows), np.concatenate(lengths), np.concatenate(owners)
+        raw = np.ascontiguousarray(rows).view(np.dtype((np.void, rows.itemsize * width))).ravel()
+        _, first, which = np.unique(raw, return_index=True, return_inverse=True)
+        self.phrases, self.lengths = rows[first], lengths[first]
+        self.shortest = int(self.lengths.min()) if len(first) else 0
+        pairs = np.unique(which[owners >= 0].astype(np.int64) << 32 | owners[owners >= 0])
+        self.owners = (pairs & 0xFFFFFFFF).astype(np.int32)
+        self.starts = np.searchsorted(pairs >> 32, np.arange(len(first) + 1))
+
+    def items(self, window: int) -> list[str]:
+        return [self.names[i] for i in self.owners[self.starts[window] : self.starts[window + 1]].tolist()]
 
 
 def shard_hits(windows: Windows, ids: list[np.ndarray]) -> list[tuple[list[tuple[int, int]], set[str]]]:
@@ -166,7 +181,7 @@ def shard_hits(windows: Windows, ids: list[np.ndarray]) -> list[tuple[list[tuple
             spans.append((a, b))
     pairs = np.unique(doc * len(low) + which)
     for d, w in zip((pairs // len(low)).tolist(), (pairs % len(low)).tolist()):
-        out[d][1].update(windows.items[w])
+        out[d][1].update(windows.items(w))
     return out
 
 
@@ -187,49 +202,59 @@ def removal_spans(docs: DataFrame, benchmark: DataFrame, *keep: str, width: int
     A null text has no words. Items with null text or without words have no windows; windows of an item with null item_id
     hit but are not listed. Repeated rows and ties are treated alike, each for itself. Empty tables give no spans, or no rows.
     """
-    out = docs.select(*keep, F.col("text").cast("binary").alias("body"), F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"))
-    schema = out.schema
-    blocks = _blocks(benchmark, most)
-    for number, block in enumerate(blocks):
+    shared = []
+    for block in _blocks(benchmark, most):
         rows = block.select(F.col("item_id").cast("string"), F.col("text").cast("binary")).collect()
-        windows = docs.sparkSession.sparkContext.broadcast(Windows([(r[0], None if r[1] is None else bytes(r[1])) for r in rows], width))
-
-        def each(found, last=number == len(blocks) - 1):
-            claim("fmindex")
-            held, size, symbols, ids = [], 0, 0, []
-            for b in found:
-                symbol = windows.value.symbol.get
-                held.append(b)
-                for body in column_of(b):
-                    words = word_list(body or b"")
-                    ids.append(np.fromiter((symbol(w, 0) for w in words), np.int64, len(words)))
-                    size += len(body or b"")
+        shared.append(docs.sparkSession.sparkContext.broadcast(Windows([(r[0], None if r[1] is None else bytes(r[1])) for r in rows], width)))
+        shared[-1].__dict__.pop("_value", None)  # the driver holds one block's windows at a time, too
+    names = [*keep, "body", "n_words", "spans", "items"]
+    kinds = [pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.list_(pa.string())]
+
+    def each(found):
+        claim("fmindex")
+        held, size = [], 0
+        for b in found:
+            held.append(b)
+            size += b.column("body").nbytes
+            if size > BYTES:
+                yield from flush(held)
+                held, size = [], 0
+        yield from flush(held)
+
+    def flush(held):
+        bodies = [x or b"" for b in held for x in column(b, "body")]
+        n, spans, items = [0] * len(bodies), [[] for _ in bodies], [set() for _ in bodies]
+        for block in shared:
+            windows = block.value
+            symbol, at, first = windows.symbol.get, 0, 0
+            while at < len(bodies):  # shards of so many symbols
+                ids, symbols = [], 0
+                while at < len(bodies) and symbols <= SYMBOLS:
+                    words = word_list(bodies[at])
+                    ids.append(np.fromiter((symbol(w, 0) for w in words), np.int32, len(words)))
                     symbols += int(np.count_nonzero(ids[-1]))
-                if size > BYTES or symbols > SYMBOLS:
-                    yield from flush(held, ids, last)
-                    held, size, symbols, ids = [], 0, 0, []
-            yield from flush(held, ids, last)
-
-        def column_of(b):
-            return b.column("body").to_pylist()
-
-        def flush(held, ids, last):
-            hits, at = shard_hits(windows.value, ids), 0
-            for b in held:
-                spans, items, n = [], [], []
-                for old_spans, old_items, (s, i), x in zip(b.column("spans").to_pylist(), b.column("items").to_pylist(), hits[at : at + b.num_rows], ids[at : at + b.num_rows]):
-                    spans.append([{"start": p, "end": q} for p, q in merged([*((z["start"], z["end"]) for z in old_spans), *s])])
-                    items.append(sorted({*old_items, *i}))
-                    n.append(len(x))
-                at += b.num_rows
-                cols = {"n_words": pa.array(n, pa.int64()), "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), "items": pa.array(items, pa.list_(pa.string()))}
-                if cut and last:
-                    bodies = [without(x, [(z["start"], z["end"]) for z in s]) if s else x for x, s in zip(column_of(b), spans)]
-                    cols["body"] = pa.array(bodies, pa.binary())
-                yield pa.record_batch([cols.get(k, b.column(k)) for k in b.schema.names], b.schema.names)
-
-        out = out.mapInArrow(each, schema)
-    return out
+                    at += 1
+                for i, (x, (s, found)) in enumerate(zip(ids, shard_hits(windows, ids)), first):
+                    n[i] = len(x)
+                    spans[i] += s
+                    items[i] |= found
+                first = at
+            if len(shared) > 1:
+                del windows, symbol
+                block.__dict__.pop("_value", None)
+        spans, first = [merged(s) for s in spans], 0
+        for b in held:
+            part = slice(first, first + b.num_rows)
+            first += b.num_rows
+            texts = b.column("body")
+            if cut and any(spans[part]):
+                texts = pa.array([without(x, s) if s else x for x, s in zip(column(b, "body"), spans[part])], pa.binary())
+            found = ([{"start": p, "end": q} for p, q in s] for s in spans[part])
+            yield pa.record_batch([*[b.column(k) for k in keep], texts, *[pa.array(x, t) for x, t in zip((n[part], list(found), [sorted(i) for i in items[part]]), kinds)]], names)
+
+    rows = docs.select(*keep, F.col("text").cast("binary").alias("body"))
+    schema = T.StructType([*rows.schema.fields, T.StructField("n_words", T.LongType()), *T._parse_datatype_string("spans array<struct<start:bigint,end:bigint>>, items array<string>").fields])
+    return rows.mapInArrow(each, schema)
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -255,6 +280,8 @@ def n_hit():
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of each row; see removal_spans for nulls, empty texts,
+    repeated rows and empty tables."""
     small_batches(spark)
     found = removal_spans(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "doc_id")
     return found.select(

@@ -65,6 +65,19 @@ def test_benchmark_in_blocks(spark, odd):
     assert once == often
 
 
+def test_shards_of_few_symbols(spark, odd, monkeypatch):
+    some = [r.text for r in odd.where("doc_id = 5").collect()][0].split()
+    benchmark = spark.createDataFrame([(i, " ".join(some[i : i + 20])) for i in range(0, 150, 9)], "item_id long, text string")
+    whole = sorted(map(repr, fmindex.removal_spans(odd, benchmark, "doc_id", cut=True).collect()))
+    windows = fmindex.Windows([("a", " ".join(some).encode()), ("b", " ".join(some[50:]).encode()), (None, b"own words"), ("c", None)], 13)
+    assert len(windows.phrases) == len(some) - 12 + 1 and sum(len(windows.items(i)) for i in range(len(windows.phrases))) == 2 * len(some) - 50 - 24
+    monkeypatch.setattr(fmindex, "SYMBOLS", 10)
+    monkeypatch.setattr(fmindex, "BYTES", 100)
+    found = [fmindex.shard_hits(windows, [])]
+    assert found == [[]]
+    assert sorted(map(repr, fmindex.removal_spans(odd, benchmark, "doc_id", cut=True).collect())) == whole
+
+
 @pytest.mark.parametrize("symbols", [1, 2, 5, 40])
 def test_index(symbols):
     rng = random.Random(symbols)
