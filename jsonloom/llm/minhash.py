@@ -27,8 +27,9 @@ HOT, BLOCK, COLUMNS = 32, 1024, 2048
 SLACK = 0.25
 #: Nodes are broadcast up to so many, shuffled beyond.
 BROADCAST_IDS = 1_000_000
-#: Rows that a range of doc_ids is meant to hold.
-ROWS_A_RANGE = 20_000
+#: Rows that a range of doc_ids is meant to hold. Beyond MOST_RANGES ranges, whose edges are literals of the plan, ranges get longer:
+#: they are sorted on disk and gone through row by row, so that takes time, not memory.
+ROWS_A_RANGE, MOST_RANGES = 20_000, 10_000
 
 _rng = np.random.default_rng(20)
 _A = _rng.integers(1, 1 << 63, (PERMUTATIONS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -103,7 +104,7 @@ def with_followers(docs: DataFrame) -> tuple[DataFrame, int]:
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("body"))
     total = docs.count()
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), total // ROWS_A_RANGE)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), min(total // ROWS_A_RANGE, MOST_RANGES))
     at = [i / parts for i in range(parts - 1, 0, -1)]
     edges = docs.agg(F.percentile_approx("doc_id", at, 20 * parts)).first()[0] if at and total else None
     edges = sorted(set(edges or []), reverse=True)
@@ -305,5 +306,6 @@ def representatives(docs: DataFrame, least: float = 0.8, n: int = SHINGLE) -> Da
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next of each row; see fingerprints."""
     small_batches(spark)
     return fingerprints(documents(spark, sf_dir))

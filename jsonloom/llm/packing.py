@@ -302,5 +302,6 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, end: in
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id and offset of each piece; see pack."""
     small_batches(spark)
     return pack(documents(spark, sf_dir)).drop("ids")

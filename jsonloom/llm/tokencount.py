@@ -114,5 +114,6 @@ def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words and n_tokens of each row; repeated rows each for itself, null doc_ids like others, no rows of none."""
     small_batches(spark)
     return token_counts(documents(spark, sf_dir))
