@@ -31,6 +31,9 @@ SPANS = T.ArrayType(T.StringType())
 DIAGNOSIS = T.StructType([T.StructField("ok", T.BooleanType()), T.StructField("offset", T.IntegerType()), T.StructField("line", T.IntegerType()), T.StructField("column", T.IntegerType()), T.StructField("message", T.StringType())])
 MEMBERS = T.ArrayType(T.StructType([T.StructField("key", T.StringType()), T.StructField("value", T.StringType())]))
 
+ELEMENTS = T.ArrayType(T.StructType([T.StructField("pos", T.IntegerType()), *(T.StructField(k, T.StringType()) for k in ("raw", "kind"))]))
+FIELDS = T.ArrayType(T.StructType([T.StructField("pos", T.IntegerType()), *(T.StructField(k, T.StringType()) for k in ("key", "raw_key", "raw", "kind"))]))
+
 _NUMBER = r"\A-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?\z"
 _INTEGER = r"\A-?(0|[1-9][0-9]*)\z"
 _UNSIGNED = r"\A(0|[1-9][0-9]*)\z"
@@ -139,6 +142,44 @@ def _array(text: str) -> list[str] | None:
         return [tape.raw(i).decode() for i in tape.elements(0)]
 
 
+def _children(text: str, bracket: str, mode: str) -> list[tuple]:
+    """Key, key's source, value's source and kind of the root's children; None as keys of elements."""
+    if G.valid(text):
+        try:
+            start = S.root(text)[0]
+            if text[start] == bracket:
+                return S.children(text, start)
+        except RecursionError:
+            pass
+    fault = None
+    try:
+        tape = _parse(text)
+    except G.JsonSyntaxError as e:
+        tape, fault = e.tape, e
+    kind, found = G.ARRAY if bracket == "[" else G.OBJECT, []
+    if tape is not None and len(tape):
+        if tape.kind[0] != kind:
+            fault = G.JsonSyntaxError(tape.data, tape.start[0], f"expected {kind}")
+        elif kind == G.ARRAY:
+            found = [(None, None, tape.raw(v).decode(), tape.kind[v]) for v in tape.elements(0) if tape.end[v] >= 0]
+        else:
+            found = [(tape.text(k), tape.raw(k).decode(), tape.raw(v).decode(), tape.kind[v]) for k, v in tape.members(0) if tape.end[v] >= 0]
+    if fault is not None and mode == FAILFAST:
+        raise fault
+    return found
+
+
+def _count(text: str, bracket: str) -> int | None:
+    """Children of a valid text's root, if it is of this kind."""
+    start = len(text) - len(text.lstrip(" \t\n\r"))
+    if text[start] != bracket:
+        return None
+    try:
+        return sum(1 for _ in (S.elements if bracket == "[" else S.members)(text, start))
+    except RecursionError:
+        return _parse(text).count[0]
+
+
 def _span(tape: G.Tape, i: int | None) -> str | None:
     return None if i is None else tape.raw(i).decode()
 
@@ -190,6 +231,10 @@ def json_get_first(c: Column | str, pointer: str, mode: str = PERMISSIVE, truste
     compiled = P.compile_pointer(pointer)
 
     def each(text: str):
+        try:
+            return S.get_first(text, compiled)
+        except (S.Unsure, RecursionError):
+            pass  # a fault, whose place the tape tells, or more than the C scanner takes
         try:
             tape = _parse(text)
             return _span(tape, P.get_first(tape, compiled))
@@ -220,6 +265,47 @@ def json_extract_many(c: Column | str, pointers: dict[str, str], mode: str = PER
     return per_document(each, out, mode)(c)
 
 
+def json_checked_get(c: Column | str, pointer: str) -> Column:
+    """A struct of valid (as json_valid) and value (as json_get), from one pass. A token that is no index has value NULL."""
+    compiled = P.compile_pointer(pointer)
+
+    def each(text: str):
+        if not G.valid(text):
+            return {"valid": False, "value": None}
+        try:
+            return {"valid": True, "value": _got(text, compiled)}
+        except P.PointerError:
+            return {"valid": True, "value": None}
+
+    return per_document(each, T.StructType([T.StructField("valid", T.BooleanType()), T.StructField("value", T.StringType())]))(c)
+
+
+def json_each_array(c: Column | str, mode: str = FAILFAST) -> Column:
+    """An array's elements in order as structs pos, raw, kind, for F.inline (rows) or F.inline_outer. PERMISSIVE: an invalid
+    document gives what stands before the fault, another kind of root nothing; FAILFAST raises."""
+    return per_document(lambda x: [{"pos": pos, "raw": r[2], "kind": r[3]} for pos, r in enumerate(_children(x, "[", mode))], ELEMENTS)(c)
+
+
+def json_each_object(c: Column | str, mode: str = FAILFAST) -> Column:
+    """An object's members in order, duplicates kept, as structs pos, key, raw_key, raw, kind; as json_each_array."""
+    each = lambda x: [dict(zip(("pos", "key", "raw_key", "raw", "kind"), (pos, *r))) for pos, r in enumerate(_children(x, "{", mode))]
+    return per_document(each, FIELDS)(c)
+
+
+def json_walk(c: Column | str, each: Callable, out: T.DataType, mode: str = PERMISSIVE) -> Column:
+    """each(cursor) of every document, cursor a ValueCursor over it that each must have gone through to the end. Where a walk meets
+    another kind than it expects, or leaves something over, mode decides."""
+    from jsonloom.sources.cursor import ValueCursor
+
+    def walk(text: str):
+        cursor = ValueCursor(_valid(text))
+        found = each(cursor)
+        cursor.finish()
+        return found
+
+    return per_document(walk, out, mode)(c)
+
+
 def json_get_key(c: Column | str, key: str, mode: str = PERMISSIVE) -> Column:
     """The last member with this decoded key; other kinds than objects have none."""
     def each(text: str):
@@ -364,13 +450,14 @@ def json_string_bytes(c: Column | str) -> Column:
     return F.when(raw.startswith('"') & raw.endswith('"') & (F.length(raw) >= 2) & ~raw.contains("\\"), F.substring(raw, F.lit(2), F.length(raw) - 2))
 
 
-def json_array_len(c: Column | str) -> Column:
-    return F.when(json_kind(c) == "array", F.json_array_length(_column(c)))
+def json_array_len(c: Column | str, mode: str = PERMISSIVE) -> Column:
+    """Elements of an array, to any depth and with numbers of any length; other kinds and (PERMISSIVE) invalid documents: NULL."""
+    return per_document(lambda x: _count(_valid(x), "["), T.IntegerType(), mode)(c)
 
 
-def json_object_len(c: Column | str) -> Column:
-    """Members, duplicates counted."""
-    return F.when(json_kind(c) == "object", F.size(F.json_object_keys(_column(c))))
+def json_object_len(c: Column | str, mode: str = PERMISSIVE) -> Column:
+    """Members of an object, duplicates counted, as json_array_len."""
+    return per_document(lambda x: _count(_valid(x), "{"), T.IntegerType(), mode)(c)
 
 
 # Predicates
@@ -429,7 +516,9 @@ def json_normalize(c: Column | str) -> Column:
 
 def json_to_variant(c: Column | str, numbers: str = "exact") -> Column:
     """The document as VARIANT. numbers="exact" leaves them to Spark (decimals up to 38 digits, else doubles); "string" keeps
-    each number's spelling as a string. Of duplicate keys the last counts. Invalid documents: NULL."""
+    each number's spelling as a string. Of duplicate keys the last counts. Invalid documents: NULL; so are those that VARIANT
+    can't hold, by Spark's limits and not by the grammar: over 1,000 containers inside each other, numbers of over 1,000
+    characters (numbers="string" has no such bound), values beyond 128 MB. json_get and json_decode go on where VARIANT ends."""
 
     def each(text: str):
         tape = _parse(text)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import re
-import sys
 from json.encoder import encode_basestring
 
 from jsonloom.functions.grammar import NUMBER, STRING, decoded, fold, parse, valid
@@ -149,20 +148,51 @@ def model(text: str):
 
 
 def contains(haystack, needle) -> bool:
-    """Containment of models as PostgreSQL's jsonb defines it: an array at the top also contains an equal scalar."""
-    sys.setrecursionlimit(max(sys.getrecursionlimit(), 40_000))
+    """Containment of models as PostgreSQL's jsonb defines it: an array at the top also contains an equal scalar.
+
+    Nothing here recurses. An array contains a container if one of its own containers does, so the search below is one of
+    alternatives: a frame holds what it still has to show (pairs that all must hold), or the containers of an array to try one
+    after the other."""
     if type(haystack) is list and type(needle) not in (dict, list):
         return any(type(x) is type(needle) and x == needle for x in haystack)
-    return _contains(haystack, needle)
-
-
-def _contains(haystack, needle) -> bool:
-    if type(haystack) is not type(needle):
-        return False
-    if type(needle) is dict:
-        return all(k in haystack and _contains(haystack[k], v) for k, v in needle.items())
-    if type(needle) is list:
-        scalars = {(type(x), x) for x in haystack if type(x) not in (dict, list)}
-        others = [x for x in haystack if type(x) in (dict, list)]
-        return all(any(_contains(y, x) for y in others) if type(x) in (dict, list) else (type(x), x) in scalars for x in needle)
-    return haystack == needle
+    frames, answer = [_all([(haystack, needle)])], None
+    while frames:  # each frame takes the answer of the one above it and gives a pair to look into, or its own answer
+        step = frames[-1].send(answer)
+        if type(step) is bool:
+            frames.pop()
+            answer = step
+        else:
+            frames.append(step)
+            answer = None
+    return answer
+
+
+def _all(pairs):
+    """Whether each needle is in its haystack; pairs of objects are taken apart here, arrays need frames of their own."""
+    todo = list(pairs)
+    while todo:
+        hay, needle = todo.pop()
+        if type(hay) is not type(needle):
+            yield False
+        if type(needle) is dict:
+            if not all(k in hay for k in needle):
+                yield False
+            todo += [(hay[k], v) for k, v in needle.items()]
+        elif type(needle) is list:
+            scalars = {(type(x), x) for x in hay if type(x) not in (dict, list)}
+            if not all((type(x), x) in scalars for x in needle if type(x) not in (dict, list)):
+                yield False
+            others = [x for x in hay if type(x) in (dict, list)]
+            for x in needle:
+                if type(x) in (dict, list) and not (yield _any(others, x)):
+                    yield False
+        elif hay != needle:
+            yield False
+    yield True
+
+
+def _any(haystacks, needle):
+    for x in haystacks:
+        if type(x) is type(needle) and (yield _all([(x, needle)])):
+            yield True
+    yield False

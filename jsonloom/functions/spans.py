@@ -11,12 +11,26 @@ import re
 from collections.abc import Iterator
 from json.decoder import scanstring
 
+from jsonloom.functions import grammar as G
 from jsonloom.functions.pointer import Pointer, PointerError
 
 _blank = re.compile(r"[ \t\n\r]*").match
 _skip = json.JSONDecoder(parse_int=str, parse_float=str, object_pairs_hook=len).scan_once
 
 
+def _refuse(word: str):
+    raise ValueError(word)
+
+
+_strictly = json.JSONDecoder(parse_constant=_refuse, parse_int=str, parse_float=str, object_pairs_hook=len).scan_once
+_surrogate = re.compile(r"\\u[dD][89a-fA-F]").search
+_KINDS = {'"': G.STRING, "{": G.OBJECT, "[": G.ARRAY, "t": G.BOOL, "f": G.BOOL, "n": G.NULL}
+
+
+class Unsure(Exception):
+    """There is a fault, or something whose validity the C scanner does not decide."""
+
+
 def root(text: str) -> tuple[int, int]:
     start = _blank(text, 0).end()
     return start, _skip(text, start)[1]
@@ -104,3 +118,73 @@ def get_many(text: str, pointers: dict[str, Pointer]) -> dict[str, str | None]:
             continue
         todo += [(*span, depth + 1, below[key]) for key, span in spans.items()]
     return out
+
+
+def children(text: str, at: int) -> list[tuple]:
+    """Key, key's source, value's source and kind of the children of the container at this place; None as keys of elements."""
+    if text[at] == "[":
+        return [(None, None, text[a:b], _KINDS.get(text[a], G.NUMBER)) for a, b in elements(text, at)]
+    return [(k, text[i:j], text[a:b], _KINDS.get(text[a], G.NUMBER)) for k, i, j, a, b in members_with_keys(text, at)]
+
+
+def _after(text: str, at: int) -> int:
+    """The end of the value at this place, which is validated."""
+    try:
+        end = _strictly(text, at)[1]
+    except (ValueError, StopIteration) as e:
+        raise Unsure from e
+    if _surrogate(text, at, end):
+        raise Unsure
+    return end
+
+
+def get_first(text: str, pointer: Pointer) -> str | None:
+    """The source of what the pointer selects, each token taking the first member under which the rest selects something. The text
+    need not be valid: what stands behind the selected value is not looked at, all before it is validated."""
+    found, end = _first(text, pointer.tokens, _blank(text, 0).end())
+    if found:
+        return text[found[0] : found[1]]
+    if _blank(text, end).end() != len(text):
+        raise Unsure
+    return None
+
+
+def _first(text: str, tokens: tuple, at: int) -> tuple[tuple[int, int] | None, int]:
+    """What the tokens select in the value at this place; if nothing, where the value ends."""
+    if not tokens:
+        return (at, _after(text, at)), -1
+    bracket, token = text[at : at + 1], tokens[0]
+    if bracket not in ("{", "["):
+        return None, _after(text, at)
+    if bracket == "[" and token.fault:
+        raise Unsure  # the tape's way raises it, unless a fault comes first
+    i, n = _blank(text, at + 1).end(), 0
+    if text[i : i + 1] == ("}" if bracket == "{" else "]"):
+        return None, i + 1
+    while True:
+        wanted = n == token.index
+        if bracket == "{":
+            if text[i : i + 1] != '"':
+                raise Unsure
+            try:
+                key, j = scanstring(text, i + 1, True)
+            except ValueError as e:
+                raise Unsure from e
+            if _surrogate(text, i, j):
+                raise Unsure
+            wanted, j = key == token.text, _blank(text, j).end()
+            if text[j : j + 1] != ":":
+                raise Unsure
+            i = _blank(text, j + 1).end()
+        if wanted:
+            found, end = _first(text, tokens[1:], i)
+            if found:
+                return found, -1
+        else:
+            end = _after(text, i)
+        i, n = _blank(text, end).end(), n + 1
+        if text[i : i + 1] == ("}" if bracket == "{" else "]"):
+            return None, i + 1
+        if text[i : i + 1] != ",":
+            raise Unsure
+        i = _blank(text, i + 1).end()

@@ -754,10 +754,8 @@ def _struct_encoder(kind: T.StructType, html: bool, path: str) -> Callable[[Any]
     return struct
 
 
-def json_encode(c: Column | str, schema: T.DataType | str | None = None, escape_html: bool = True, mode: str = FAILFAST) -> Column:
-    """The value as compact JSON: fields in order, NULL as null, map members sorted by their keys' bytes, binary as base64,
-    shortest numbers, RFC 3339 times. NaN and the infinities raise, or give NULL in PERMISSIVE mode. The schema is only
-    needed for its metadata."""
+def encoder(schema: T.DataType | str | None = None, escape_html: bool = True, mode: str = FAILFAST):
+    """The Arrow function behind json_encode; values of any type, told by their batches where no schema is given."""
     fixed = _encoder(_schema(schema), {}, escape_html, "") if schema is not None else None
 
     def batch(values: pa.Array) -> pa.Array:
@@ -773,4 +771,11 @@ def json_encode(c: Column | str, schema: T.DataType | str | None = None, escape_
         return pa.array(out, pa.string())
 
     batch.__annotations__ = {"values": pa.Array, "return": pa.Array}
-    return F.arrow_udf(batch, T.StringType())(_column(c))
+    return F.arrow_udf(batch, T.StringType())
+
+
+def json_encode(c: Column | str, schema: T.DataType | str | None = None, escape_html: bool = True, mode: str = FAILFAST) -> Column:
+    """The value as compact JSON: fields in order, NULL as null, map members sorted by their keys' bytes, binary as base64,
+    shortest numbers, RFC 3339 times. NaN and the infinities raise, or give NULL in PERMISSIVE mode. The schema is only
+    needed for its metadata."""
+    return encoder(schema, escape_html, mode)(_column(c))

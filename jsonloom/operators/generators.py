@@ -1,4 +1,5 @@
-"""Table functions over a document: elements, members, and the tape as a relation. Use them with LATERAL or lateralJoin."""
+"""Table functions over a document: elements, members, and the tape as a relation. Use them with LATERAL or lateralJoin; in the
+DataFrame API F.inline over json_each_array and json_each_object (columns.py) gives the same rows in Arrow batches."""
 
 from __future__ import annotations
 
@@ -7,51 +8,21 @@ from collections.abc import Iterator
 from pyspark.sql import functions as F
 
 from jsonloom.functions import grammar as G
-from jsonloom.functions import spans as S
+from jsonloom.functions.columns import FAILFAST, PERMISSIVE
+from jsonloom.functions.columns import _children as children
 
 
-_KINDS = {'"': G.STRING, "{": G.OBJECT, "[": G.ARRAY, "t": G.BOOL, "f": G.BOOL, "n": G.NULL}
-
-
-def _quickly(doc: str | None, bracket: str) -> list[tuple] | None:
-    """Key, key's source, value's source and kind of the root's children if the document is valid, of this kind and not too deep."""
-    if doc is None or not G.valid(doc):
-        return None
-    try:
-        start = S.root(doc)[0]
-        if doc[start] != bracket:
-            return None
-        if bracket == "[":
-            return [(None, None, doc[a:b], _KINDS.get(doc[a], G.NUMBER)) for a, b in S.elements(doc, start)]
-        return [(k, doc[i:j], doc[a:b], _KINDS.get(doc[a], G.NUMBER)) for k, i, j, a, b in S.members_with_keys(doc, start)]
-    except RecursionError:
-        return None
-
-
-def _tape(doc: str) -> tuple[G.Tape | None, G.JsonSyntaxError | None]:
-    """The tape, and the fault behind it if the document has one."""
-    try:
-        return G.parse(doc.encode("utf-8", "surrogatepass")), None
-    except G.JsonSyntaxError as e:
-        return e.tape, e
-
-
-def _children(doc: str | None, mode: str | None, kind: str) -> Iterator[tuple[int, G.Tape, int, int]]:
-    """Position, tape, key entry and value entry of the root's children. What stands before a fault is delivered; then
-    FAILFAST (the default) raises and PERMISSIVE ends. NULL has no rows; another kind of root is a fault."""
+def _delivered(doc: str | None, bracket: str, mode: str | None) -> Iterator[tuple]:
+    """The root's children. What stands before a fault is delivered; then FAILFAST (the default) raises and PERMISSIVE ends."""
     if doc is None:
         return
-    permissive = (mode or "FAILFAST").upper() == "PERMISSIVE"
-    tape, fault = _tape(doc)
-    if tape is not None and len(tape):
-        if tape.kind[0] != kind:
-            fault = G.JsonSyntaxError(tape.data, tape.start[0], f"expected {kind}")
-        else:
-            pairs = tape.members(0) if kind == G.OBJECT else [(i, i) for i in tape.elements(0)]
-            for pos, (k, v) in enumerate(pairs):
-                if tape.end[v] >= 0:
-                    yield pos, tape, k, v
-    if fault is not None and not permissive:
+    fault = None
+    try:
+        found = children(doc, bracket, (mode or FAILFAST).upper())
+    except G.JsonSyntaxError as e:
+        found, fault = children(doc, bracket, PERMISSIVE), e
+    yield from found
+    if fault:
         raise fault
 
 
@@ -60,12 +31,8 @@ class JsonEachArray:
     """json_each_array(doc[, mode]): an array's elements in order."""
 
     def eval(self, doc: str, mode: str = "FAILFAST"):
-        found = _quickly(doc, "[")
-        if found is not None:
-            yield from ((pos, raw, kind) for pos, (_, _, raw, kind) in enumerate(found))
-            return
-        for pos, tape, _, v in _children(doc, mode, G.ARRAY):
-            yield pos, tape.raw(v).decode(), tape.kind[v]
+        for pos, (_, _, raw, kind) in enumerate(_delivered(doc, "[", mode)):
+            yield pos, raw, kind
 
 
 @F.udtf(returnType="pos: int, key: string, raw_key: string, raw: string, kind: string")
@@ -73,12 +40,8 @@ class JsonEachObject:
     """json_each_object(doc[, mode]): an object's members in order, duplicates kept."""
 
     def eval(self, doc: str, mode: str = "FAILFAST"):
-        found = _quickly(doc, "{")
-        if found is not None:
-            yield from ((pos, *child) for pos, child in enumerate(found))
-            return
-        for pos, tape, k, v in _children(doc, mode, G.OBJECT):
-            yield pos, tape.text(k), tape.raw(k).decode(), tape.raw(v).decode(), tape.kind[v]
+        for pos, child in enumerate(_delivered(doc, "{", mode)):
+            yield pos, *child
 
 
 @F.udtf(returnType="entry_id: int, parent_id: int, depth: int, key: string, ordinal: int, kind: string, start: int, end: int, next: int, count: int, is_key: boolean, escaped: boolean")

@@ -1,4 +1,4 @@
-"""Plan rewrites on the driver: sibling selections on one column become one pass over it."""
+"""Plan rewrites on the driver: sibling selections on one column become one pass over it; keys are computed once."""
 
 from __future__ import annotations
 
@@ -37,3 +37,12 @@ def with_gets(df: DataFrame, gets: dict[str, Get]) -> DataFrame:
         raw = places[g.column, g.mode, g.pointer]
         staged = staged.withColumn(name, g.accessor(raw) if g.accessor else raw)
     return staged.drop(*hidden)
+
+
+def once(column: Column) -> Column:
+    """The column, computed once a row wherever it is used.
+
+    Spark copies what a join or a filter knows of a column (that it is not null, or its comparison) below the projection that
+    makes it, and so runs its Python a second time. A row number that decides nothing forbids that. Filters on other columns
+    are not pushed below such a projection either, so put them before it."""
+    return F.when(F.monotonically_increasing_id() >= 0, column)

@@ -10,26 +10,38 @@ from jsonloom.functions import grammar as G
 _BLANK = b" \t\n\r"
 #: What can change the state outside and inside of strings.
 _OUTSIDE, _INSIDE = re.compile(rb'["\[\]{}]'), re.compile(rb'["\\]')
-_SCALAR_END = re.compile(rb"[ \t\n\r,\[\]{}\":]")
+_NUMBER_END = re.compile(rb"[^0-9.eE+-]|(?<![eE])[+-]")
 
 
 class ValueFrame:
     """Finds the end of one value without reading any byte twice, however the value is split over reads.
 
-    State between reads: depth, whether in a string, whether after a backslash, and whether the value is a bare scalar, which
-    only ends at a byte that can't belong to it or at the end of the input."""
+    State between reads: depth, whether in a string, whether after a backslash. A literal ends with its last byte, so another value
+    may follow at once; a number ends before a byte that no number has, or before a sign that no exponent stands before, or
+    at the end of the input."""
 
     def __init__(self, first: int):
         self.depth, self.string, self.escaped = 0, first == 0x22, False
-        self.scalar = first not in b'"[{'
-        self.started = False
+        self.literal = {0x74: 4, 0x6E: 4, 0x66: 5}.get(first, 0)  # bytes that are still to come
+        self.number = not self.literal and first not in b'"[{'
+        self.exponent = self.started = False
 
     def scan(self, data: bytes, at: int) -> int:
         """The end of the value in data, or -1: go on with the next bytes. at is the value's first byte on the first call."""
         n = len(data)
-        if self.scalar:
-            m = _SCALAR_END.search(data, at if self.started else at + 1)
-            self.started = True
+        if self.literal:
+            take = min(self.literal, n - at)
+            self.literal -= take
+            self.number = False
+            return -1 if self.literal else at + take
+        if self.number:
+            if not self.started:
+                self.started = True
+                at += 1
+            elif self.exponent and data[at] in b"+-":
+                at += 1
+            m = _NUMBER_END.search(data, at)
+            self.exponent = data[-1] in b"eE"
             return m.start() if m else -1
         if not self.started:
             self.started = True
@@ -106,7 +118,7 @@ def values(chunks: Iterable[bytes], most: int = 0) -> Iterator[tuple[int, bytes]
             tape = G.scan(value)
         except G.JsonSyntaxError as e:
             raise StreamError(base, e.message) from e
-        if tape.end[0] != len(value):  # a bare scalar with something stuck to it, as 01 or truefalse
+        if tape.end[0] != len(value):  # a number with something stuck to it, as 01
             raise StreamError(base, "invalid character after value")
         yield base, value
         at = len(value)

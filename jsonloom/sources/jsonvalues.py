@@ -1,15 +1,18 @@
 """The data source "jsonvalues": files of JSON values in any framing, as rows value, input_offset, ordinal, path.
 
-Each file is a partition. Files are read by Spark's own binary reader where they are given as a DataFrame (read_values), so any
-store that Spark reads will do; the registered source opens paths that Python can.
+Each file is a partition, read a buffer at a time, so memory is bounded by the longest value, not by the file. Paths are local ones
+or URIs of a store that Arrow opens (s3, gs, hdfs, file). read_values takes any path that Spark reads, a file's bytes at once.
 """
 
 from __future__ import annotations
 
-import glob
+import fnmatch
+import itertools
 import os
+import re
 from collections.abc import Iterator
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
@@ -17,7 +20,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 from jsonloom.sources.framer import StreamError, values
 
 SCHEMA = "value string, input_offset long, ordinal long, path string"
-CHUNK = 64 * 1024
+CHUNK, ROWS = 64 * 1024, 10_000
 
 
 def _rows(chunks, path: str, most: int, mode: str) -> Iterator[tuple]:
@@ -35,10 +38,11 @@ def _rows(chunks, path: str, most: int, mode: str) -> Iterator[tuple]:
             yield None, e.offset, n, path
 
 
-def _chunks(path: str, size: int) -> Iterator[bytes]:
-    with open(path, "rb") as f:
-        while data := f.read(size):
-            yield data
+def _store(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI, and the path there."""
+    if path.startswith("file:"):
+        path = "/" + re.sub(r"^file:/*", "", path)
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), os.path.abspath(path))
 
 
 class File(InputPartition):
@@ -53,14 +57,29 @@ class _Options:
         self.mode = options.get("mode", "FAILFAST").upper()
         if self.mode not in ("FAILFAST", "STOP", "PERMISSIVE"):
             raise ValueError(f"mode {self.mode}: FAILFAST, STOP or PERMISSIVE")
-        self.path = options.get("path", "").removeprefix("file://")
+        self.path = options.get("path", "")
         if not self.path:
             raise ValueError("path is missing")
 
-    def files(self) -> list[str]:
-        if os.path.isdir(self.path):
-            return sorted(p for p in glob.glob(f"{self.path}/*") if os.path.isfile(p) and os.path.basename(p)[0] not in "._")
-        return sorted(glob.glob(self.path))
+    def files(self) -> list[fs.FileInfo]:
+        """A folder's files, but for those whose names start with . or _; a file; or the files that a pattern with * or ? fits."""
+        store, path = _store(self.path)
+        if "*" in path or "?" in path:
+            root = re.split(r"[*?]", path)[0].rpartition("/")[0]
+            found = store.get_file_info(fs.FileSelector(root, allow_not_found=True, recursive=True))
+            found = [f for f in found if fnmatch.fnmatch(f.path, path) and f.path.count("/") == path.count("/")]
+        else:
+            info = store.get_file_info(path)
+            found = [info] if info.type != fs.FileType.Directory else [f for f in store.get_file_info(fs.FileSelector(path)) if f.base_name[0] not in "._"]
+        return sorted((f for f in found if f.type == fs.FileType.File), key=lambda f: f.path)
+
+    def rows(self, partition: File) -> Iterator[tuple]:
+        def chunks():
+            with _store(self.path)[0].open_input_stream(partition.path, compression=None) as f:
+                while data := f.read(self.size):
+                    yield data
+
+        return _rows(chunks(), partition.path, self.most, self.mode)
 
 
 class ValuesReader(DataSourceReader):
@@ -68,34 +87,37 @@ class ValuesReader(DataSourceReader):
         self.options = _Options(options)
 
     def partitions(self):
-        return [File(p) for p in self.options.files()]
+        return [File(f.path) for f in self.options.files()]
 
     def read(self, partition):
-        if partition is None:
-            return
-        o = self.options
-        yield from _rows(_chunks(partition.path, o.size), partition.path, o.most, o.mode)
+        if partition is not None:  # a folder without files has no partitions
+            yield from self.options.rows(partition)
 
 
 class ValuesStreamReader(DataSourceStreamReader):
-    """New files of a folder; the offset is the number of files seen, in order of their names. Files must not change, and
-    later files must have later names."""
+    """New files of a folder, in order of the time they were last written and then of their names, whatever their names are. The
+    offset is the last file's time and path. Files must be complete when they appear and must not change; a file that appears
+    must not be older than those that have been read (so write to the folder, or touch what is moved there)."""
 
     def __init__(self, options: dict):
         self.options = _Options(options)
 
+    def _ordered(self) -> list[tuple[int, str]]:
+        return sorted((f.mtime_ns or 0, f.path) for f in self.options.files())
+
     def initialOffset(self):
-        return {"files": 0}
+        return {"time": -1, "path": ""}
 
     def latestOffset(self):
-        return {"files": len(self.options.files())}
+        last = self._ordered()[-1:]
+        return {"time": last[0][0], "path": last[0][1]} if last else self.initialOffset()
 
     def partitions(self, start, end):
-        return [File(p) for p in self.options.files()[start["files"] : end["files"]]]
+        low, high = (start["time"], start["path"]), (end["time"], end["path"])
+        return [File(path) for time, path in self._ordered() if low < (time, path) <= high]
 
     def read(self, partition):
-        o = self.options
-        yield from _rows(_chunks(partition.path, o.size), partition.path, o.most, o.mode)
+        yield from self.options.rows(partition)
 
 
 class JsonValues(DataSource):
@@ -118,7 +140,7 @@ def register(spark: SparkSession) -> None:
 
 
 def read_values(spark: SparkSession, path: str, mode: str = "FAILFAST", max_value_bytes: int = 0) -> DataFrame:
-    """The same rows from any path that Spark reads; a file's bytes are held at once."""
+    """The same rows from any path that Spark reads; a file's bytes are held at once, its rows ROWS at a time."""
     import pyarrow as pa
 
     names = ["value", "input_offset", "ordinal", "path"]
@@ -126,8 +148,9 @@ def read_values(spark: SparkSession, path: str, mode: str = "FAILFAST", max_valu
     def each(batches):
         for b in batches:
             for file, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
-                rows = list(_rows([content], file, max_value_bytes, mode.upper()))
-                yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.string()))], names)
+                found = _rows([content], file, max_value_bytes, mode.upper())
+                while rows := list(itertools.islice(found, ROWS)):
+                    yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.string()))], names)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
     return files.mapInArrow(each, SCHEMA)
@@ -148,19 +171,19 @@ def write_ndjson(df: DataFrame, path: str, mode: str = "errorifexists", escape_h
     df.select(json_encode(F.struct(*[F.col(f"`{c}`") for c in df.columns]), df.schema, escape_html).alias("value")).write.mode(mode).text(path)
 
 
-def decode_values(df: DataFrame, schema, mode: str = "STOP", **options) -> DataFrame:
-    """Typed rows of read_values: doc, and error (see json_decode_result), input_offset, ordinal, path.
+def decode_values(df: DataFrame, schema, mode: str = "STOP", keep: tuple[str, ...] = (), **options) -> DataFrame:
+    """Typed rows of read_values: doc, and error (see json_decode_result), input_offset, ordinal, path, and the columns in keep.
 
     STOP: of each file the rows before the first value that does not fit, as faults of a stream are sticky; PERMISSIVE: all rows,
     each with its own error; FAILFAST raises."""
     from jsonloom.operators.codec import json_decode, json_decode_result
 
     if mode == "FAILFAST":
-        return df.select(json_decode("value", schema, mode, **options).alias("doc"), "input_offset", "ordinal", "path")
+        return df.select(json_decode("value", schema, mode, **options).alias("doc"), "input_offset", "ordinal", "path", *keep)
     rows = df.withColumn("_r", json_decode_result("value", schema, **options))
     if mode == "STOP":
         # the first fault of each file, a number; files are joined with it, so a file's rows need not meet in one task
         bad = F.col("_r.error").isNotNull() | F.col("value").isNull()
         first = rows.where(bad).groupBy("path").agg(F.min("ordinal").alias("_first"))
         rows = rows.join(first, "path", "left").where("_first is null or ordinal < _first")
-    return rows.select(F.col("_r.value").alias("doc"), F.col("_r.error").alias("error"), "input_offset", "ordinal", "path")
+    return rows.select(F.col("_r.value").alias("doc"), F.col("_r.error").alias("error"), "input_offset", "ordinal", "path", *keep)

@@ -33,3 +33,13 @@ def write_ndjson_stream(stream: DataFrame, path: str, checkpoint: str) -> Stream
     """Appends each row as a line of JSON; available input is worked off, then the query ends."""
     lines = stream.select(json_encode(F.struct(*stream.columns), stream.schema).alias("value"))
     return lines.writeStream.format("text").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
+
+
+def write_batches(counts: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Keeps the complete result of an aggregated stream in a folder of Parquet files, written anew by each batch, distributed and
+    never through the driver. Available input is worked off, then the query ends. The folder is whole between batches."""
+
+    def replace(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    return counts.writeStream.outputMode("complete").foreachBatch(replace).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -134,3 +134,85 @@ def test_sql(spark):
     assert tuple(row) == ("1.50", False, True, "string", 7, True)
     rows = spark.sql("""SELECT d.id, e.* FROM VALUES (1, '[1,"a"]'), (2, '[]') d(id, doc), LATERAL json_each_array(doc) e""").collect()
     assert [tuple(r) for r in rows] == [(1, 0, "1", "number"), (1, 1, '"a"', "string")]
+
+
+def test_one_python_pass(spark, sf):
+    """Joins and filters on a selected key evaluate it once."""
+    from jsonloom import catalog
+
+    for name in ("json_key_join", "json_key_semi", "json_get_group_count", "json_get_array_index", "json_range_join", "json_each_array_explode"):
+        plan = catalog.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 1, name
+
+
+def test_get_first_leaves_early_and_validates_what_it_has_passed(spark):
+    import random
+
+    from jsonloom.functions import grammar as G
+    from jsonloom.functions import pointer as P
+    from jsonloom.functions import spans as S
+
+    rng = random.Random(9)
+    pieces = ['{"a":', "[1,", '"b"', ":", ",", "]", "}", "1", "tru", "true", "null", '"a"', " ", "{}", "[]", '"\\ud800"', '"\\u0061":', "01", '{"a":{"a":1},"a":[2,3]}']
+    pointers = [P.compile_pointer(p) for p in ("", "/a", "/a/a", "/a/1", "/0", "/a/x", "/1/a")]
+
+    def slowly(text, pointer):
+        try:
+            tape = G.parse(text.encode())
+            i = P.get_first(tape, pointer)
+            return None if i is None else tape.raw(i).decode()
+        except P.PointerError:
+            return "index"
+        except G.JsonSyntaxError as e:
+            if e.tape is not None and len(e.tape):
+                try:
+                    i = P.get_first(e.tape, pointer)
+                except P.PointerError:
+                    return "index"
+                if i is not None and e.tape.end[i] >= 0:
+                    return e.tape.raw(i).decode()
+            return "fault"
+
+    for _ in range(20_000):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randint(1, 9)))
+        pointer = rng.choice(pointers)
+        try:
+            got = S.get_first(text, pointer)
+        except S.Unsure:
+            continue
+        assert got == slowly(text, pointer), (text, pointer.text)
+    assert S.get_first('{"a":1,"b":oops', P.compile_pointer("/a")) == "1"
+
+
+def test_contains_join_against_all_pairs(spark):
+    import random
+
+    from jsonloom.functions import documents as D
+    from jsonloom.operators.containment import contains_join
+
+    rng = random.Random(4)
+
+    def value(depth):
+        kind = rng.random()
+        if depth == 0 or kind < 0.5:
+            return rng.choice(["1", "1.0", "2", '"a"', '"\\u0061"', "true", "null", "10e-1"])
+        if kind < 0.75:
+            return "[" + ",".join(value(depth - 1) for _ in range(rng.randint(0, 3))) + "]"
+        return "{" + ",".join(f'"{rng.choice("ab")}":{value(depth - 1)}' for _ in range(rng.randint(0, 3))) + "}"
+
+    docs = [(i, value(3)) for i in range(120)] + [(900, None), (901, "[1,")]
+    needles = [(i, value(2)) for i in range(60)] + [(900, None), (901, "{")]
+    found = contains_join(spark.createDataFrame(docs, "d int, doc string"), "doc", spark.createDataFrame(needles, "n int, needle string"), "needle")
+    want = [(i, j) for i, a in docs[:-2] for j, b in needles[:-2] if D.contains(D.model(a), D.model(b))]
+    assert sorted((r.d, r.n) for r in found.collect()) == sorted(want) and len(want) > 100
+
+
+def test_sql_functions(spark):
+    from jsonloom.functions.sql import register
+
+    register(spark)
+    row = spark.sql("""SELECT json_text('"a\\\\u0062"') t, json_text('1') none, json_float64(' 1e2 ') f, json_float64('1e999') inf, json_uint64('18446744073709551615') u, json_uint64('-0') minus,
+        json_number_text('1.50') n, json_array_len('[1,[2]]') l, json_object_len('{"a":1,"a":2}') m, json_get_key('{"a":1,"a":2}', 'a') k, json_get_index('[5,6]', '1') i,
+        json_members('{"a":[1]}')[0].value v, json_is_null(' null') z, json_is_integer('1.0') w, json_encode(named_struct('a', 1, 'b', array('x'))) e, json_get('[1', '/0') bad""").first()
+    assert (row.t, row.none, row.f, row.inf, int(row.u), row.minus, row.n, row.l, row.m, row.k, row.i) == ("ab", None, 100.0, None, 2**64 - 1, None, "1.50", 2, 2, "2", "6")
+    assert (row.v, row.z, row.w, row.e, row.bad) == ("[1]", True, False, '{"a":1,"b":["x"]}', None)

@@ -28,6 +28,18 @@ def test_framing():
     assert [o for o, _ in found] == [0, 2, 8, 13, 18, 23, 34]
 
 
+@pytest.mark.parametrize(
+    ("data", "want"),
+    [(b"truefalse", ["true", "false"]), (b"nulltrue1", ["null", "true", "1"]), (b"1-2", ["1", "-2"]), (b"1e+5-3E-2[1]", ["1e+5", "-3E-2", "[1]"]), (b'1"a"2', ["1", '"a"', "2"])],
+)
+def test_scalars_stuck_together(data, want):
+    """A literal ends with its last byte, a number before a sign that is no exponent's; at any torn place."""
+    assert [r for _, r in read(data)[0]] == want and read(data)[1] is None
+    for k in range(1, len(data)):
+        assert [r for _, r in read(data, [k])[0]] == want
+    assert [r for _, r in read(data, [1] * len(data))[0]] == want
+
+
 @pytest.mark.parametrize("data", [b"", b" \n\t \r\n"])
 def test_clean_end(data):
     assert read(data) == ([], None)
@@ -35,7 +47,7 @@ def test_clean_end(data):
 
 @pytest.mark.parametrize(
     ("data", "good", "offset"),
-    [(b'{"a":1}\n{"a":', 1, 8), (b'{"a":1}{"b":tru}\n', 1, 7), (b"[1]]", 1, 3), (b"1 2 x", 2, 4), (b'"abc', 0, 0), (b"01", 0, 0), (b"1 truefalse", 1, 2)],
+    [(b'{"a":1}\n{"a":', 1, 8), (b'{"a":1}{"b":tru}\n', 1, 7), (b"[1]]", 1, 3), (b"1 2 x", 2, 4), (b'"abc', 0, 0), (b"01", 0, 0), (b"1 truefals", 2, 6), (b"1 tru", 1, 2), (b"1.e", 0, 0)],
 )
 def test_faults_keep_what_came_before(data, good, offset):
     found, fault = read(data)
@@ -144,3 +156,63 @@ def test_typed_values(spark, tmp_path):
     assert [(r.ordinal, r.error.path, r.error.reason) for r in each] == [(1, "a", "expected number")]
     with pytest.raises(Exception, match="expected number"):
         jsonvalues.decode_values(values, "a bigint", "FAILFAST").collect()
+
+
+def test_stream_offsets_follow_the_time_of_writing(tmp_path):
+    import os
+
+    (tmp_path / "m.json").write_text("1")
+    reader = jsonvalues.ValuesStreamReader({"path": str(tmp_path)})
+    start = reader.initialOffset()
+    first = reader.latestOffset()
+    assert [p.path[-6:] for p in reader.partitions(start, first)] == ["m.json"]
+    for k, name in enumerate(("a.json", "b.json")):  # names before the first one's
+        (tmp_path / name).write_text("2")
+        os.utime(tmp_path / name, ns=(first["time"] + 10, first["time"] + 10))
+    second = reader.latestOffset()
+    assert [p.path[-6:] for p in reader.partitions(first, second)] == ["a.json", "b.json"]
+    assert [p.path[-6:] for p in reader.partitions(start, first)] == ["m.json"] and reader.partitions(second, second) == []
+
+
+def test_paths(tmp_path):
+    for name in ("x/a.json", "x/b.txt", "y/c.json", "x/_d.json"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("1")
+    names = lambda path: [f.path[-6:] for f in jsonvalues._Options({"path": path}).files()]
+    assert names(f"{tmp_path}/x") == ["a.json", "/b.txt"] or len(names(f"{tmp_path}/x")) == 2
+    assert names(f"file://{tmp_path}/*/*.json") == names(f"{tmp_path}/*/*.json") and len(names(f"{tmp_path}/*/*.json")) == 3
+    assert names(f"{tmp_path}/x/a.json") == ["a.json"] and names(f"{tmp_path}/nothing*") == []
+
+
+def test_cursor():
+    from jsonloom.sources.cursor import CursorError, ValueCursor
+
+    c = ValueCursor(' {"a" : [1, -2.5e1 ,"x\\u0041", null, true,{}] ,"b":{"c":[[]]}, "d":18446744073709551615} ')
+    assert c.kind() == "object"
+    c.begin_object()
+    assert c.next_field() == "a" and c.kind() == "array"
+    c.begin_array()
+    seen = []
+    while c.next_element():
+        kind = c.kind()
+        seen.append(c.number_text() if kind == "number" else c.string() if kind == "string" else c.null() if kind == "null" else c.bool() if kind == "bool" else c.raw())
+    assert seen == ["1", "-2.5e1", "xA", True, True, "{}"]
+    assert c.next_field() == "b"
+    with pytest.raises(CursorError, match="expected number"):
+        c.int64()
+    c.skip()
+    with pytest.raises(CursorError, match="read to its end"):
+        c.finish()
+    assert c.next_field() == "d" and c.uint64() == 2**64 - 1 and c.next_field() is None
+    c.finish()
+    for text, read_ in (("1.0", "int64"), ("-0", "uint64"), ("1e999", "float64"), ('"a"', "bool"), ("1", "string"), ("[1]", "begin_object"), ("9223372036854775808", "int64")):
+        with pytest.raises(CursorError):
+            getattr(ValueCursor(text), read_)()
+    left = ValueCursor("[1,2]")
+    left.begin_array()
+    assert left.next_element()
+    with pytest.raises(CursorError):  # the element has not been read
+        left.next_element()
+    deep = ValueCursor("[" * 9999 + "]" * 9999)
+    deep.skip()
+    deep.finish()
