@@ -41,17 +41,16 @@ TAG_LINE = re.compile(r"spdx-license-identifier:([^\r\n]*)", re.IGNORECASE)
 TOKENS = re.compile(r"\(|\)|[a-z0-9.+:-]+", re.IGNORECASE)
 #: Names that public licence identifiers begin with; a version, a variant or nothing follows (a dash, a plus sign, a
 #: full stop or a digit comes next, or the end). The longest that fits is the identifier's family.
-NAMES = """0bsd aal abstyles adobe afl agpl aladdin amdplpa aml ampas antlr apache apafml apl app apsl arphic artistic baekmuk bahyph
-barr beerware bitstream bittorrent blessing blueoak borceux bsd bsl busl bzip2 c-uda cal caldera catosl cc cc-by cc-by-nc cc-by-nc-nd
-cc-by-nc-sa cc-by-nd cc-by-sa cc-pddc cc0 cddl cdl cdla cecill cern-ohl clartistic cnri coil cpal cpl cpol crossword cua curl
-d-fsl diffmark doc dotseqn drl dsdp ecl ecos efl egenix elastic entessa epics epl erlpl etalab eudatagrid eupl eurosym fair
-fdk-aac frameworx freeimage fsfap fsful ftl gfdl giftware gl2ps glide glulxe glwtpl gnuplot gpl gsoap hpnd ibm-pibs icu ijg
-imagemagick imatix imlib2 info-zip intel interbase ipa ipl isc jasper jpl-image jpnic json lal latex2e leptonica lgpl lgpllr
-libpng libselinux libtiff liliq linux-openib lppl lpl makeindex miros mit mpich2 mpl mplus ms-pl ms-rl mulanpsl multics mup naist
-nasa nbpl ncgl-uk ncsa net-snmp netcdf ngpl nlod nlpl nokia nosl npl nposl nrl ntp o-uda occt-pl oclc odbl odc-by ofl ogc ogl
-ogtsl oldap oml openssl opl osl parity pddl php polyform postgresql psf psutils python qhull qpl rpl rpsl rsa-md rscpl ruby saxpath
-scea sgi-b shl simpl sissl sleepycat smlnj snia spl sspl sugarcrm swl tapr-ohl tcl tcp-wrappers tmate torque tosl ucl-1 unicode
-unlicense upl vim vostrom vsl w3c watcom wtfpl x11 xerox xfree86 xinetd xnet xpp ypl zed zend zimbra zlib zpl""".split()
+NAMES = """0bsd aal adobe afl agpl aladdin aml ampas antlr apache apl app apsl arphic artistic beerware bitstream bittorrent blueoak bsd
+bsl busl bzip2 cal catosl cc cc-by cc-by-nc cc-by-nc-nd cc-by-nc-sa cc-by-nd cc-by-sa cc-pddc cc0 cddl cdl cdla cecill cern-ohl
+clartistic coil cpal cpl cpol cua curl d-fsl doc drl ecl ecos efl egenix elastic epics epl erlpl etalab eudatagrid eupl eurosym
+fdk-aac frameworx freeimage fsfap fsful ftl gfdl giftware gl2ps glide gnuplot gpl hpnd icu ijg imagemagick imatix imlib2
+info-zip intel interbase ipa ipl isc jasper jpl-image json lal latex2e lgpl lgpllr libpng libselinux libtiff liliq linux-openib
+lppl lpl miros mit mpich2 mpl mplus ms-pl ms-rl mulanpsl multics mup naist nasa nbpl ncgl-uk ncsa net-snmp netcdf ngpl nlod nlpl
+nokia nosl npl nposl nrl ntp o-uda occt-pl oclc odbl odc-by ofl ogc ogl ogtsl oldap oml openssl opl osl parity pddl php polyform
+postgresql psf psutils python qhull qpl rpl rpsl rsa-md rscpl ruby saxpath scea sgi-b shl simpl sissl sleepycat smlnj snia spl
+sspl sugarcrm swl tapr-ohl tcl tcp-wrappers tmate torque tosl ucl-1 unicode unlicense upl vim vostrom vsl w3c watcom wtfpl x11
+xerox xfree86 xinetd xnet xpp ypl zed zend zimbra zlib zpl""".split()
 #: Names whose label is another's, or a plainer one; references to a document's own licences have one label.
 LABELS = {"bsl": "boost", **dict.fromkeys(("cc-by", "cc-by-nc", "cc-by-nc-nd", "cc-by-nc-sa", "cc-by-nd", "cc-by-sa", "cc0"), "cc")}
 OWN = re.compile(r"(documentref-[a-z0-9.-]+:)?licenseref-[a-z0-9.-]+\Z", re.IGNORECASE)
