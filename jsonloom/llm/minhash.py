@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 
 from jsonloom.llm.common import batches, claim, column, components, documents, small_batches, stored
 
-PERMUTATIONS, SHINGLE, CACHE = 128, 5, 400_000
+PERMUTATIONS, SHINGLE = 128, 5
+#: Words whose hashes a worker remembers, and how many bytes they may have.
+CACHE, CACHED = 400_000, 64
 #: Bands of the signature: with four values each, a pair of similarity 0.8 misses all of them once in 10**7.
 BANDS = 32
 #: Bands with more nodes are compared in blocks of about so many, over so many shingles at once.
@@ -41,9 +43,11 @@ class Words(dict):
     """64-bit hashes of words."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > CACHE:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
+        h = xxhash.xxh64_intdigest(word)
+        if len(word) <= CACHED:
+            if len(self) > CACHE:
+                self.clear()
+            self[word] = h
         return h
 
 

@@ -33,8 +33,8 @@ IDS_A_RANGE = 4_000_000
 #: Beyond so many ranges, ranges grow (their quantiles and counts are held by one process). A range is sorted on disk and laid
 #: row by row, so a longer one takes time, not memory.
 MOST_RANGES = 50_000
-#: Blank-separated chunks whose ids a worker remembers, at most.
-CACHE = 350_000
+#: Blank-separated chunks whose ids a worker remembers, at most, and their bytes.
+CACHE, CACHE_BYTES = 350_000, 16_000_000
 #: Bytes of text that are cut into chunks at once.
 AT_ONCE = 2_500_000
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]{0,4})")
@@ -73,6 +73,7 @@ class Chunks:
 
     def forget(self) -> None:
         self.number: dict[bytes, int] = {}
+        self.held = 0  # bytes of the chunks
         self.stems: dict[str, bytes] = {"": b""}
         self.flat, self.first = np.zeros(0, self.type), np.zeros(1, np.int64)
 
@@ -98,6 +99,7 @@ class Chunks:
         parts = [stems[two[0]] + stems[two[1]] if two else next(whole).tobytes() for two in cut]
         sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // self.flat.itemsize
         self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
+        self.held += sum(map(len, new))
         self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(parts), self.type)])
         self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(sizes)])
 
@@ -114,7 +116,7 @@ class Chunks:
         return out
 
     def _ids(self, bodies: list[bytes]) -> list[np.ndarray]:
-        if len(self.number) > CACHE:
+        if len(self.number) > CACHE or self.held > CACHE_BYTES:
             self.forget()
         joined = b"\n".join([b"", *bodies, b"       \n"])
         blank = BLANK[np.frombuffer(joined, np.uint8)]

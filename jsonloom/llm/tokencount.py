@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from jsonloom.llm.common import batches, claim, column, documents, small_batches, texts, worker_cache
 
 MARK = "▁"
-CACHE = 400_000
+#: Words that a worker remembers, and how long they may be.
+CACHE, CACHED = 400_000, 64
 
 
 def default_vocabulary() -> str:
@@ -84,9 +85,11 @@ class Automaton(dict):
         return n
 
     def __missing__(self, word: str) -> int:
-        if len(self) > CACHE:
-            self.clear()
-        self[word] = n = self.count(MARK + word)
+        n = self.count(MARK + word)
+        if len(word) <= CACHED:
+            if len(self) > CACHE:
+                self.clear()
+            self[word] = n
         return n
 
 
