@@ -1,4 +1,5 @@
 import json
+import os
 import random
 
 import pytest
@@ -250,3 +251,18 @@ def test_spans_agree_with_the_tape():
             assert S.get_many(text, good) == want
         if text.lstrip()[0] == "{":
             assert [(k, text[a:b]) for k, a, b in S.members(text, 0)] == [(tape.text(k), tape.raw(v).decode()) for k, v in tape.members(0)]
+
+
+@pytest.mark.skipif("JSON_TEST_SUITE" not in os.environ, reason="JSON_TEST_SUITE names the folder of the public parsing suite's files")
+def test_public_parsing_suite():
+    """Files y_ are valid, n_ are not; of the i_ ones, which implementations may decide, numbers and nesting are valid here."""
+    names = sorted(os.listdir(os.environ["JSON_TEST_SUITE"]))
+    assert names
+    for name in names:
+        with open(os.path.join(os.environ["JSON_TEST_SUITE"], name), "rb") as f:
+            data = f.read()
+        try:
+            got = G.valid(data.decode())
+        except UnicodeDecodeError:
+            got = False
+        assert got == (name[0] == "y" or name.startswith("i_number_") or name == "i_structure_500_nested_arrays.json"), name
