@@ -21,6 +21,7 @@ from jsonloom.operators.containment import contains_join
 from jsonloom.operators.generators import JsonEachArray, JsonEachObject, JsonTape
 from jsonloom.plans.rewrite import Get, once, with_gets
 from jsonloom.sources import jsonvalues
+from jsonloom.sources.splits import read_values_split
 from jsonloom.streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -610,6 +611,17 @@ def json_values_source(spark, sf):
     return v.select(id_.alias("id"), kind.alias("kind"))
 
 
+@query("SELECT event_id, event_type AS name FROM events")
+def json_split_reader(spark, sf):
+    """Files in ranges of 20,000 bytes: documents of several lines, strings with brackets and quotes in them."""
+    folder = _folder(spark)
+    e = events(spark, sf).select(_text('{"id":\n', "=event_id", ',"x":"[{\\"","t":["', "=event_type", '"]}').alias("value"))
+    e.write.text(folder)
+    v = read_values_split(spark, f"{folder}/*.txt", split_bytes=20_000)
+    x = v.select(C.json_extract_many("value", {"id": "/id", "t": "/t/0"}).alias("x"))
+    return x.select(C.json_int64("x.id").alias("event_id"), C.json_text("x.t").alias("name"))
+
+
 @query("SELECT event_id, user_id FROM events")
 def json_values_stream(spark, sf):
     """The registered source as a stream: typed events to files, in two runs that go on from one checkpoint. The second run's files

@@ -184,6 +184,6 @@ def decode_values(df: DataFrame, schema, mode: str = "STOP", keep: tuple[str, ..
     if mode == "STOP":
         # the first fault of each file, a number; files are joined with it, so a file's rows need not meet in one task
         bad = F.col("_r.error").isNotNull() | F.col("value").isNull()
-        first = rows.where(bad).groupBy("path").agg(F.min("ordinal").alias("_first"))
-        rows = rows.join(first, "path", "left").where("_first is null or ordinal < _first")
+        first = rows.where(bad).groupBy("path").agg(F.min("input_offset").alias("_first"))
+        rows = rows.join(first, "path", "left").where("_first is null or input_offset < _first")
     return rows.select(F.col("_r.value").alias("doc"), F.col("_r.error").alias("error"), "input_offset", "ordinal", "path", *keep)

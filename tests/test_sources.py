@@ -216,3 +216,57 @@ def test_cursor():
     deep = ValueCursor("[" * 9999 + "]" * 9999)
     deep.skip()
     deep.finish()
+
+
+def test_ranges_give_what_one_reader_gives(monkeypatch):
+    import io
+
+    from jsonloom.sources import splits
+
+    monkeypatch.setattr(splits, "CHUNK", 3)
+    rng = random.Random(11)
+    pieces = [b'{"a":"\\"}{[,"}', b"[[],[1,2]]", b"-1.5e3 ", b"true ", b'"\\\\"', b"null\n", '"é [ \\" ]"'.encode(), b"{}", b"7 ", b"[[[[[[1]]]]]]", b'"long string with : , and blanks"', b"12345678901234567890 ", b"]", b'"', b"tru"]
+    for _ in range(400):
+        good = rng.random() < 0.7
+        data = b"".join(rng.choice(pieces[: 12 if good else None]) for _ in range(rng.randint(1, 12)))
+        want, fault = read(data)
+        file, step = io.BytesIO(data), rng.randint(1, 20)
+        edges = [splits.boundary(file, a, len(data)) for a in [*range(0, len(data), step), len(data)]]
+        assert edges == sorted(edges)
+        depth, string, found, faults = 0, False, [], []
+        for low, high in zip(edges, edges[1:]):
+            more, lowest, end, closed = splits.transition(splits._pieces(file, low, high), string)
+            if closed and not (depth > 0 and depth + lowest > 0) and low < high:
+                for offset, raw in splits.range_values(splits._pieces(file, low), low, high, depth, string, 0):
+                    if raw is None:
+                        faults.append(offset)
+                    else:
+                        found.append((offset, raw.decode()))
+            depth, string = depth + more, end
+        first = min(faults, default=len(data) + 1)
+        assert [x for x in found if x[0] < first] == want, data
+        assert (fault is None) == (not faults) and (fault is None or fault.offset == first), data
+
+
+@pytest.mark.parametrize("mode", ["STOP", "PERMISSIVE"])
+def test_split_files(spark, folder, mode):
+    from jsonloom.sources.splits import read_values_split
+
+    rows = lambda df: sorted((r.path[-6:], r.input_offset, r.value) for r in df.collect())
+    jsonvalues.register(spark)
+    want = rows(spark.read.format("jsonvalues").option("mode", mode).load(folder))
+    for size in (1, 4, 1000):
+        assert rows(read_values_split(spark, folder, mode, split_bytes=size)) == want
+    with pytest.raises(Exception, match="value at input offset 2"):
+        read_values_split(spark, folder, split_bytes=3).collect()
+
+
+def test_folders_must_be_shared_on_a_cluster(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from jsonloom import catalog
+
+    session = lambda master: SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: None))
+    assert "/json-" in catalog._folder(session("local[4]"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        catalog._folder(session("spark://host:7077"))
