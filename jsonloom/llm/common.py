@@ -61,10 +61,11 @@ def stored(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Deletes a table made by stored() that nothing reads any more."""
-    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stored_at)
-    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables made by stored() that nothing reads any more, lazily neither."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def texts(df: DataFrame, *keys: str, text: str = "text") -> DataFrame:

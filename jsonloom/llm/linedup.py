@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jsonloom.llm.common import aside, claim, column, components, documents, restored, small_batches, stored, worker_cache
+from jsonloom.llm.common import aside, claim, column, components, discard, documents, restored, small_batches, stored, worker_cache
 
 TAU, FUZZY, HOT, FINER = 1, 0, 64, 16
 #: Bytes of lines whose keys are computed at once (one line may have more); a hash's prefix sums take 24 times as many.
@@ -259,15 +259,17 @@ def met(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
     those keys."""
     shared = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.max("side").alias("side"))
     shared = stored(shared.where("low != high and side = 1").select("key"))
-    rows = stored(keys.join(_small(shared), "key").distinct())
-    sizes = rows.groupBy("key").agg(F.count("*").alias("n"))
-    rows = rows.join(sizes, "key")
+    held = stored(keys.join(_small(shared), "key").distinct())
+    sizes = held.groupBy("key").agg(F.count("*").alias("n"))
+    rows = held.join(sizes, "key")
     cold = rows.where(F.col("n") <= HOT)
     index = cold.where("side = 1").select("key", F.col("id").alias("a"))
     probe = cold.select("key", F.col("id").alias("b"), "side")
     pairs = index.join(probe, "key").where("a < b or (side = 0 and a > b)")
     pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    return pairs, stored(rows.where(F.col("n") > HOT).select("key", "id", "side"))
+    hot = stored(rows.where(F.col("n") > HOT).select("key", "id", "side"))
+    discard(shared, held)
+    return pairs, hot
 
 
 def bodies_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -352,7 +354,9 @@ def line_links(docs: DataFrame, keys: DataFrame, tau: int, fuzzy: int) -> DataFr
     ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).union(hot.select("id")).distinct())
     bodies = bodies_of(docs, ids)
     more = finer(bodies, hot, FINER, fuzzy) if hot.limit(1).count() else None
-    return verified(pairs if more is None else stored(pairs.union(more).distinct()), bodies, tau)
+    out = verified(pairs if more is None else pairs.union(more).distinct(), bodies, tau)
+    discard(pairs, hot, ids, bodies)
+    return out
 
 
 def removals(docs: DataFrame, tau: int = TAU, fuzzy: int = FUZZY) -> DataFrame:

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jsonloom.llm.common import batches, claim, column, components, documents, small_batches, stored
+from jsonloom.llm.common import batches, claim, column, components, discard, documents, small_batches, stored
 
 PERMUTATIONS, SHINGLE = 128, 5
 #: Words whose hashes a worker remembers, and how many bytes they may have.
@@ -248,9 +248,9 @@ def set_roots(docs: DataFrame, least: float = 0.8, n: int = SHINGLE) -> tuple[Da
 
     cold = met.where(F.col("n") <= HOT)
     pairs = cold.select("band", F.col("node").alias("a")).join(cold.select("band", F.col("node").alias("b")), "band").where("a < b")
-    pairs = stored(pairs.select("a", "b").distinct())
+    met_pairs = stored(pairs.select("a", "b").distinct())
     sides = lambda pairs, of: pairs.join(of.toDF("a", "x"), "a").join(of.toDF("b", "y"), "b").select("a", "b", "x", "y")
-    pairs = stored(sides(pairs, signatures).mapInArrow(alike, "a long, b long"))
+    pairs = stored(sides(met_pairs, signatures).mapInArrow(alike, "a long, b long"))
     links = sides(pairs, sets).mapInArrow(verify, "a long, b long")
 
     blocks = F.ceil(F.col("n") / BLOCK)
@@ -267,6 +267,7 @@ def set_roots(docs: DataFrame, least: float = 0.8, n: int = SHINGLE) -> tuple[Da
 
     spanned = hot.join(sets, "node").groupBy("band", "p", "q").applyInArrow(compared, "a long, b long")
     links = stored(links.union(spanned).distinct())
+    discard(met, ids, signatures, sets, met_pairs, pairs)
     return rows.select("doc_id", "doc", "node"), components(links.union(links.select("b", "a")))
 
 
