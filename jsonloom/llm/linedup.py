@@ -10,7 +10,8 @@ A key that over HOT lines share would give a square of pairs. For tau = 1 its li
 segments, two lines within one edit agree in all of them but one, so the keys are the lines without one segment. That is
 exact for any number of segments, and it ends where a segment is a single byte: lines of one length that agree but for one
 byte are all within one edit of each other, and each is linked to one of them; a line that is longer by one byte is linked to
-the lines that it is without one of its bytes.
+the lines that it is without one of its bytes. For more edits the lines of such a key are compared in blocks, each pair of
+blocks in a task that gives edges which span its classes: time grows with the key's pairs of lines, rows with its lines.
 
 Lines are runs between line feeds, without blanks at their ends; empty lines are neither counted nor removed. Lines of any
 length match within `tau` edits; `fuzzy`, 0 in the query and in the pipeline, is a length below which only equal lines match.
@@ -19,6 +20,7 @@ Lengths, segments and edits are in bytes. Lines are identified by 64-bit hashes.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from functools import lru_cache, partial
 
 import numpy as np
@@ -35,6 +37,8 @@ TAU, FUZZY, HOT, FINER = 1, 0, 64, 16
 AT_ONCE = 1 << 19
 #: Sets of keys or line hashes are broadcast up to so many, shuffled beyond.
 BROADCAST_ROWS = 1_000_000
+#: Lines and bytes of them in a block, about, where a hot key's lines are compared (tau > 1).
+BLOCK, BLOCK_BYTES = 512, 16 << 20
 #: Lines whose keys a task remembers to have given.
 SEEN = 400_000
 BLANKS = b" \t\r\x0b\x0c"
@@ -343,16 +347,58 @@ def verified(pairs: DataFrame, bodies: DataFrame, tau: int) -> DataFrame:
     return good.union(good.select("b", "a"))
 
 
+def forest(ids: list[int], lines: list[bytes], left: list[int], right: list[int], tau: int) -> list[tuple[int, int]]:
+    """Edges that span the classes which links (one line of left, one of right: places in lines) within tau edits make."""
+    root, out = list(range(len(lines))), []
+
+    def find(x):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    right = sorted(right, key=lambda i: len(lines[i]))
+    sizes = [len(lines[i]) for i in right]
+    for i in left:
+        n = len(lines[i])
+        for j in right[bisect_left(sizes, n - tau) : bisect_right(sizes, n + tau)]:
+            x, y = find(i), find(j)
+            if x != y and within(lines[i], lines[j], tau):
+                root[x] = y
+                out.append((ids[i], ids[j]))
+    return out
+
+
+def spanned(hot: DataFrame, bodies: DataFrame, tau: int) -> DataFrame:
+    """Edges, in both directions, that span the classes of lines within tau edits among those of each hot key."""
+    rows = hot.select("key", "id").distinct()
+    sizes = rows.join(bodies.select("id", F.octet_length("body").alias("size")), "id").groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    blocks = sizes.select("key", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).alias("blocks"))
+    rows = rows.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    rows = rows.select("key", "id", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    rows = rows.select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "id")
+
+    def compared(group):
+        block, p, q = column(group, "block"), group.column("p")[0].as_py(), group.column("q")[0].as_py()
+        left, right = ([i for i, x in enumerate(block) if x == side] for side in (p, q))
+        found = forest(column(group, "id"), column(group, "body"), left, right, tau)
+        return pa.table({c: pa.array([x[i] for x in found], pa.int64()) for i, c in enumerate("ab")})
+
+    edges = stored(rows.join(bodies, "id").groupBy("key", "p", "q").applyInArrow(compared, "a long, b long").distinct())
+    return edges.union(edges.select("b", "a"))
+
+
 def line_links(docs: DataFrame, keys: DataFrame, tau: int, fuzzy: int) -> DataFrame:
-    """Pairs (a, b) of ids of different lines within tau edits, each in both directions. keys: key, id, side."""
+    """Pairs (a, b) of ids of different lines within tau edits, each in both directions. keys: key, id, side.
+
+    All pairs that meet at keys of at most HOT lines; of those at others, pairs that reach the same lines."""
     pairs, hot = met(keys)
-    if tau > 1:  # no finer index: all pairs at the hot keys are candidates
-        index = hot.where("side = 1").select("key", F.col("id").alias("a"))
-        more = index.join(hot.select("key", F.col("id").alias("b")), "key").where("a != b")
-        pairs = pairs.union(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
-        return verified(pairs, bodies_of(docs, stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())), tau)
     ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).union(hot.select("id")).distinct())
     bodies = bodies_of(docs, ids)
+    if tau > 1:
+        out = verified(pairs, bodies, tau)
+        out = out.union(spanned(hot, bodies, tau)) if hot.limit(1).count() else out
+        discard(pairs, hot, ids, bodies)
+        return out
     more = finer(bodies, hot, FINER, fuzzy) if hot.limit(1).count() else None
     out = verified(pairs if more is None else pairs.union(more).distinct(), bodies, tau)
     discard(pairs, hot, ids, bodies)

@@ -126,6 +126,21 @@ def test_hot_segments_go_to_finer_indexes(spark, monkeypatch):
     assert result(docs) == brute(rows, 1, 0)
 
 
+@pytest.mark.parametrize("tau", [2, 3])
+def test_hot_keys_for_more_edits(spark, monkeypatch, tau):
+    monkeypatch.setattr(linedup, "HOT", 3)
+    monkeypatch.setattr(linedup, "BLOCK", 16)
+    monkeypatch.setattr(linedup, "BLOCK_BYTES", 2000)
+    rng = random.Random(tau)
+    half = "the same long beginning of many lines "
+    rows = [half + "".join(rng.choice("abcd") for _ in range(8)) + half[::-1] for k in range(60)]
+    rows += [mutated(rng, rng.choice(rows[:60]).encode(), rng.randint(1, tau + 1)).decode() for _ in range(60)]
+    rows += ["", "x", "xy", "xyz", half * 40, half * 40 + "ab", None] + rows[:3]
+    rows = list(enumerate(rows))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert result(docs, tau, 0) == brute(rows, tau, 0)
+
+
 def test_text_without_lines(spark):
     rows = [(1, "first line that is long enough\nsecond\n\nshared line of this and that"), (2, "shared line of this and thaT\nown words here and there"), (3, "shared line of this and that"), (4, None), (5, "")]
     out = {r.doc_id: (r.text, r.n_chars) for r in linedup.without_lines(spark.createDataFrame([(k, t, len(t or "")) for k, t in rows], "doc_id long, text string, n_chars long")).collect()}
