@@ -115,9 +115,11 @@ def batches(schema: pa.Schema, arrays: Iterator[list]) -> Iterator[pa.RecordBatc
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b), both long and each edge in both directions: rows (node, root), root the least node.
 
-    Labels spread by minimum and by pointer jumping; each round is written to the shared folder. All aggregates are minima,
-    which Spark combines before the shuffle, and all joins are on keys that are unique on one side, so a hub with very
-    many edges is split by adaptive skew handling.
+    Each round a node hears its neighbours' labels; the least goes to the node and to the node that its label names, and then
+    labels are followed by one step. So whole trees hang themselves on others, and the rounds grow with the logarithm of a
+    component's size, also along a chain. Each round is written to the shared folder. All aggregates are minima, which Spark
+    combines before the shuffle, and all joins are on keys that are unique on one side, so a hub with very many edges is split
+    by adaptive skew handling.
     """
     labels = stored(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")))
     while True:
@@ -126,9 +128,11 @@ def components(edges: DataFrame) -> DataFrame:
             .groupBy(F.col("a").alias("node"))
             .agg(F.min("root").alias("heard"))
         )
-        near = labels.join(heard, "node").select("node", "root", F.least("root", "heard").alias("next"))
+        near = labels.join(heard, "node")
+        told = F.array(F.struct("node", "root", F.least("root", "heard").alias("next")), F.struct(F.col("root").alias("node"), F.lit(None).cast("long").alias("root"), F.col("heard").alias("next")))
+        next_ = near.select(F.inline(told)).groupBy("node").agg(F.max("root").alias("root"), F.min("next").alias("next"))
         jump = labels.select(F.col("node").alias("next"), F.col("root").alias("far"))
-        new = stored(near.join(jump, "next").select("node", F.least("next", "far").alias("root"), (F.least("next", "far") < F.col("root")).alias("moved")))
+        new = stored(next_.join(jump, "next").select("node", F.least("next", "far").alias("root"), (F.least("next", "far") < F.col("root")).alias("moved")))
         moved = new.where("moved").limit(1).count()
         discard(labels)
         labels = new
