@@ -100,7 +100,8 @@ def reverse_polish(text: str) -> list[str] | None:
 
 
 def evaluate(text: str) -> tuple[list[str], list[str]] | None:
-    """Identifiers of a licence expression, and its licences' choices: `and` joins with +, `or` offers, `with` adds /exception."""
+    """Identifiers of a licence expression, and a list of its licences' choices: `and` joins with +, `or` offers, `with` adds
+    /exception. n pairs of alternatives make 2**n choices, so scans use outline()."""
     order = reverse_polish(text)
     if order is None:
         return None
@@ -120,6 +121,47 @@ def evaluate(text: str) -> tuple[list[str], list[str]] | None:
     return sorted(names), sorted(choices)
 
 
+def outline(text: str) -> tuple[set[str], str] | None:
+    """Identifiers of a licence expression, and its choices in short: `and` joins with +, `or` with |, `with` adds /exception.
+
+    A group has its licences once each, sorted, then the groups inside it. Time and memory grow with the text, where the
+    choices that evaluate() lists can grow with two to its power."""
+    order = reverse_polish(text)
+    if order is None:
+        return None
+    stack: list = []  # licences, and groups: (operator, licences, groups inside); `with` groups: (operator, left, right)
+    for token in order:
+        if token not in PRECEDENCE:
+            stack.append(token)
+            continue
+        right, left = stack.pop(), stack.pop()
+        if token == "with":
+            stack.append(f"{left}/{right}" if isinstance(left, str) and isinstance(right, str) else (token, left, right))
+            continue
+        left, right = (x if x[0] == token else (token, {x}, []) if isinstance(x, str) else (token, set(), [x]) for x in (left, right))
+        more, less = (left, right) if len(left[1]) + len(left[2]) >= len(right[1]) + len(right[2]) else (right, left)
+        more[1].update(less[1])
+        more[2].extend(less[2])
+        stack.append(more)
+    names, out, todo = set(), [], [(stack.pop(), True)]
+    while todo:
+        x, named = todo.pop()
+        if named is None:
+            out.append(x)
+        elif isinstance(x, str):
+            out.append(x)
+            if named:
+                names.add(x.split("/")[0])
+        else:
+            mark = {"and": "+", "or": " | ", "with": "/"}[x[0]]
+            parts = [(x[1], named), (x[2], False)] if x[0] == "with" else [(y, named) for y in [*sorted(x[1]), *x[2]]]
+            todo.append((")", None))
+            for part in reversed(parts[1:]):
+                todo += [part, (mark, None)]
+            todo += [parts[0], ("(", None)]
+    return names, "".join(out)
+
+
 @lru_cache(maxsize=1)
 def automaton() -> ahocorasick.Automaton:
     out = ahocorasick.Automaton()
@@ -148,18 +190,18 @@ def scan(data: bytes) -> tuple[int, list[tuple[int, str]], set[str], set[str], l
             doubt *= 1 - weight
     if tagged:
         for m in TAG_LINE.finditer(data.decode("utf-8", "replace")):
-            found = evaluate(m[1])
+            found = outline(m[1])
             families = {family(x) for x in found[0]} if found else {None}
             if None not in families:
                 labels |= families
-                choices.append(" | ".join(found[1]))
+                choices.append(found[1])
                 doubt *= 1 - TAG_WEIGHT
     base_labels = {label for _, label in base}
     return len(words), base, base_labels, labels | base_labels, choices, 1 - doubt
 
 
 def licenses(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, choices (of each identifier tag that counts) and
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, choices (the outline of each identifier tag that counts) and
     score (0: nothing found) of each row. A null text is an empty one; places count all, overlapping ones too; repeated rows are
     scanned each for itself; an empty table gives no rows."""
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -1,4 +1,6 @@
+import random
 import re
+import time
 
 import pytest
 
@@ -74,3 +76,55 @@ def test_tags():
 def test_only_known_licences_count(tag, labels):
     *_, found, choices, score = lic.scan(f"# SPDX-License-Identifier: {tag}".encode())
     assert found == labels and bool(choices) == bool(labels) == (score > 0)
+
+
+@pytest.mark.parametrize(
+    ("text", "short"),
+    [
+        ("MIT", "MIT"),
+        ("mit OR Apache-2.0 or mit", "(Apache-2.0 | mit)"),
+        ("(MIT or ISC) and BSD-3-Clause and Zlib", "(BSD-3-Clause+Zlib+(ISC | MIT))"),
+        ("GPL-2.0-only WITH Classpath-exception-2.0 OR MIT", "(GPL-2.0-only/Classpath-exception-2.0 | MIT)"),
+        ("(MIT or ISC) with (x-1 and y-1)", "((ISC | MIT)/(x-1+y-1))"),
+        ("MIT OR", None),
+    ],
+)
+def test_outlines(text, short):
+    assert lic.outline(text) == (short and (set(lic.evaluate(text)[0]), short))
+
+
+def choices_of(short):
+    """All choices of an outline, as evaluate lists them."""
+    text = short.replace("(", " ( ").replace(")", " ) ").replace(" | ", " or ").replace("+", " and ").replace("/", " with ")
+    return lic.evaluate(text)
+
+
+def test_outlines_and_choices_agree():
+    rng = random.Random(8)
+
+    def expression(depth):
+        if depth == 0 or rng.random() < 0.3:
+            return rng.choice(["MIT", "ISC", "Zlib", "X11", "NTP", "GPL-2.0 with Foo-1"])
+        op = rng.choice([" and ", " or "])
+        return "(" + op.join(expression(depth - 1) for _ in range(rng.randint(2, 3))) + ")"
+
+    for _ in range(300):
+        text = expression(3)
+        assert choices_of(lic.outline(text)[1]) == lic.evaluate(text)
+
+
+@pytest.mark.parametrize(
+    "tag",
+    [
+        " and ".join(f"(mit-{2 * i} or mit-{2 * i + 1})" for i in range(3000)),
+        " or ".join(f"gpl-{i}" for i in range(50_000)),
+        "(" * 50_000 + "mit" + ")" * 50_000,
+        "".join(f"(mit-{i} {'and' if i % 2 else 'or'} " for i in range(20_000)) + "isc" + ")" * 20_000,
+        "".join(f"(mit-{i} or " for i in range(20_000)) + "isc" + ")" * 20_000,
+    ],
+)
+def test_long_expressions_take_linear_time(tag):
+    start = time.process_time()
+    *_, labels, choices, score = lic.scan(f"SPDX-License-Identifier: {tag}".encode())
+    assert labels and len(choices) == 1 and len(choices[0]) < 2 * len(tag) and score > 0.9
+    assert time.process_time() - start < 5
