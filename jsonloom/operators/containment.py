@@ -20,36 +20,40 @@ from jsonloom.plans.rewrite import once
 BROADCAST_BYTES = 10_000_000
 
 
-def _walk(model) -> list[tuple[str, str]]:
-    """Path and kind with scalar of all values; an array at the top has its scalars at its own place too."""
-    out, todo = [], [("", model)]
+def _hash(*parts: str) -> int:
+    return xxhash.xxh64_intdigest("\0".join(parts).encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def _walk(model) -> list[tuple[int, int, str]]:
+    """Path (a hash), its length, and kind with scalar of all values; an array at the top has its scalars at its own place too.
+
+    A step hashes the path before it and its key, so the time is linear in the document however deep it is."""
+    out, todo = [], [(0, 0, model)]
     if type(model) is list:
-        todo += [("", x) for x in model if type(x) not in (dict, list)]
+        todo += [(0, 0, x) for x in model if type(x) not in (dict, list)]
     while todo:
-        path, value = todo.pop()
+        path, size, value = todo.pop()
         if type(value) is dict:
-            out.append((path, "{"))
-            todo += [(f"{path}{len(k)}.{k}", v) for k, v in value.items()]
+            out.append((path, size, "{"))
+            todo += [(_hash(str(path), k), size + len(k) + 1, v) for k, v in value.items()]
         elif type(value) is list:
-            out.append((path, "["))
-            todo += [(path + "*", v) for v in value]
+            out.append((path, size, "["))
+            inside = _hash(str(path))
+            todo += [(inside, size + 1, v) for v in value]
         else:
-            out.append((path, f"={type(value).__name__}{value!r}"))
+            out.append((path, size, f"={type(value).__name__}{value!r}"))
     return out
 
 
-def _hash(term: tuple[str, str]) -> int:
-    return xxhash.xxh64_intdigest("\0".join(term).encode("utf-8", "surrogatepass")) - (1 << 63)
-
-
 def terms(text: str) -> list[int]:
-    return sorted(set(map(_hash, _walk(D.model(text)))))
+    return sorted({_hash(str(path), "", kind) for path, _, kind in _walk(D.model(text))})
 
 
 def probe(text: str) -> int:
     """The term that a needle goes by: strings and numbers before other scalars, these before containers; then the longest."""
-    rank = lambda t: ((t[1][0] == "=") + t[1].startswith(("=str", "=tuple")), len(t[0]) + len(t[1]), t)
-    return _hash(max(_walk(D.model(text)), key=rank))
+    rank = lambda t: ((t[2][0] == "=") + t[2].startswith(("=str", "=tuple")), t[1] + len(t[2]), t[2], t[0])
+    path, _, kind = max(_walk(D.model(text)), key=rank)
+    return _hash(str(path), "", kind)
 
 
 def contains_join(docs: DataFrame, doc: str, needles: DataFrame, needle: str) -> DataFrame:

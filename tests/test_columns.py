@@ -207,6 +207,18 @@ def test_contains_join_against_all_pairs(spark):
     assert sorted((r.d, r.n) for r in found.collect()) == sorted(want) and len(want) > 100
 
 
+def test_terms_of_deep_documents_take_linear_time():
+    import time
+
+    from jsonloom.operators.containment import probe, terms
+
+    key = "k" * 1000
+    deep = "".join(f'{{"{key}{i}":' for i in range(9000)) + "1" + "}" * 9000
+    start = time.process_time()
+    assert probe(deep) in terms(deep) and len(terms(deep)) == 9001
+    assert time.process_time() - start < 10
+
+
 def test_sql_functions(spark):
     from jsonloom.functions.sql import register
 
