@@ -117,7 +117,9 @@ def anchors(fp: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def links(distinct: DataFrame, bits: int = 2) -> DataFrame:
-    """Pairs (a, b) of distinct fingerprints (column fp) that differ in 1 to `bits` bits, each in both directions."""
+    """Pairs (a, b) of distinct fingerprints (column fp) that differ in 1 to `bits` bits, each in both directions.
+
+    Spark takes replicate's rows for as many as it gets, about a hundredth; the hint keeps them from being broadcast for that."""
 
     def replicate(found):
         claim("simhash")
@@ -136,7 +138,7 @@ def links(distinct: DataFrame, bits: int = 2) -> DataFrame:
     guests = distinct.mapInArrow(replicate, "anchor long, b long")
     homes = distinct.mapInArrow(at_home, "anchor long, a long")
     off = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
-    return homes.join(guests, "anchor").where((F.col("a") != F.col("b")) & (off <= bits)).select("a", "b").distinct()
+    return homes.join(guests.hint("merge"), "anchor").where((F.col("a") != F.col("b")) & (off <= bits)).select("a", "b").distinct()
 
 
 def clusters(docs: DataFrame, n: int = 3, bits: int = 2, verify: float | None = None) -> DataFrame:

@@ -83,6 +83,16 @@ def test_links_of_near_fingerprints(spark):
     assert got == {(a, b) for a in fps for b in fps if 1 <= (a ^ b).bit_count() <= 2}
 
 
+def test_replicated_fingerprints_are_not_broadcast(spark):
+    from jsonloom.llm.common import stored
+
+    distinct = stored(spark.range(2000).selectExpr("xxhash64(id) fp", "id least"))
+    for df in (distinct, distinct.limit(3)):
+        links = simhash.links(df.select("fp"))
+        links.collect()
+        assert "Broadcast" not in links._jdf.queryExecution().executedPlan().toString()
+
+
 def test_verified_clusters_keep_different_short_texts_apart(spark):
     a = " ".join(f"w{i}" for i in range(400))
     docs = spark.createDataFrame([(1, a), (2, a), (3, a.replace("w7 ", "v7 "))], "doc_id long, text string")
