@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jsonloom.llm import fmindex, langid, linedup, minhash, packing
+from jsonloom.llm import fmindex, langid, linedup, packing, simhash
 from jsonloom.llm.common import aside, restored, small_batches, stored
 
 ORACLE_SQL = None
@@ -39,12 +39,13 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: Jaccard similarity of five-word shingles 0.8 or more; the first by doc_id
+    """One document of each group of near copies: SimHash classes (fingerprints within two bits, by anchors) and MinHash bands, for
+    those farther apart, propose them; Jaccard similarity of five-word shingles 0.8 or more decides. The first by doc_id
     (null ones last), of rows that share one that of the least hash of doc_id and text, stays. Texts without words (null ones too)
     are one group; repeated rows are copies; an empty table stays empty."""
     small_batches(spark)
     names = ("doc_id", "text")
-    kept = stored(minhash.representatives(docs, 0.8, 5).withColumnRenamed("doc", "_doc"))
+    kept = stored(simhash.representatives(docs, 0.8, 5).withColumnRenamed("doc", "_doc"))
     rows = aside(docs, *names).withColumn("_doc", F.xxhash64(*names))
     return restored(rows.join(kept, "_doc").dropDuplicates(["_doc"]), docs, *names)
 

@@ -9,6 +9,7 @@ verified.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -195,9 +196,11 @@ def forest(nodes: np.ndarray, sets: list[np.ndarray], least: float, left: np.nda
     return tuple(np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 2
 
 
-def set_roots(docs: DataFrame, least: float = 0.8, n: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
+def set_roots(docs: DataFrame, least: float = 0.8, n: int = SHINGLE, more: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """doc_id, doc (a hash of doc_id and text) and node (its shingle set) of each row; node and root of the nodes that links of this Jaccard similarity reach.
 
+    more: another operator's groups (band, node), each once, of the rows (doc, node); they are compared like the signature's bands.
+
     Pairs of a band of at most HOT nodes are filtered by their signatures, then verified by their shingles. In larger ones the
     sets are compared in blocks of about BLOCK, each pair of blocks in a task of its own that counts what sets have in common
     by products of matrices and gives the edges of a spanning forest: the rows grow with the nodes, not with their pairs."""
@@ -224,6 +227,8 @@ def set_roots(docs: DataFrame, least: float = 0.8, n: int = SHINGLE) -> tuple[Da
             yield pa.record_batch([pa.array(keys.view(np.int64)), pa.array(np.repeat(node, BANDS))], ["band", "node"])
 
     banded = nodes.mapInArrow(bands, "band long, node long")
+    if more:
+        banded = banded.union(more(rows.select("doc", "node")))
     sizes = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     met = stored(banded.join(sizes, "band"))
     ids = stored(met.select("node").distinct())
@@ -302,14 +307,6 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, n: int = SHINGLE) -> Da
     return classed.join(ids, "root").select("doc_id", "class_id")
 
 
-def representatives(docs: DataFrame, least: float = 0.8, n: int = SHINGLE) -> DataFrame:
-    """doc (a hash of doc_id and text) of the first row of each class: by doc_id, null ones last, then by that hash."""
-    rows, roots = set_roots(docs, least, n)
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "doc")
-    classed = rows.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), place.alias("place"))
-    return classed.groupBy("root").agg(F.min("place").alias("place")).select("place.doc")
-
-
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next of each row; see fingerprints."""
     small_batches(spark)

@@ -141,29 +141,56 @@ def links(distinct: DataFrame, bits: int = 2) -> DataFrame:
     return homes.join(guests.hint("merge"), "anchor").where((F.col("a") != F.col("b")) & (off <= bits)).select("a", "b").distinct()
 
 
+def classes(distinct: DataFrame, bits: int = 2) -> DataFrame:
+    """The rows of distinct fingerprints (column fp, a stored table) and root, the same for all fingerprints that links reach."""
+    roots = components(stored(links(distinct.select("fp"), bits)))
+    return distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
+def verified(docs: DataFrame, n: int, bits: int, least: float) -> tuple[DataFrame, DataFrame]:
+    """doc_id, doc (a hash of doc_id and text) and root (of the shingle sets that links of this Jaccard similarity reach) of each
+    row; doc and fp, each doc once.
+
+    The sets of each class of fingerprints are compared with each other, in blocks where they are many. A similarity of 0.8 is
+    often more than a few bits off, so sets that meet in a MinHash band are compared besides."""
+    fps = fingerprints(docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text"), n)
+    fps = stored(fps.select(F.col("doc_id").alias("doc"), "fp").dropDuplicates(["doc"]))
+    of_fp = stored(classes(stored(fps.select("fp").distinct()), bits))
+
+    def together(rows: DataFrame) -> DataFrame:
+        return rows.join(fps, "doc").join(of_fp, "fp").select(F.xxhash64(F.lit("simhash"), "root").alias("band"), "node").distinct()
+
+    rows, roots = minhash.set_roots(docs, least, n, together)
+    return rows.join(roots, "node", "left").select("doc_id", "doc", F.coalesce("root", "node").alias("root")), fps
+
+
 def clusters(docs: DataFrame, n: int = 3, bits: int = 2, verify: float | None = None) -> DataFrame:
     """doc_id, fp and component_id (the smallest doc_id that links reach, itself included) of each row.
 
     Documents without words (null or blank texts too) have fingerprint 0 and link like any other. Rows with equal texts have
     equal fingerprints. A null doc_id stays null and is no component's smallest; a component of null ids has id null. An empty
-    table gives an empty one. verify: link by this Jaccard similarity of the shingle sets, not by fingerprints; equal
-    fingerprints alone then link nothing."""
+    table gives an empty one. verify: link by this Jaccard similarity of the shingle sets, see verified; equal fingerprints alone
+    then link nothing."""
     if verify is not None:
-        rows, roots = minhash.set_roots(docs, verify, n)
-        fps = fingerprints(docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text"), n).withColumnRenamed("doc_id", "doc")
-        classed = rows.join(fps.dropDuplicates(["doc"]), "doc").join(roots, "node", "left").select("doc_id", "fp", F.coalesce("root", "node").alias("root"))
+        rows, of_doc = verified(docs, n, bits, verify)
+        classed = rows.join(of_doc, "doc")
         ids = classed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
         return classed.join(ids, "root").select("doc_id", "fp", "component_id")
     fps = stored(fingerprints(docs, n))
     distinct = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    pairs = stored(links(distinct.select("fp"), bits))
-    roots = components(pairs)
-    linked = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    linked = classes(distinct, bits)
     ids = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     of_fp = linked.join(ids, "root").select("fp", "component_id")
     return fps.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
 
+def representatives(docs: DataFrame, least: float = 0.8, n: int = 5, bits: int = 2) -> DataFrame:
+    """doc (a hash of doc_id and text) of the first row of each class of clusters(verify=least): by doc_id, null ones last, then by that hash."""
+    rows, _ = verified(docs, n, bits, least)
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "doc")
+    return rows.select("root", place.alias("place")).groupBy("root").agg(F.min("place").alias("place")).select("place.doc")
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of each row; see clusters for nulls, empty texts and repeated rows."""
     small_batches(spark)

@@ -133,3 +133,28 @@ def test_rows_that_share_a_doc_id(spark, sf):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     left = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, sf).collect()
     assert sorted(map(repr, left)) == sorted(map(repr, docs.where("doc_id = 1 or text like 'c%'").distinct().collect()))
+
+
+def test_near_duplicates_of_near_fingerprints_need_no_band(spark, sf, monkeypatch):
+    import random
+
+    from jsonloom.llm import minhash
+    from test_minhash import jaccard, shingles
+
+    monkeypatch.setattr(minhash, "BANDS", 1)  # the whole signature: only sets that agree in all of it meet
+    rng, texts = random.Random(2), []
+    for g in range(4):
+        words = [f"w{g}x{i}" for i in range(300)]
+        texts.append(" ".join(words))
+        for _ in range(3):  # one word changed, fingerprint within two bits
+            copy = texts[-1]
+            while (fingerprint(copy, 5) ^ fingerprint(" ".join(words), 5)).bit_count() > 2 or copy in texts:
+                i = rng.randrange(300)
+                copy = " ".join([*words[:i], f"v{rng.randrange(10**6)}", *words[i + 1 :]])
+            assert jaccard(shingles(copy), shingles(" ".join(words))) > 0.9
+            texts.append(copy)
+    signatures = {minhash.signature(minhash.shingle_hashes(t.encode(), minhash.Words())).tobytes() for t in texts}
+    assert len(signatures) > 10
+    docs = spark.createDataFrame([(k, t, "en", "a", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    left = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, sf).collect()
+    assert sorted(r.doc_id for r in left) == [0, 4, 8, 12]
