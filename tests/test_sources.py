@@ -59,6 +59,20 @@ def test_limit():
     assert len(found) == 1 and "limit" in str(fault) and fault.offset == 3
 
 
+def test_work_is_linear_in_a_chunk():
+    """What follows a value in its chunk is not copied for each value."""
+    import time
+
+    data = b"".join(b'{"id":%d}[%d] ' % (i, i % 10) for i in range(150_000))
+
+    def seconds(size):
+        began = time.process_time()
+        assert sum(1 for _ in framer.values(data[a : a + size] for a in range(0, len(data), size))) == 300_000
+        return time.process_time() - began
+
+    assert seconds(len(data)) < 1.8 * seconds(4096)
+
+
 def test_torn_reads():
     rng = random.Random(7)
     pieces = [b'{"a":"\\"}{"}', b"[[],[1,2]]", b"-1.5e3 ", b"true ", b'"\\\\"', b"null\n", '"é😀"'.encode(), b"{}", b"7 "]
