@@ -597,7 +597,7 @@ def json_concat_reader(spark, sf):
 def json_typed_values(spark, sf):
     folder = _folder(spark)
     line = F.when(F.expr("event_id % 3 = 0"), _text('{"id":"', "=event_id", '"}')).otherwise(_text('{"id":', "=event_id", "}"))
-    events(spark, sf).select(line.alias("value")).write.text(folder)
+    spread(events(spark, sf)).select(line.alias("value")).write.text(folder)
     values = jsonvalues.read_values(spark, folder)
     found = jsonvalues.decode_values(values, "id bigint", C.PERMISSIVE, keep=("value",))
     id_ = C.json_get("value", "/id")
