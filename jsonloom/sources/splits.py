@@ -5,10 +5,14 @@ a string and that it is not; each gives how the nesting changes and how the rang
 every range the state it starts in. It then goes to the end of the value that is open there and reads the values that start in it.
 
 Ranges begin behind a byte that no number and no literal has, so that no bare scalar lies across a beginning.
+
+Ranges are as long as asked for, but a task takes as many as make up TASK bytes, or fewer where that leaves cores idle; so tasks grow
+with the bytes and not with the ranges, and what is read beside a range is in proportion to it.
 """
 
 from __future__ import annotations
 
+import contextlib
 import itertools
 import re
 from collections.abc import Iterator
@@ -21,9 +25,9 @@ from pyspark.sql import functions as F
 from jsonloom.sources.framer import StreamError, ValueFrame, values
 from jsonloom.sources.jsonvalues import ROWS, SCHEMA, _Options, _store
 
-SPLIT, CHUNK = 128 << 20, 1 << 20
-#: Tasks of one stage, at most; more ranges share tasks.
-TASKS = 100_000
+SPLIT, CHUNK, PEEK = 128 << 20, 1 << 20, 512
+#: Bytes of a task's ranges at least, where there are enough for four tasks a core; tasks of one stage at most.
+TASK, TASKS = 32 << 20, 100_000
 _HARD = re.compile(rb'[ \t\n\r{}\[\],:"]')
 _STRINGS = re.compile(rb'"(?:[^"\\]|\\.)*+"', re.DOTALL)
 _REST = re.compile(rb'(?:[^"\\]|\\.)*+', re.DOTALL)
@@ -31,10 +35,12 @@ _STEPS = np.zeros(256, np.int64)
 _STEPS[[0x5B, 0x7B]], _STEPS[[0x5D, 0x7D]] = 1, -1
 
 
-def _pieces(file, start: int, stop: int | None = None) -> Iterator[bytes]:
+def _pieces(file, start: int, stop: int | None = None, size: int = CHUNK) -> Iterator[bytes]:
+    """The bytes from start to stop, or to the file's end in pieces that grow from size on."""
     file.seek(start)
     while stop is None or start < stop:
-        data = file.read(CHUNK if stop is None else min(CHUNK, stop - start))
+        data = file.read(size if stop is None else min(CHUNK, stop - start))
+        size = min(CHUNK, 2 * size)
         if not data:
             return
         start += len(data)
@@ -46,7 +52,7 @@ def boundary(file, at: int, size: int) -> int:
     if at <= 0 or at >= size:
         return min(max(at, 0), size)
     at -= 1
-    for data in _pieces(file, at):
+    for data in _pieces(file, at, None, PEEK):
         m = _HARD.search(data)
         if m:
             return at + m.end()
@@ -109,20 +115,46 @@ def read_values_split(spark: SparkSession, path: str, mode: str = "FAILFAST", ma
 
     STOP and PERMISSIVE leave out what follows a file's first fault, which takes a third reading."""
     options = _Options({"path": path, "mode": mode})
-    ranges = [(f.path, f.size, a, min(a + split_bytes, f.size)) for f in options.files() for a in range(0, f.size, split_bytes)]
-    tasks = max(1, min(len(ranges), TASKS))
-
-    def open_(file: str):
-        return _store(path)[0].open_input_file(file)
+    files = [(f.path, f.size) for f in options.files() if f.size]
+    whole = sum(size for _, size in files)
+    cores = spark.sparkContext.defaultParallelism
+    share = max(split_bytes, min(TASK, whole // (4 * cores)), whole // TASKS) // split_bytes * split_bytes  # bytes of a task's ranges
+    shares = [(path, size, a, min(a + share, size)) for path, size in files for a in range(0, size, share)]
+    tasks = max(1, min(len(shares), TASKS))
+    shares = [(n % tasks, *x) for n, x in enumerate(shares)]
+
+    @contextlib.contextmanager
+    def opened():
+        """A function that opens files; the last one stays open until another is asked for."""
+        last: list = [None, None]
+
+        def get(file: str):
+            if last[0] != file:
+                if last[1]:
+                    last[1].close()
+                last[:] = file, _store(path)[0].open_input_file(file)
+            return last[1]
+
+        try:
+            yield get
+        finally:
+            if last[1]:
+                last[1].close()
 
     def scan(found):
-        for b in found:
-            out = []
-            for file, size, start, stop in zip(*[b.column(i).to_pylist() for i in range(4)]):
-                with open_(file) as f:
-                    low, high = boundary(f, start, size), boundary(f, stop, size)
-                    out.append((file, low, high, *transition(_pieces(f, low, high), False), *transition(_pieces(f, low, high), True)))
-            yield pa.record_batch([pa.array(x) for x in zip(*out)] if out else [pa.array([], t) for t in scanned.types], scanned.names)
+        with opened() as get:
+            for b in found:
+                for file, size, start, stop in zip(*[b.column(n).to_pylist() for n in ("path", "size", "start", "stop")]):
+                    f, out = get(file), []
+                    high = boundary(f, start, size)
+                    for end in range(start + split_bytes, stop + split_bytes, split_bytes):
+                        low, high = high, boundary(f, min(end, stop), size)
+                        out.append((file, low, high, *transition(_pieces(f, low, high), False), *transition(_pieces(f, low, high), True)))
+                        if len(out) == ROWS:
+                            yield pa.record_batch([pa.array(x) for x in zip(*out)], scanned.names)
+                            out = []
+                    if out:
+                        yield pa.record_batch([pa.array(x) for x in zip(*out)], scanned.names)
 
     def fold(group: pa.Table) -> pa.Table:
         depth, string, out = 0, False, []
@@ -135,22 +167,31 @@ def read_values_split(spark: SparkSession, path: str, mode: str = "FAILFAST", ma
         return pa.Table.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(known.types)], names=known.names)
 
     def read(found):
-        for b in found:
-            for file, low, high, depth, string in zip(*[b.column(i).to_pylist() for i in range(5)]):
-                with open_(file) as f:
-                    rows = range_values(_pieces(f, low), low, high, depth, string, max_value_bytes)
-                    while part := list(itertools.islice(rows, ROWS)):
-                        for offset, raw in part[-1:]:
-                            if raw is None and options.mode == "FAILFAST":
-                                raise StreamError(offset, f"not a value, in {file}")
-                        texts = [None if raw is None else raw.decode() for _, raw in part]
-                        yield pa.record_batch([pa.array(texts, pa.string()), pa.array([o for o, _ in part], pa.int64()), pa.nulls(len(part), pa.int64()), pa.array([file] * len(part), pa.string())], ["value", "input_offset", "ordinal", "path"])
+        with opened() as get:
+            texts, offsets, paths = [], [], []
+            for b in found:
+                for file, low, high, depth, string in zip(*[b.column(i).to_pylist() for i in range(5)]):
+                    f = get(file)
+                    for offset, raw in range_values(_pieces(f, low, None, min(CHUNK, high - low + PEEK)), low, high, depth, string, max_value_bytes):
+                        if raw is None and options.mode == "FAILFAST":
+                            raise StreamError(offset, f"not a value, in {file}")
+                        texts.append(None if raw is None else raw.decode())
+                        offsets.append(offset)
+                        paths.append(file)
+                        if len(texts) == ROWS:
+                            yield rows_batch(texts, offsets, paths)
+                            texts, offsets, paths = [], [], []
+            yield rows_batch(texts, offsets, paths)
+
+    def rows_batch(texts, offsets, paths):
+        return pa.record_batch([pa.array(texts, pa.string()), pa.array(offsets, pa.int64()), pa.nulls(len(texts), pa.int64()), pa.array(paths, pa.string())], ["value", "input_offset", "ordinal", "path"])
 
     kinds = {"depth": pa.int64(), "lowest": pa.int64(), "string": pa.bool_(), "closed": pa.bool_()}
     scanned = pa.schema([("path", pa.string()), ("low", pa.int64()), ("high", pa.int64()), *((f"{k}{i}", t) for i in (0, 1) for k, t in kinds.items())])
     known = pa.schema([("path", pa.string()), ("low", pa.int64()), ("high", pa.int64()), ("depth", pa.int64()), ("string", pa.bool_())])
     ddl = lambda s: ", ".join(f"{f.name} {({'int64': 'long', 'bool': 'boolean'}).get(str(f.type), str(f.type))}" for f in s)
-    states = spark.createDataFrame(ranges, "path string, size long, start long, stop long").repartition(tasks).mapInArrow(scan, ddl(scanned))
+    listed = spark.createDataFrame(shares, "id long, path string, size long, start long, stop long")
+    states = spark.range(0, tasks, 1, tasks).join(F.broadcast(listed), "id").mapInArrow(scan, ddl(scanned))
     states = states.groupBy("path").applyInArrow(fold, ddl(known))
     rows = states.repartition(tasks).mapInArrow(read, SCHEMA)
     if options.mode == "FAILFAST":

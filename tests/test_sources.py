@@ -275,6 +275,34 @@ def test_split_files(spark, folder, mode):
         read_values_split(spark, folder, split_bytes=3).collect()
 
 
+def test_tasks_grow_with_the_bytes_and_not_with_the_ranges(spark, tmp_path, monkeypatch):
+    """Also with more shares than tasks may be, no value is lost; and little is read beside a range."""
+    import io
+
+    from jsonloom.sources import splits
+
+    (tmp_path / "a.json").write_bytes(b"".join(b'{"id":%d,"x":"]"}\n' % i for i in range(5000)))
+    (tmp_path / "b.json").write_bytes(b"7 ")
+    split = splits.read_values_split(spark, str(tmp_path), split_bytes=100)
+    assert split.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism + 2
+    monkeypatch.setattr(splits, "TASKS", 3)
+    few = splits.read_values_split(spark, str(tmp_path), split_bytes=100)
+    assert few.rdd.getNumPartitions() <= 3
+    for df in (split, few):
+        assert df.count() == df.select("value").distinct().count() == 5001
+
+    class Counted(io.BytesIO):
+        n = 0
+
+        def read(self, size=-1):
+            out = super().read(size)
+            self.n += len(out)
+            return out
+
+    file = Counted(b"[1] " * 1_000_000)
+    assert splits.boundary(file, 2_000_001, 4_000_000) == 2_000_001 and file.n <= 4096
+
+
 def test_folders_must_be_shared_on_a_cluster(spark, monkeypatch):
     from types import SimpleNamespace
 
