@@ -53,8 +53,9 @@ def document() -> Column:
     )
 
 
-def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events(spark, sf_dir).select("event_id", "user_id", "event_type", document().alias("doc"))
+def docs(spark: SparkSession, sf_dir: str, even: bool = False) -> DataFrame:
+    e = events(spark, sf_dir)
+    return (spread(e) if even else e).select("event_id", "user_id", "event_type", document().alias("doc"))
 
 
 WITH_DOCS = f"WITH d AS (SELECT event_id, user_id, event_type, {DOC_SQL} AS doc FROM events) "
@@ -472,7 +473,7 @@ def json_sql_functions(spark, sf):
     from jsonloom.functions.sql import register
 
     register(spark)
-    d = docs(spark, sf).select("event_id", "doc")
+    d = docs(spark, sf, even=True).select("event_id", "doc")
     return d.selectExpr("event_id", "json_get(doc, '/id') id", "json_get_first(doc, '/u/id') uid", "json_text(json_get(doc, '/t/0')) name", "json_float64(json_get(doc, '/f')) half", "json_array_len(json_get_key(doc, 'items')) items", "json_object_len(doc) members", "json_contains(doc, '{\"t\":[true]}') has")
 
 

@@ -125,7 +125,7 @@ def _object(text: str) -> list[tuple[str, str]] | None:
     if text[start] != "{":
         return None
     try:
-        return [(k, text[a:b]) for k, a, b in S.members(text, start)]
+        return [(S.key_text(k), v) for k, v in S.pairs(text, start)]
     except RecursionError:
         tape = _parse(text)
         return [(tape.text(k), tape.raw(v).decode()) for k, v in tape.members(0)]
@@ -136,7 +136,7 @@ def _array(text: str) -> list[str] | None:
     if text[start] != "[":
         return None
     try:
-        return [text[a:b] for a, b in S.elements(text, start)]
+        return S.items(text, start)
     except RecursionError:
         tape = _parse(text)
         return [tape.raw(i).decode() for i in tape.elements(0)]
@@ -146,7 +146,7 @@ def _children(text: str, bracket: str, mode: str) -> list[tuple]:
     """Key, key's source, value's source and kind of the root's children; None as keys of elements."""
     if G.valid(text):
         try:
-            start = S.root(text)[0]
+            start = len(text) - len(text.lstrip(" \t\n\r"))
             if text[start] == bracket:
                 return S.children(text, start)
         except RecursionError:
@@ -175,7 +175,7 @@ def _count(text: str, bracket: str) -> int | None:
     if text[start] != bracket:
         return None
     try:
-        return sum(1 for _ in (S.elements if bracket == "[" else S.members)(text, start))
+        return len((S.items if bracket == "[" else S.pairs)(text, start))
     except RecursionError:
         return _parse(text).count[0]
 
@@ -309,8 +309,7 @@ def json_walk(c: Column | str, each: Callable, out: T.DataType, mode: str = PERM
 def json_get_key(c: Column | str, key: str, mode: str = PERMISSIVE) -> Column:
     """The last member with this decoded key; other kinds than objects have none."""
     def each(text: str):
-        found = [v for k, v in _object(_valid(text)) or () if k == key]
-        return found[-1] if found else None
+        return dict(_object(_valid(text)) or ()).get(key)
 
     return per_document(each, T.StringType(), mode)(c)
 

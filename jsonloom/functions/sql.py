@@ -67,6 +67,15 @@ def _text(raw: str) -> str | None:
     return text
 
 
+@lru_cache(maxsize=100)
+def _short_needle(text: str):
+    return D.model(text)
+
+
+def _contains(haystack: str, needle: str) -> bool:
+    return D.contains(D.model(haystack), _short_needle(needle) if len(needle) <= 1000 else D.model(needle))
+
+
 def _canonical(text: str) -> str | None:
     return N.canonical(text) if G.valid(text) and text.strip(" \n\r\t")[0] in "-0123456789" else None
 
@@ -83,7 +92,7 @@ SCALARS: dict[str, tuple[Callable, T.DataType]] = {
     "json_text": (_text, T.StringType()),
     "json_array_len": (lambda x: C._count(C._valid(x), "["), T.IntegerType()),
     "json_object_len": (lambda x: C._count(C._valid(x), "{"), T.IntegerType()),
-    "json_contains": (lambda a, b: D.contains(D.model(a), D.model(b)), T.BooleanType()),
+    "json_contains": (_contains, T.BooleanType()),
     "json_number_canon": (_canonical, T.StringType()),
     "json_compact": (lambda x: D.compact(x.encode()).decode(), T.StringType()),
     "json_indent": (lambda x, prefix, step: D.indent(x.encode(), prefix, step).decode(), T.StringType()),
@@ -115,15 +124,22 @@ EXPRESSIONS: dict[str, tuple[str, str]] = {
 def _function(each: Callable, kind: T.DataType, n: int):
     out = to_arrow_type(kind)
 
+    def one(*args: str | None):
+        try:
+            return None if None in args else each(*args)
+        except ValueError:
+            return None
+
     def rows(*columns: pa.Array) -> pa.Array:
+        encoded = [c.dictionary_encode() for c in columns]
+        if all(len(c.dictionary) == 1 and not c.null_count for c in encoded[1:]):  # the usual case: literals
+            rest = [c.dictionary[0].as_py() for c in encoded[1:]]
+            return pa.array([one(x, *rest) for x in encoded[0].dictionary.to_pylist()], out).take(encoded[0].indices)
         known: dict[tuple, object] = {}
         found = []
         for args in zip(*[c.to_pylist() for c in columns]):
             if args not in known:
-                try:
-                    known[args] = None if None in args else each(*args)
-                except ValueError:
-                    known[args] = None
+                known[args] = one(*args)
             found.append(known[args])
         return pa.array(found, out)
 

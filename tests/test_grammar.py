@@ -266,3 +266,45 @@ def test_public_parsing_suite():
         except UnicodeDecodeError:
             got = False
         assert got == (name[0] == "y" or name.startswith("i_number_") or name == "i_structure_500_nested_arrays.json"), name
+
+
+def test_a_document_is_checked_once(monkeypatch):
+    """The functions of a row share what was found, in bounded memory; faults are found anew."""
+    calls = []
+    loads = G._loads
+    monkeypatch.setattr(G, "_loads", lambda text: calls.append(text) or loads(text))
+    text = '{"checked":"once"}'
+    assert [G.valid(text) for _ in range(5)] == [True] * 5 and len(calls) == 1
+    assert [G.valid("{") for _ in range(2)] == [False] * 2
+    for i in range(3 * G._KEPT):
+        assert G.valid(f"[{i}]")
+    assert len(G._young) + len(G._old) <= 2 * G._KEPT
+    long = '"' + "x" * G._LONGEST + '"'
+    assert G.valid(long) and long not in G._young
+
+
+def test_repeated_keys_are_seen():
+    for text, want in (('{"a":1,"b":{"a":[{"c":1},{"c":1}]}}', True), ('{"a":1,"a":2}', False), ('[{"b":{"x":1,"\\u0078":2}}]', False), ("{} x", False), ("[NaN]", False), ("7", True), ("{}", True)):
+        assert G.surely_distinct(text) is want
+
+
+def test_children_by_one_match():
+    """Sources of members and elements, whatever the depth, are those that a walk finds."""
+    rng = random.Random(3)
+
+    def made(depth):
+        blank = rng.choice(["", " ", "\n\t"])
+        kind = rng.randrange(8 if depth else 5)
+        if kind < 5:
+            return rng.choice(["1", "-2.50e+3", "true", "null", '"a"', '"]\\\\"', '"{\\","', '"\\u00e9, :"', '"é"', '""'])
+        if kind < 6:
+            return "[" + blank + (blank + "," + blank).join(made(depth - 1) for _ in range(rng.randrange(4))) + blank + "]"
+        return "{" + blank + ",".join(rng.choice(['"k"', '"\\u006b"', '"}"', '"\\""']) + blank + ":" + blank + made(depth - 1) + blank for _ in range(rng.randrange(4))) + "}"
+
+    for _ in range(2000):
+        for text, at in ((made(7), 0), (" " + made(7), 1)):
+            assert G.valid(text)
+            if text[at] == "{":
+                assert S.pairs(text, at) == [(text[i:j], text[a:b]) for _, i, j, a, b in S.members_with_keys(text, at)]
+            elif text[at] == "[":
+                assert S.items(text, at) == [text[a:b] for a, b in S.elements(text, at)]
