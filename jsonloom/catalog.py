@@ -348,7 +348,7 @@ def json_normalize(spark, sf):
 
 @query(WITH_DOCS + "SELECT event_id, CAST(json_extract(doc, '/u/id') AS BIGINT) AS uid, json_extract_string(doc, '/t/0') AS t FROM d")
 def json_variant(spark, sf):
-    d = docs(spark, sf).select("event_id", C.json_to_variant("doc").alias("v"))
+    d = docs(spark, sf, even=True).select("event_id", C.json_to_variant("doc").alias("v"))
     return d.select("event_id", F.variant_get("v", "$.u.id", "bigint").alias("uid"), F.variant_get("v", "$.t[0]", "string").alias("t"))
 
 

@@ -520,6 +520,8 @@ def json_to_variant(c: Column | str, numbers: str = "exact") -> Column:
     characters (numbers="string" has no such bound), values beyond 128 MB. json_get and json_decode go on where VARIANT ends."""
 
     def each(text: str):
+        if numbers == "exact" and G.surely_distinct(text):
+            return text
         tape = _parse(text)
         scalar = lambda kind, raw: D.quoted(raw.decode()) if kind == G.NUMBER and numbers == "string" else raw.decode()
         obj = lambda members: "{" + ",".join(D.quoted(k) + ":" + v for k, v in dict(members).items()) + "}"

@@ -43,7 +43,7 @@ def test_entry():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
-@pytest.mark.parametrize("name", ["json_concat_reader", "json_sql_functions", "json_typed_values"])
+@pytest.mark.parametrize("name", ["json_concat_reader", "json_sql_functions", "json_typed_values", "json_variant"])
 def test_no_core_is_left_idle(spark, sf, name):
     """However few row groups the events have."""
     assert catalog.QUERIES[name](spark, sf).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
