@@ -235,10 +235,10 @@ def json_each_object_explode(spark, sf):
 
 @query("SELECT event_id, '\"' || event_type || '\"' AS first, 7 AS members FROM events")
 def json_table_functions(spark, sf):
-    d = docs(spark, sf).select("event_id", "doc", C.json_get("doc", "/t").alias("t"))
+    d = docs(spark, sf, even=True).select("event_id", "doc", C.json_get("doc", "/t").alias("t"))
     first = d.lateralJoin(JsonEachArray(F.col("t").outer())).where("pos = 0").select("event_id", F.col("raw").alias("first"))
     members = d.lateralJoin(JsonEachObject(F.col("doc").outer())).groupBy("event_id").agg(F.count("*").cast("int").alias("members"))
-    return first.join(members, "event_id")
+    return first.join(members.hint("merge"), "event_id")  # as many rows as events: never broadcast
 
 
 @query("SELECT event_id, event_id + user_id AS total, event_type AS name, 7 AS members FROM events")

@@ -47,3 +47,9 @@ def test_entry():
 def test_no_core_is_left_idle(spark, sf, name):
     """However few row groups the events have."""
     assert catalog.QUERIES[name](spark, sf).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_table_functions_are_spread(spark, sf):
+    """And the counts, a row an event, are joined without a broadcast."""
+    plan = catalog.QUERIES["json_table_functions"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "Broadcast" not in plan
